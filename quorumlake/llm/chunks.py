@@ -9,28 +9,49 @@ space are encoded whole, by the same encoder, so that results are always exact.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 
+class _Memo(dict):
+    """Known chunks; unknown ones are noted in ``new``. ``old`` is the generation before."""
+
+    def __init__(self, old: dict):
+        super().__init__()
+        self.old, self.new = old, []
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        known = self.old.get(chunk)
+        if known is None:
+            self.new.append(chunk)
+        self[chunk] = known
+        return known
+
+
 class ChunkEncoder:
-    """``encode_many`` maps strings to their ids as packed little-endian uint32 bytes."""
+    """``encode_many`` maps strings to their ids as packed little-endian uint32 bytes.
+
+    At most two generations of ``limit`` chunks are remembered; a chunk that is
+    used again moves to the younger one.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 48):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 500_000, longest: int = 48):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
-        self.memo: dict[str, bytes | None] = {"": None}
+        self.memo = _Memo({})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.limit:
-            self.memo = {"": None}
+            self.memo.old = {}
+            self.memo = _Memo(self.memo)
         memo = self.memo
         split = [t.split(" ") for t in texts]
-        wanted = set().union(*split) - memo.keys()
-        edges = [x for parts in split for x in ((parts[0], " " + parts[-1]) if len(parts) > 1 else (parts[0],))]
-        new = [c for c in wanted if not (c[0].isspace() or c[-1].isspace())]
-        memo.update(dict.fromkeys(wanted))  # None: white space at an edge, or still to come
-        edges_of, found = list(dict.fromkeys(edges)), self.encode_many([" " + c for c in new])
-        memo.update(zip(new, found, strict=True))
-        edge = dict(zip(edges_of, self.encode_many(edges_of), strict=True))
+        for parts in split:
+            deque(map(memo.__getitem__, parts[1:-1]), maxlen=0)
+        noted, memo.new = memo.new, []
+        new = [c for c in noted if c and not (c[0].isspace() or c[-1].isspace())]  # others stay None
+        memo.update(zip(new, self.encode_many([" " + c for c in new]), strict=True))
+        edges = list(dict.fromkeys(x for parts in split for x in ((parts[0], " " + parts[-1]) if len(parts) > 1 else (parts[0],))))
+        edge = dict(zip(edges, self.encode_many(edges), strict=True))
         out: list[bytes | None] = []
         for parts in split:
             if len(parts) == 1:
@@ -40,11 +61,11 @@ class ChunkEncoder:
                 if parts[0][-1:].isspace():
                     raise TypeError
                 out.append(b"".join((edge[parts[0]], *map(memo.__getitem__, parts[1:-1]), edge[" " + parts[-1]])))
-            except TypeError:
+            except TypeError:  # white space beside white space
                 out.append(None)
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self.encode_many([texts[i] for i in whole]), strict=True):
             out[i] = x
-        for c in [c for c in wanted if len(c) > self.longest]:
+        for c in [c for c in new if len(c) > self.longest]:
             del memo[c]
         return out
