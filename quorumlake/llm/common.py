@@ -9,6 +9,7 @@ an empty one unless an operator says otherwise.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table to the shared checkpoint folder and read again: as ``cut``, for large results."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def gapless(df: DataFrame, key: str, order: list[str], out: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each ``key`` from 0 without gaps, whatever the size of a key.
 

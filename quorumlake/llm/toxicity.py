@@ -150,12 +150,24 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+class _Weights(dict):
+    """Remembered evidence of written tokens."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, token: str) -> float:
+        weight = self[token] = max(map(self.reader.weight, self.reader.decoder.restore(token).split()), default=0.0)
+        return weight
+
+
 class Reader:
     """Evidence of whole texts: per written token the weight of its restored words, remembered."""
 
     def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None, limit: int = 500_000):
         self.decoder, self.weights, self.limit = decoder, weights or {}, limit
-        self.memo: dict[str, float] = {}
+        self.memo = _Weights(self)
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
@@ -180,9 +192,7 @@ class Reader:
             self.memo.clear()
         memo, tokens = self.memo, text.lower().split()
         kinds = set(tokens)
-        for t in kinds - memo.keys():
-            memo[t] = max(map(self.weight, self.decoder.restore(t).split()), default=0.0)
-        hits = [memo[t] for t in kinds if memo[t]]
+        hits = list(filter(None, map(memo.__getitem__, kinds)))
         for a, b in runs(tokens):
             hits += filter(None, map(self.weight, self.decoder.decode(" ".join(tokens[a:b]), True).split()))
         return math.log1p(sum(hits)), math.log1p(1000 * len(hits) / max(50, len(tokens)))
