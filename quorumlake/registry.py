@@ -1,6 +1,13 @@
-def queries():
-    return {}
+"""All analytics queries by name and their DuckDB text."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from .plans import catalog
+
+
+def queries() -> dict:
+    return dict(catalog.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalog.SQL)
