@@ -102,7 +102,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     where the sample allows that; every usable vector is indexed in every tree. A
     query opens leaves until they hold, over all trees together,
     ``trees * max(least, per_root * sqrt(n))`` rows, n being the distinct vectors.
-    Ties go to the smaller id; a query's own id is never returned. Null and zero
+    Ties go to the smaller id; a query's own id is never returned. Null ids, null and zero
     vectors and those with null or non-finite components take no part; a shorter
     vector counts as padded with zeros. No usable rows give no rows.
     """

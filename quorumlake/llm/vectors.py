@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool = False) -> DataFrame:
-    """(vec_id long, v array<double>): rows whose vector is not null and holds neither nulls nor non-finite values.
+    """(vec_id long, v array<double>): rows whose id and vector are not null and whose vector holds neither nulls nor non-finite values.
 
     With ``nonzero``, vectors of zeros only (empty ones too) are left out as well.
     """
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    out = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(v.isNotNull()).where(~bad)
+    out = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~bad)
     return out.where(F.exists(v, lambda x: x != 0)) if nonzero else out
 
 

@@ -52,7 +52,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
     """(query_id, rank, vec_id, score): each query row's ``k`` best other rows.
 
     ``is_query`` is a Column over ``vec_id``. Ties go to the smaller id; with fewer
-    than ``k`` other rows all are returned. Rows with a null vector or a null or
+    than ``k`` other rows all are returned. Rows with a null id or vector or a null or
     non-finite component take no part; a shorter vector counts as padded with
     zeros. Products beyond a long are clipped to it. Rows that repeat an id are not
     answers to a query of that id. No usable rows give no rows.
