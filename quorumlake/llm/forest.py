@@ -172,7 +172,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True))], ["v", "tree", "task", "deal", "leaves"])
 
     indexed = base.select("v", "ids").mapInArrow(placed, "v array<double>, ids array<long>, tree int, leaf int, task long, deal long")
-    visits = asked.select("v").distinct().mapInArrow(walked, "v array<double>, tree int, task long, deal long, leaves array<int>")
+    visits = asked.select("v").distinct().repartition(spark.sparkContext.defaultParallelism).mapInArrow(walked, "v array<double>, tree int, task long, deal long, leaves array<int>")
 
     def solve(key, q, c):
         import pandas as pd
@@ -199,7 +199,9 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     hits = "array<struct<score: double, vec_id: long>>"
     local = visits.groupBy("tree", "task", "deal").cogroup(indexed.groupBy("tree", "task", "deal")).applyInPandas(solve, f"v array<double>, hits {hits}")
     # at most k + 1 hits of each task a query has visited
-    ranked = local.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
+    merged = local.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | (x != F.get("s", i - 1)))  # a row found in several trees scores the same in each
+    ranked = merged.select("v", F.slice(first, 1, k + 1).alias("hits"))
     return expand(ranked, asked, k, -F.col("h.score"))
 
 
