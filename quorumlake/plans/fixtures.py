@@ -9,8 +9,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalar import AMOUNT_RANGES
+
 SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
+_RANGE = "CASE " + " ".join(f"WHEN amount <= {hi} THEN '{label}'" for label, _, hi in AMOUNT_RANGES[:-1]) + f" ELSE '{AMOUNT_RANGES[-1][0]}' END"
+
 VIEWS = {
     "group_dim": "SELECT n_nationkey AS group_id, n_name AS name FROM {nation}",
     "entity": """SELECT entity_id, full_name, party, group_id, in_office, entity_id % 7 AS district,
@@ -48,6 +52,14 @@ VIEWS = {
           CAST(round(l_extendedprice) AS BIGINT) AS amount, CAST(60 + floor(l_quantity * 0.8) AS INT) AS confidence,
           row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_extendedprice, l_quantity, l_returnflag, l_shipdate) AS rn
         FROM {lineitem} JOIN {filing} f ON f.filing_id = l_orderkey JOIN {part} ON p_partkey = l_partkey) x WHERE rn = 1""",
+    "line": """SELECT filing_id, entity_id, row_index, filed_date, CAST(tx_date AS STRING) AS tx_date, CAST(confidence AS DOUBLE) / 100 AS confidence,
+        asset_description || CASE amount % 7 WHEN 0 THEN ' [CT]' WHEN 1 THEN ' [PS]' WHEN 2 THEN ' [OI]' WHEN 3 THEN ' [RE]' WHEN 4 THEN ' (BA)' ELSE '' END || CASE WHEN amount % 13 = 0 THEN ' Example Mega Corp' ELSE '' END AS asset_description,
+        CASE amount % 5 WHEN 0 THEN 'GS' WHEN 1 THEN 'BA' WHEN 2 THEN NULL WHEN 3 THEN 'CT' ELSE ticker END AS ticker, CASE amount % 3 WHEN 0 THEN 'Stock' WHEN 1 THEN 'Bond' ELSE NULL END AS asset_type,
+        CASE WHEN amount % 11 = 0 THEN 'X' ELSE tx_type END AS tx_type, CASE WHEN amount % 17 = 0 THEN '?' ELSE """
+    + _RANGE
+    + " END AS amount_range FROM {trade}",
+    "person": "SELECT entity_id, CAST(group_id AS STRING) AS state, 'Name' || CAST(entity_id % 40 AS STRING) AS last_name, 'Given' AS first_name, district, chamber FROM {entity} WHERE in_office",
+    "signer": "SELECT o_orderkey AS filing_id, CAST(o_custkey % 25 AS STRING) AS state, 'Name' || CAST(o_orderkey % 45 AS STRING) AS last, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 7 END AS district FROM {orders}",
     "release": """SELECT doc_id AS release_id, doc_id % 150 AS entity_id, substring(split(text, chr(10))[@first@], 1, 200) AS title, source || '/' || CAST(doc_id AS STRING) AS url, source,
         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE @days(DATE '2024-01-01', doc_id % 400)@ END AS published FROM {documents}""",
     "run_log": "SELECT event_id AS run_id, event_type AS source, user_id % 3 AS entity_type, ts AS completed_at, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, CAST(round(value) AS BIGINT) AS records_count FROM {events}",

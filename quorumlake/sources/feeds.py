@@ -9,6 +9,8 @@ from ..functions import scalar as S
 
 PERSON = "id STRUCT<bioguide: STRING, fec: ARRAY<STRING>>, name STRUCT<first: STRING, last: STRING, official_full: STRING>, terms ARRAY<STRUCT<type: STRING, start: STRING, `end`: STRING, state: STRING, district: INT, party: STRING>>"
 
+BILL = "type STRING, number STRING, title STRING, introducedDate STRING, latestAction STRUCT<actionDate: STRING, text: STRING>, policyArea STRUCT<name: STRING>, sponsors ARRAY<STRUCT<bioguideId: STRING>>, cosponsors ARRAY<STRUCT<bioguideId: STRING, sponsorshipDate: STRING>>"
+
 
 def parse_json(raw: DataFrame, schema: str, col: str = "json") -> DataFrame:
     """One row a text; texts that are no such record are dropped."""
@@ -38,6 +40,22 @@ def explode_membership(membership: DataFrame, col: str = "members") -> DataFrame
     return membership.select(F.explode(col).alias("committee_id", "list")).select("committee_id", F.inline("list")).where("bioguide IS NOT NULL").select("committee_id", F.col("bioguide").alias("entity_id"), S.norm_role(F.col("title")).alias("role"))
 
 
+def normalize_items(bills: DataFrame, tracked: DataFrame, congress: int) -> DataFrame:
+    """Bill records with their ``item_id`` (type-number-congress), kept where a tracked entity sponsors them."""
+    rows = bills.withColumn("item_id", F.concat(F.lower("type"), F.lit("-"), "number", F.lit(f"-{congress}")))
+    ours = rows.select("item_id", F.explode("sponsors.bioguideId").alias("entity_id")).join(tracked, "entity_id", "left_semi")
+    flat = {"item_type": F.lower("type"), "introduced_date": F.col("introducedDate").try_cast("date"), "latest_action_date": F.col("latestAction.actionDate").try_cast("date"), "latest_action_text": F.col("latestAction.text"), "policy_area": F.col("policyArea.name")}
+    return rows.join(ours.select("item_id"), "item_id", "left_semi").withColumns(flat)
+
+
+def explode_sponsorships(items: DataFrame, tracked: DataFrame) -> DataFrame:
+    """(item_id, entity_id, role, cosponsored_date) of tracked entities; of repeated links the one with the earliest date stays."""
+    sponsor = items.select("item_id", F.explode("sponsors.bioguideId").alias("entity_id"), F.lit("sponsor").alias("role"), F.lit(None).cast("date").alias("cosponsored_date"))
+    other = items.select("item_id", F.explode("cosponsors").alias("c")).select("item_id", F.col("c.bioguideId").alias("entity_id"), F.lit("cosponsor").alias("role"), F.col("c.sponsorshipDate").try_cast("date").alias("cosponsored_date"))
+    ours = sponsor.unionByName(other).join(tracked, "entity_id", "left_semi")
+    return ours.groupBy("item_id", "entity_id", "role").agg(F.min("cosponsored_date").alias("cosponsored_date"))
+
+
 def parse_rollcall_xml(raw: DataFrame, col: str = "xml") -> tuple[DataFrame, DataFrame]:
     """(ballots, positions) of roll-call documents (ballot_id, xml)."""
     head = raw.select("ballot_id", S.parse_ballot_date(S.xml_tag(F.col(col), "action-date")).alias("ballot_date"), S.xml_tag(F.col(col), "vote-question").alias("question"), S.xml_tag(F.col(col), "vote-result").alias("result"), *(S.xml_tag(F.col(col), f"{k}-total").try_cast("int").alias(k) for k in ("yea", "nay")))
