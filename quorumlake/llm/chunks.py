@@ -31,12 +31,15 @@ class _Memo(dict):
 class ChunkEncoder:
     """``encode_many`` maps strings to their ids as packed little-endian uint32 bytes.
 
+    ``encode_led`` does so for chunks that a space opens and that hold no other space,
+    if there is a faster way for many of them at once.
     At most two generations of ``limit`` chunks are remembered; a chunk that is
     used again moves to the younger one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 500_000, longest: int = 48):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 500_000, longest: int = 48, encode_led: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
+        self.encode_led = encode_led or encode_many
         self.memo = _Memo({})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -49,7 +52,7 @@ class ChunkEncoder:
             deque(map(memo.__getitem__, parts[1:-1]), maxlen=0)
         noted, memo.new = memo.new, []
         new = [c for c in noted if c and not (c[0].isspace() or c[-1].isspace())]  # others stay None
-        memo.update(zip(new, self.encode_many([" " + c for c in new]), strict=True))
+        memo.update(zip(new, self.encode_led([" " + c for c in new]), strict=True))
         edges = list(dict.fromkeys(x for parts in split for x in ((parts[0], " " + parts[-1]) if len(parts) > 1 else (parts[0],))))
         edge = dict(zip(edges, self.encode_many(edges), strict=True))
         out: list[bytes | None] = []

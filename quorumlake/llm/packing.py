@@ -32,7 +32,21 @@ def encoder(path: str) -> ChunkEncoder:
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return ChunkEncoder(lambda texts: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    vocabulary = tok.get_vocab()
+    opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte alphabet's space
+
+    def led(chunks: list[str]) -> list[bytes]:
+        """Chunks encoded as one text and parted at the tokens that open with a space, one a chunk."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            bounds, raw = [*(4 * np.flatnonzero(opens[ids])).tolist(), 4 * len(ids)], ids.tobytes()
+            out.extend(raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+        return out
+
+    return ChunkEncoder(lambda texts: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)], encode_led=led)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
