@@ -28,10 +28,15 @@ def explode_terms(persons: DataFrame) -> DataFrame:
     return persons.select(F.col("id.bioguide").alias("entity_id"), F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "t")).select("entity_id", F.col("t.start").alias("start_date"), F.col("t.end").alias("end_date"), F.col("t.party").alias("party"), (F.col("pos") == F.col("n") - 1).alias("is_current"))
 
 
-def flatten_tree(committees: DataFrame) -> DataFrame:
-    """Committees (id, name, subcommittees array<struct<id, name>>) to rows; a child's id is its parent's and its own."""
-    top = committees.select("id", "name", F.lit(None).cast("string").alias("parent_id"))
-    child = committees.select("id", F.explode("subcommittees").alias("s")).select(F.concat("id", "s.id").alias("child"), F.col("s.name").alias("name"), F.col("id").alias("parent_id"))
+def flatten_tree(committees: DataFrame, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Committees (ids, name, subcommittees array<struct<id, name>>) to rows (id, name, parent_id).
+
+    The id is the first of ``ids`` that is neither null nor empty; committees without
+    one are dropped with their children. A child's id is its parent's and its own.
+    """
+    known = committees.withColumn("_id", F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ids))).where("_id IS NOT NULL")
+    top = known.select(F.col("_id").alias("id"), "name", F.lit(None).cast("string").alias("parent_id"))
+    child = known.select("_id", F.explode("subcommittees").alias("s")).select(F.concat("_id", "s.id").alias("id"), F.col("s.name").alias("name"), F.col("_id").alias("parent_id"))
     return top.union(child)
 
 
@@ -64,14 +69,25 @@ def parse_rollcall_xml(raw: DataFrame, col: str = "xml") -> tuple[DataFrame, Dat
 
 
 def parse_feed_items(raw: DataFrame, key: str, col: str = "xml") -> DataFrame:
-    """RSS items, and Atom entries only where a feed has no item: (key, title, url, published, description)."""
-    items = F.regexp_extract_all(col, F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
-    entries = F.regexp_extract_all(col, F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0))
-    rows = raw.select(key, F.explode(F.when(F.size(items) > 0, items).otherwise(entries)).alias("x"))
-    tag = lambda name: F.nullif(S.xml_tag(F.col("x"), name), F.lit(""))
-    url = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'<link[^>]*href="([^"]*)"', 1), F.lit("")), tag("guid"))
-    out = rows.select(key, F.substring(S.html_text(tag("title")), 1, 1000).alias("title"), F.substring(url, 1, 2000).alias("url"), S.parse_feed_date(F.coalesce(tag("pubDate"), tag("published"), tag("updated"))).alias("published"), F.substring(S.html_text(F.coalesce(tag("description"), tag("summary"))), 1, 500).alias("description"))
-    return out.where("title <> '' AND url LIKE 'http%'")
+    """RSS items, and Atom entries only where a feed has no usable item: (key, title, url, published, description).
+
+    Items without a title or an http link are dropped.
+    """
+
+    def entries(kind: str, links: list[str], dates: list[str], texts: list[str]):
+        def entry(x):
+            tag = lambda name: F.nullif(S.xml_tag(x, name), F.lit(""))
+            href = F.nullif(F.regexp_extract(x, r'<link[^>]*href="([^"]*)"', 1), F.lit(""))
+            url = F.coalesce(*(href if name == "href" else tag(name) for name in links))
+            return F.struct(F.substring(S.html_text(tag("title")), 1, 1000).alias("title"), F.substring(url, 1, 2000).alias("url"), S.parse_feed_date(F.coalesce(*map(tag, dates))).alias("published"), F.substring(S.html_text(F.coalesce(*map(tag, texts))), 1, 500).alias("description"))
+
+        found = F.regexp_extract_all(col, F.lit(rf"(?s)<{kind}[ >].*?</{kind}>"), F.lit(0))
+        return F.filter(F.transform(found, entry), lambda e: (e["title"] != "") & e["url"].startswith("http"))
+
+    items = entries("item", ["link", "guid"], ["pubDate", "dc:date", "published"], ["description", "content:encoded"])
+    atom = entries("entry", ["href", "link"], ["published", "updated"], ["summary", "content"])
+    both = raw.select(key, items.alias("items"), atom.alias("entries"))
+    return both.select(key, F.inline(F.when(F.size("items") > 0, F.col("items")).otherwise(F.col("entries"))))
 
 
 def parse_manifest_xml(raw: DataFrame, col: str = "xml") -> DataFrame:
