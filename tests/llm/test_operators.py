@@ -329,3 +329,16 @@ def test_pii_discovers_and_masks(spark):
     by = {r.doc_id: r for r in masked.collect()}
     assert by[10].text == "please mail contact me [EMAIL] now" and by[11].text == hidden[1][1] and by[12].text is None
     assert by[0].text == "please mail contact me [EMAIL] soon" and by[0].n_chars == len(by[0].text)
+
+
+def test_voronoi_against_sql(spark):
+    import duckdb
+
+    from quorumlake.llm import registry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    want = con.sql(registry.oracle_sql()["op2_voronoi_top_k"])
+    got = registry.queries()["op2_voronoi_top_k"](spark, "/root/testdata/sf0.001")
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
