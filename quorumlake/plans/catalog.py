@@ -149,9 +149,13 @@ query("fk_guard", "SELECT l.item_id, l.entity_id, l.role FROM {item_link} l WHER
 query("content_hash", "SELECT page_id, sha256(html) AS content_hash FROM pages")(lambda t: feeds.content_hash(t.pages, "html").select("page_id", "content_hash"))
 query("xml_tag", "SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title FROM pages")(lambda t: t.pages.select("page_id", S.xml_tag(F.col("html"), "title").alias("title")))
 query("fold_name", f"SELECT doc_id, translate(lower(text), '{S.ACCENTED}', '{S.FOLDED}') AS folded FROM documents")(lambda t: t.documents.select("doc_id", S.fold_name(F.col("text")).alias("folded")))
-query("html_trades_round_trip")(lambda t: _html_round_trip(t))
-query("rollcall_round_trip")(lambda t: _rollcall_round_trip(t))
-query("html_text")(lambda t: t.pages.select("page_id", S.html_text(F.col("html")).alias("text")))
+_TYPE = "CASE tx_type WHEN 'P' THEN 'P' WHEN 'S' THEN 'S' ELSE 'S (partial)' END AS tx_type"
+query("html_trades_round_trip", "SELECT filing_id, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY row_index) - 1 AS INTEGER) AS row_index, tx_date, 'SP' AS owner_code, ticker, coalesce(asset_description, '--') AS asset_description, 'Stock' AS asset_type, " + _TYPE + ", " + _RANGE + " AS amount_range FROM {trade}")(lambda t: _html_round_trip(t))
+query("rollcall_round_trip", "SELECT ballot_id, CAST(entity_id AS VARCHAR) AS entity_id, position FROM {position} WHERE entity_id IS NOT NULL")(lambda t: _rollcall_round_trip(t))
+_DECODED = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_plain}')"
+query("html_text", f"SELECT page_id, trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')) AS text FROM pages")(lambda t: t.pages.select("page_id", S.html_text(F.col("html")).alias("text")))
 query("terms_round_trip", "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, count(*) AS terms, count(*) FILTER (rn = 1) AS current FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x GROUP BY 1")(lambda t: _terms(t))
 
 
