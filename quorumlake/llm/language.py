@@ -2,8 +2,9 @@
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample
 of its texts. A text is compressed with every dictionary, and the language whose
-dictionary gives the smallest frame wins; a narrow margin to the runner-up marks
-the answer as rejected.
+dictionary gives the smallest size wins; a narrow margin to the runner-up marks
+the answer as rejected. A text is compressed in blocks of its own, so that a
+dictionary helps all along it and the margin is the same share at any length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import residue
 
+BLOCK = 16_384  # bytes
+
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -60,7 +63,8 @@ def decide(text: str | None, compressors, margin: float, sharpness: float = 0.15
     if not compressors or not text or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0, True
     raw = text.encode()
-    sizes = sorted((len(c.compress(raw)), lang) for lang, c in compressors)
+    blocks = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
     best = sizes[0][0]
     score = 1 / sum(math.exp(max(-700.0, sharpness * (best - n))) for n, _ in sizes)
     gap = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0

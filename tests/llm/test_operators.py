@@ -145,6 +145,29 @@ def test_language(docs, spark):
     assert language.fit(docs.limit(0)) == {} and language.identify(docs.limit(0), model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def test_language_of_long_texts(spark, corpus):
+    model = language.fit(corpus.where(residue("doc_id", 3) != 1))
+    rng = np.random.default_rng(7)
+    by: dict = {}
+    for r in corpus.where(residue("doc_id", 3) == 1).where("lang is not null and text is not null").collect():
+        by.setdefault(r.lang, []).extend(r.text.split())
+    assert set(by) == set(model) and len(by) == 4
+    rows = []
+    for lang, words in sorted(by.items()):
+        mean = sum(len(w.encode()) + 1 for w in words) / len(words)
+        rows += [(len(rows) + k, lang, " ".join(rng.choice(np.array(words, dtype=object), int(size / mean)))) for k, size in enumerate((50_000, 5_000_000))]
+    long = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    assert {r.doc_id for r in language.keep(long, model).select("doc_id").collect()} == {r[0] for r in rows}
+    got = {r.doc_id: r for r in language.identify(long, model).collect()}
+    assert all(got[i].lang_pred == lang for i, lang, _ in rows)
+    assert all(got[i + 1].margin > 0.7 * got[i].margin for i, _, _ in rows[::2])  # the same share at any length
+
+
 def test_simhash_groups(docs):
     got = table(simhash.group(docs).drop("fp"))
     prints = {d: simhash.fingerprint((t or "").encode()) for d, t, _ in TEXTS}
