@@ -75,7 +75,7 @@ def _run(model: dict[str, bytes], level: int):
     return tuple(sorted(model.items())), level
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level: int = 1, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level: int = 9, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, margin, rejected) for every row.
 
     ``lang_pred`` is a language of ``model``, or ``und`` (score 0, rejected) if the
@@ -100,7 +100,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, le
     return rows.mapInArrow(task, RESULT)
 
 
-def keep(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level: int = 1, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level: int = 9, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is found by at least ``margin``."""
     shared = docs.sparkSession.sparkContext.broadcast(_run(model, level))
     at = docs.columns.index(text_col)
