@@ -11,7 +11,7 @@ import public_tokenizers as tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.llm import bpe, forest, language, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
+from quorumlake.llm import bpe, forest, language, near, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
 from quorumlake.llm.common import components, residue
 
 LONG = "lorem ipsum dolor " * 4000
@@ -218,6 +218,58 @@ def test_simhash_links_lose_nothing(spark, monkeypatch):
     assert all(got.get(x, x) == fps[find(i)] for i, x in enumerate(fps))
 
 
+def test_near_copies_against_brute_force(spark, docs):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    common = " ".join(rng.choice(vocabulary, 30))
+    for _ in range(12):
+        base = list(rng.choice(vocabulary, int(rng.integers(150, 500))))
+        texts.append(" ".join(base))
+        for share in (0.002, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.08):
+            w = list(base)
+            for at in rng.choice(len(w), math.ceil(share * len(w)), replace=False):
+                w[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(w))
+        texts += [" ".join(base).upper(), f"{common} {' '.join(rng.choice(vocabulary, 6))}", f"{common} {' '.join(rng.choice(vocabulary, 40))}"]
+    texts += [texts[0], None, "", " \n", "one two", "One two", "three"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, node int").repartition(5)
+    kept = near.keep_one(df)
+    want = sorted(i for i in range(len(texts)) if find(i) == i)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert simhash.keep_one(df).count() > len(want)  # 3 bits of 64 leave near copies
+    assert near.keep_one(docs).columns == docs.columns and near.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(20):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        copy = [w if k % 100 else "changed" for k, w in enumerate(base)]  # 3 of 300 words: Jaccard 0.9
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 40, 2))
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
