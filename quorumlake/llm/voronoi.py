@@ -2,12 +2,16 @@
 
 Vectors become integers, floor(scale * x). With every candidate lifted by one
 coordinate to a common length M, the largest inner product is the least Euclidean
-distance: |q - c|^2 = |q|^2 + M^2 - 2 q.c. Queries and candidates are grouped by
-their nearest pivot. From summaries of the groups (counts, radii, the k least
-pivot distances) each query group gets a bound on its k-th distance, and from that
-the least pivot distance a candidate of every other group must have to matter.
-Only such candidates are sent to the query group, where blocks of queries and
-candidates are scored exactly. Summaries are bounded by the number of pivots.
+distance: |q - c|^2 = |q|^2 + M^2 - 2 q.c. Queries and candidates are placed in the
+Voronoi cells of pivots, whose number grows with the square root of the table up to a
+bound. A bounded sample of real vectors gives each query an upper bound on its k-th
+distance. A cell of queries is summed up by the largest of these bounds and by the
+ring that it occupies around every pivot; a candidate can matter to the cell only if
+it lies within the bound of all its rings and of the hyperplane between the two cells.
+
+Neighbouring cells make a group of bounded size, which gets every candidate that one of
+its cells needs, once. There blocks of queries and candidates are scored exactly.
+Summaries are bounded by the square of the number of pivots.
 """
 
 from __future__ import annotations
@@ -48,7 +52,25 @@ def _dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q.astype(object) @ c.astype(object).T).clip(-(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 24, pivot_sample: int = 2048, block: int = 8192) -> DataFrame:
+def _order(centre: np.ndarray) -> list[int]:
+    """The pivots as a chain, each followed by the nearest that is left."""
+    between = _distances(centre, centre)
+    chain, left = [0], set(range(1, len(centre)))
+    while left:
+        chain.append(min(left, key=lambda j: (between[chain[-1], j], j)))
+        left.remove(chain[-1])
+    return chain
+
+
+def _needed(d: np.ndarray, cell: np.ndarray, i: int, lo: np.ndarray, hi: np.ndarray, theta: float, between: np.ndarray) -> np.ndarray:
+    """May candidates with pivot distances ``d`` lie within ``theta`` of a query of cell ``i``?"""
+    gap = np.maximum(d - hi, lo - d).max(axis=1)  # to the rings that the cell's queries occupy
+    apart = np.maximum(between[i, cell], 1e-300)  # to the hyperplane between the cells
+    plane = np.where(cell == i, 0.0, (d[:, i] ** 2 - d[np.arange(len(d)), cell] ** 2) / (2 * apart))
+    return np.maximum(gap, plane) <= theta
+
+
+def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None, pivot_sample: int = 2048, block: int = 8192, chunk: int = 16_384, stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's ``k`` best other rows.
 
     ``is_query`` is a Column over ``vec_id``. Ties go to the smaller id; with fewer
@@ -56,6 +78,11 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
     non-finite component take no part; a shorter vector counts as padded with
     zeros. Products beyond a long are clipped to it. Rows that repeat an id are not
     answers to a query of that id. No usable rows give no rows.
+
+    ``pivots``: by default a quarter of the root of the number of distinct vectors,
+    16 to 128. Groups hold about ``block`` queries, tasks ``chunk`` candidates. A
+    ``stats`` dict is filled with the numbers of vectors, cells and groups, of rows sent to
+    groups (``sent``) and of those that single cells need (``needed``), which costs a pass.
     """
     spark = rows.sparkSession
     whole = usable(rows, id_col, vec_col).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
@@ -63,79 +90,86 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
     asked = whole.where(is_query)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     top = base.agg(F.max(norm).alias("longest"), F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
-    longest, dims = float(top.longest or 0.0), int(top.dims or 0)
+    longest, dims, n = float(top.longest or 0.0), int(top.dims or 0), int(top.n)
     pool = sample(base, pivot_sample)
     if not len(pool):
         pool = np.zeros((1, 0))
     pool = np.hstack([pool, np.zeros((len(pool), dims - pool.shape[1]))])
-    centre = _pivots(_lift(pool, longest, False), pivots)
-    shared = spark.sparkContext.broadcast((centre, longest, dims))
-
-    def placed(query: bool):
-        def task(batches):
-            import pyarrow as pa
-
-            centre, longest, dims = shared.value
-            for b in batches:
-                for at in range(0, b.num_rows, block):
-                    part = b.slice(at, block)
-                    x = matrix([v.values.to_numpy(zero_copy_only=False) for v in part.column(0)], dims)
-                    d = _distances(_lift(x, longest, query), centre)
-                    cell = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*part.schema.names, "cell", "dist"])
-
-        return task
-
-    kinds = "v array<double>, ids array<long>, cell int, dist double"
-    candidates = cut(base.select("v", "ids").mapInArrow(placed(False), kinds))
-    queries = cut(asked.select("v").distinct().mapInArrow(placed(True), "v array<double>, cell int, dist double"))
-
-    # summaries: one row a pivot, and the k + 1 least pivot distances, counted with their ids
-    far = {r.cell: (r.far, r.n) for r in queries.groupBy("cell").agg(F.max("dist").alias("far"), F.count("*").alias("n")).collect()}
-    size = {r.cell: r.n for r in candidates.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    from pyspark.sql import Window
-
-    nearest: dict[int, list[float]] = {}
-    order = Window.partitionBy("cell").orderBy("dist", "v")
-    for r in candidates.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).select("cell", "dist", F.size("ids").alias("m")).collect():
-        nearest.setdefault(r.cell, []).extend([r.dist] * r.m)
-    between = _distances(centre, centre)
-    slack = 1e-6 * (1.0 + float(np.sqrt(longest)) + max([f for f, _ in far.values()], default=0.0))
-    need = {}  # query cell -> least pivot distance by candidate cell
-    for i, (radius, _) in far.items():
-        upper = sorted(radius + between[i, j] + d for j, ds in nearest.items() for d in ds)
-        theta = upper[k] if len(upper) > k else float("inf")  # k + 1: one of them may be the query itself
-        need[i] = [between[i, j] - radius - theta - slack for j in range(len(centre))]
-    split = {i: max(1, -(-sum(size.values()) // (8 * block))) for i in far}
-    parts = {i: max(1, -(-n // block)) for i, (_, n) in far.items()}
-    lower = spark.sparkContext.broadcast(need)
+    lifted = _lift(pool, longest, False)
+    centre = _pivots(lifted, pivots or min(128, max(16, int(n**0.5 / 4))))
+    shared = spark.sparkContext.broadcast((centre, lifted, longest, dims))  # pivot_sample vectors
 
-    def sent(batches):
+    def lifted_batches(batches, query: bool):
+        _, _, longest, dims = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                yield part, _lift(matrix([v.values.to_numpy(zero_copy_only=False) for v in part.column(0)], dims), longest, query)
+
+    def queried(batches):
         import pyarrow as pa
 
-        need = lower.value
-        for b in batches:
-            cell, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for i, least in need.items():
-                hit = dist >= np.asarray(least)[cell]
-                part = b.filter(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.full(part.num_rows, i, dtype=np.int32))], ["v", "ids", "to"])
-
-    def grid(col: str, numbers: dict[int, int]):
-        out = F.lit(1)
-        for i, n in numbers.items():
-            out = F.when(F.col(col) == i, n).otherwise(out)
-        return out
+        centre, lifted, _, _ = shared.value
+        for part, x in lifted_batches(batches, True):
+            d = _distances(x, centre)
+            near = np.partition(_distances(x, lifted), k, axis=1)[:, k] if len(lifted) > k else np.full(len(x), np.inf)  # k + 1: one of them may be the query itself
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d.argmin(1).astype(np.int32)), pa.array(near), pa.array(list(d), pa.list_(pa.float64()))], ["v", "cell", "theta", "d"])
+
+    queries = cut(asked.select("v").distinct().mapInArrow(queried, "v array<double>, cell int, theta double, d array<double>"))
+
+    # summaries: one row a cell, and one a cell and pivot
+    cells = {r.cell: (r.theta, r.n) for r in queries.groupBy("cell").agg(F.max("theta").alias("theta"), F.count("*").alias("n")).collect()}
+    lo, hi = np.full((len(centre), len(centre)), np.inf), np.full((len(centre), len(centre)), -np.inf)
+    for r in queries.select("cell", F.posexplode("d").alias("pivot", "d")).groupBy("cell", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
+        lo[r.cell, r.pivot], hi[r.cell, r.pivot] = r.lo, r.hi
+    slack = 1e-6 * (1.0 + float(np.sqrt(longest)) + max([float(x) for x in hi[np.isfinite(hi)]], default=0.0))
+    groups: list[list[int]] = []
+    held = block
+    for i in _order(centre):
+        if i in cells:
+            if held + cells[i][1] > block:
+                groups.append([])
+                held = 0
+            groups[-1].append(i)
+            held += cells[i][1]
+    home = {i: g for g, members in enumerate(groups) for i in members}
+    parts = {g: max(1, -(-sum(cells[i][1] for i in members) // block)) for g, members in enumerate(groups)}
+    chunks = max(1, -(-n // chunk))
+    bounds = spark.sparkContext.broadcast((lo, hi, {i: t + slack for i, (t, _) in cells.items()}, groups, _distances(centre, centre)))
+
+    def sent(batches):
+        import pyarrow as pa
 
+        centre = shared.value[0]
+        lo, hi, theta, groups, between = bounds.value
+        for part, x in lifted_batches(batches, False):
+            d = _distances(x, centre)
+            cell = d.argmin(1)
+            for g, members in enumerate(groups):
+                wanted = np.zeros(len(d), dtype=np.int32)
+                for i in members:
+                    wanted += _needed(d, cell, i, lo[i], hi[i], theta[i], between)
+                some = part.filter(pa.array(wanted > 0))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, g, dtype=np.int32)), pa.array(wanted[wanted > 0])], ["v", "ids", "to", "cells"])
+
+    def by_group(col: str):
+        """A group's number of blocks, from its number."""
+        return F.element_at(F.array(*(F.lit(parts[g]) for g in range(len(groups))), F.lit(1)), F.col(col) + 1)
+
+    places = base.select("v", "ids").mapInArrow(sent, "v array<double>, ids array<long>, to int, cells int")
+    if stats is not None:
+        got = places.agg(F.count("*").alias("sent"), F.coalesce(F.sum("cells"), F.lit(0)).alias("needed")).first()
+        stats.update(vectors=n, pivots=len(centre), cells=len(cells), groups=len(groups), sent=got.sent, needed=got.needed)
     # a group's candidates are cut into chunks and its queries into blocks; every block meets every chunk
-    chunk = F.pmod(F.xxhash64("v"), grid("to", split)).cast("int")
-    left = candidates.mapInArrow(sent, "v array<double>, ids array<long>, to int").withColumn("chunk", chunk).withColumn("part", F.explode(F.sequence(F.lit(0), grid("to", parts) - 1)))
-    right = queries.select("v", F.col("cell").alias("to"), F.pmod(F.xxhash64("v"), grid("cell", parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), grid("cell", split) - 1)).alias("chunk"))
+    left = places.withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), by_group("to") - 1)))
+    group_of = F.element_at(F.array(*(F.lit(home.get(i, 0)) for i in range(len(centre)))), F.col("cell") + 1)
+    dealt = queries.select("v", group_of.alias("to")).withColumn("part", F.pmod(F.xxhash64("v"), by_group("to")).cast("int"))
+    right = dealt.select("v", "to", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def solve(key, q, c):
         import pandas as pd
 
-        dims = shared.value[2]
+        dims = shared.value[3]
         if not len(q) or not len(c):
             return pd.DataFrame({"v": [], "score": [], "vec_id": []})
         x, y = matrix(list(q["v"]), dims), matrix(list(c["v"]), dims)
