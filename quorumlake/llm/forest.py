@@ -271,7 +271,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
                 hits = sorted((-scores[j], int(i)) for j in near for i in flat[at[j]])[: k + 1]
                 out[0].append(v)
                 out[1].append([{"score": s, "vec_id": i} for s, i in hits])
-        return pd.DataFrame({"v": out[0], "hits": out[1]})
+        return pd.DataFrame({"v": pd.Series(out[0], dtype=object), "hits": pd.Series(out[1], dtype=object)})
 
     hits = "array<struct<score: double, vec_id: long>>"
     local = visits.groupBy("tree", "task", "deal").cogroup(spread.groupBy("tree", "task", "deal")).applyInPandas(solve, f"v array<double>, hits {hits}")

@@ -171,7 +171,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
 
         dims = shared.value[3]
         if not len(q) or not len(c):
-            return pd.DataFrame({"v": [], "score": [], "vec_id": []})
+            return pd.DataFrame({"v": pd.Series([], dtype=object), "score": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64")})
         x, y = matrix(list(q["v"]), dims), matrix(list(c["v"]), dims)
         flat = np.concatenate([np.asarray(i) for i in c["ids"]])
         owner = np.repeat(np.arange(len(y)), [len(i) for i in c["ids"]])

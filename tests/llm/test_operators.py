@@ -296,12 +296,30 @@ def test_voronoi(vectors):
     assert voronoi.top_k(data.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert voronoi.top_k(vectors, F.col("vec_id") % 50 == 0).count() > 0
     assert voronoi.top_k(data.where("vec_id in (0, 1, 400)"), F.col("vec_id") % 50 == 0).count() == 1
+    twice = data.union(data.where("vec_id < 100"))  # repeated rows
+    assert voronoi.top_k(twice, F.col("vec_id") % 50 == 0).where("query_id = vec_id").count() == 0
+
+
+def test_voronoi_sends_what_is_needed(spark):
+    """On clustered vectors the bounds keep most candidates from a cell; the answer stays exact."""
+    rng = np.random.default_rng(22)
+    x = np.repeat(rng.standard_normal((30, 8)), 100, axis=0) + 0.05 * rng.standard_normal((3000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats: dict = {}
+    got = {(r.query_id, r.rank): (r.score, r.vec_id) for r in voronoi.top_k(rows, F.col("vec_id") % 50 == 0, block=8, chunk=500, pivots=40, stats=stats).collect()}
+    y = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 3000, 50):
+        s = y @ y[q]
+        s[q] = -(1 << 60)
+        best = np.lexsort((np.arange(3000), -s))[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(s[j], j) for j in best]
+    assert stats["needed"] < 0.5 * stats["cells"] * 3000 and stats["sent"] < 0.8 * stats["groups"] * 3000 and stats["groups"] > 3
 
 
 def test_forest(vectors):
     data = vectors.where("vec_id is not null")
     got: dict = {}
-    for r in forest.search(data, F.col("vec_id") % 20 == 0, k=20, trees=6, part=128).collect():
+    for r in forest.search(data, F.col("vec_id") % 20 == 0, k=20, trees=6, part=128, recall=0.98).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = _brute([(r.vec_id, r.embedding) for r in data.collect()], 20, 20, lambda v: v if any(v) else None)
     assert set(got) == set(want)
@@ -311,6 +329,52 @@ def test_forest(vectors):
     assert forest.search(data.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = forest.search(data.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 2
+    twice = data.union(data.where("vec_id < 40"))  # repeated rows
+    assert forest.search(twice, F.col("vec_id") % 20 == 0, k=3).where("query_id = vec_id").count() == 0
+
+
+def test_forest_leaves_stay_unopened(spark):
+    """Recall on clustered vectors with a budget of a small part of them; rows count once though several trees hold them."""
+    rng = np.random.default_rng(21)
+    x = np.repeat(rng.standard_normal((60, 16)), 100, axis=0) + 0.3 * rng.standard_normal((6000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats: dict = {}
+    got: dict = {}
+    for r in forest.search(rows, F.col("vec_id") % 20 == 0, trees=8, part=1000, stats=stats).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert stats["vectors"] == 6000 and stats["budget"] < 0.3 * 6000
+    hits = 0
+    for q, ids in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(ids))
+        assert len(ids) == len(set(ids)) == 20
+    assert hits >= 0.9 * 20 * 300 == 0.9 * 20 * len(got)
+
+
+def test_forest_order_is_that_of_a_queue():
+    import heapq
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 6))
+    trees = [forest.Tree(x, 10, np.random.default_rng(i)) for i in range(4)]
+    f = forest.Forest(trees)
+    for q, order in zip(x[:25], f.order(x[:25]), strict=True):
+        queue = [(-np.inf, i, 0) for i in range(len(trees))]
+        bounds = []
+        while queue:
+            bound, i, node = heapq.heappop(queue)
+            yes, no = trees[i].child[node]
+            if yes < 0:
+                bounds.append((bound, int(f.first[i]) - 1 - int(yes)))
+                continue
+            wrong = float(trees[i].normal[node] @ q - trees[i].offset[node])
+            heapq.heappush(queue, (max(bound, -wrong), i, int(yes)))
+            heapq.heappush(queue, (max(bound, wrong), i, int(no)))
+        by_leaf = {leaf: b for b, leaf in bounds}
+        assert sorted(by_leaf) == list(range(f.first[-1]))
+        assert np.allclose([by_leaf[leaf] for leaf in order.tolist()], [b for b, _ in bounds])
+        assert int(f.route(q[None])[0, 0]) in {leaf for b, leaf in bounds if b <= 0}
 
 
 def test_pitman_yor(docs):
@@ -412,6 +476,98 @@ def test_pii_discovers_and_masks(spark):
     assert by[0].text == "please mail contact me [EMAIL] soon" and by[0].n_chars == len(by[0].text)
 
 
+def _plain_bootstrap(edges, rounds, support, confidence):
+    seeds = {m: k for _, m, k in edges if k}
+    accepted: dict = {}
+    by: dict = {}
+    for p, m, _ in edges:
+        by.setdefault(p, set()).add(m)
+    for _ in range(rounds):
+        known = {m: (k, 1.0) for m, k in seeds.items()} | {m: x for m, x in accepted.items() if m not in seeds}
+        patterns = {}
+        for p, ms in by.items():
+            for kind in pii.KINDS:
+                hit = [known[m][1] for m in ms if m in known and known[m][0] == kind]
+                if len(hit) >= support and sum(hit) / len(ms) >= confidence:
+                    patterns[p, kind] = sum(hit) / len(ms)
+        new: dict = {}
+        for p, kind in patterns:
+            for m in by[p] - set(seeds):
+                new.setdefault(m, {}).setdefault(kind, []).append(patterns[p, kind])
+        accepted = {}
+        for m, kinds in new.items():
+            score = {k: 1 - math.prod(1 - min(0.99, x) for x in v) for k, v in kinds.items()}
+            kind = max(pii.KINDS, key=lambda k: score.get(k, 0))
+            if score[kind] >= confidence:
+                accepted[m] = (kind, score[kind])
+    return accepted, patterns
+
+
+def test_pii_rounds_against_plain_graph(spark):
+    rng = np.random.default_rng(9)
+    rows = {(f"p{rng.integers(12)}", f"m{i}", None) for i in range(60) for _ in range(3)}
+    seeds = {f"m{i}": pii.KINDS[i % 2] for i in range(25)}
+    rows = sorted({(p, m, seeds.get(m)) for p, m, _ in rows} | {("chain", f"m{i}", None) for i in (30, 31, 32, 33)} | {("good", f"m{i}", seeds.get(f"m{i}")) for i in (0, 2, 4, 6, 8, 10, 12, 30, 31, 32)}, key=repr)
+    graph = spark.createDataFrame(rows, "pattern string, m string, kind string").repartition(3)
+    for rounds in (1, 4):
+        accepted, patterns = pii.bootstrap(graph, rounds=rounds)
+        a, p = _plain_bootstrap(rows, rounds, 3, 0.6)
+        assert {r.m: (r.kind, round(r.score, 9)) for r in accepted.collect()} == {m: (k, round(x, 9)) for m, (k, x) in a.items()}
+        assert {(r.pattern, r.kind): round(r.score, 9) for r in patterns.collect()} == {k: round(x, 9) for k, x in p.items()}
+    assert "m33" in a and len(a) >= 4  # reached through a pattern without a seed
+    assert pii.bootstrap(graph.limit(0))[0].count() == 0
+
+
+def test_pii_two_step_chain(spark):
+    """Seeds give a pattern, it gives instances, they give a pattern of their own, which gives one more instance."""
+    rows = [(i, f"please write to user{i}@mail.org soon") for i in range(6)]
+    rows += [(10 + i, f"please write to agent{i}@intranet soon") for i in range(3)]
+    rows += [(20 + i, f"the desk of agent{i}@intranet is closed") for i in range(3)] + [(30, "the desk of agent9@intranet is closed"), (31, "the colour of room-12345 was grey")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(df)).collect()}
+    assert got[30] == "email:12:27" and got[31] == "" and got[10] == "email:16:31"
+    once = {r.doc_id: r.spans for r in pii.digest(pii.extract(df, rounds=1)).collect()}
+    assert once[30] == "" and once[10] == "email:16:31"
+
+
+def test_pii_many_matches(spark):
+    """Runs over several levels of blocks, and masks over several chunks."""
+    rng = np.random.default_rng(6)
+    words = ["a@b.co", "word", "🙂", "x1", "1.2.3.4", "(c@d.org),", "\n", "+1 555 123 4567"]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 70, 5000, 30_000)] + ["a@b.co " * 9000, ("y" * 5000 + " a@b.co ") * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.extract(df)).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(_base(t).encode()).hexdigest()
+        ends, out, at = 0, [], 0
+        for kind, a, z in sorted((x.split(":") for x in got[i].spans.split(",") if x), key=lambda x: (int(x[1]), pii.KINDS.index(x[0]))):
+            a, z = int(a), int(z)
+            if a >= ends:
+                out += [t[at:a], f"[{kind.upper()}]"]
+            ends = at = max(ends, z)
+        assert masked[i] == "".join(out) + t[at:]
+
+
+def test_pii_covered_slots(spark):
+    """No slot that touches a base span is free, all others of five characters are."""
+    rng = np.random.default_rng(8)
+    words = ["a@b.co", "(a@b.co),", "room-1234", "id:77777", "4111 1111 1111 1111", "4111 1111 1111 1111,", "tel:+1 (555) 123-4567", "x", "1.2.3.4/24", "12", "mail=u@v.org;w@x.org"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.spans(df).collect():
+        t = texts[r.doc_id]
+        want = []
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:\x20[().0-9-]+(?!\S))*", t):
+            lead = len(re.match(r"[(\[{<\"'=:]*", m.group()).group())
+            core = re.sub(r"^[(\[{<\"'=:]+|[)\]}>\"',;:.!?]+$", "", m.group())
+            s, e = m.start() + lead, m.start() + lead + len(core)
+            if len(core) >= 5 and not any(b.s < e and s < b.e for b in r.base):
+                want.append((s, e, core.lower()))
+        assert [(x.s, x.e, x.m) for x in r.slots] == want
+        assert len(r.seeds) == len(r.base)
+
+
 def test_voronoi_against_sql(spark):
     import duckdb
 
