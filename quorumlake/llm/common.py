@@ -8,6 +8,7 @@ an empty one unless an operator says otherwise.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,24 +30,45 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used.
+    unset and the master is local (tests on one machine) a temporary folder is used.
+    Spark removes the files of results that are no longer referred to if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table to the shared checkpoint folder and read again: as ``cut``, for large results."""
+    """``df`` written as a Parquet table to the shared checkpoint folder and read again: as ``cut``, for large results.
+
+    Results are read from these tables, so they stay until ``clear`` is called.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables of ``stored``; call it when the session's results have been written."""
+    if spark.sparkContext.getCheckpointDir():
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "stored-*")) or []:
+            fs.delete(status.getPath(), True)
+
+
 def gapless(df: DataFrame, key: str, order: list[str], out: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each ``key`` from 0 without gaps, whatever the size of a key.
 

@@ -25,13 +25,22 @@ RESULT = "doc_id long, held_out boolean, lang_pred string, score double, margin
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 256, sample_chars: int = 8192, dict_bytes: int = 112_640) -> dict[str, bytes]:
     """{language: dictionary content} from rows with a language and a text.
 
-    The sample is bounded by its parameters: per language ``sample_docs`` rows
-    (those with the least hash of the id), of each at most ``sample_chars``
-    characters, together at most ``dict_bytes`` bytes. No such rows: no languages.
+    The sample is bounded by its parameters: per language ``sample_docs`` different
+    texts (those of the least hash), of each ``sample_chars`` characters at most, from a
+    place that the hash chooses in the whole text, together at most ``dict_bytes`` bytes.
+    Before texts are ranked, each task drops those whose hash is above a threshold that
+    leaves about four times as many of a language, so that no language is gathered whole.
+    No such rows: no languages.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("sample")), "text")
-    rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"))
-    picked = rows.where("lang is not null and text is not null and text <> ''").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs)
+    h = F.xxhash64("text", F.lit("sample"))
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null and text <> ''").withColumn("h", h)
+    limits = {r.lang: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * sample_docs // max(1, r.n)) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # one row a language
+    if not limits:
+        return {}
+    low = F.create_map(*(F.lit(x) for lang, limit in limits.items() for x in (lang, limit)))
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
+    some = rows.where(F.col("h") <= F.element_at(low, F.col("lang"))).groupBy("lang", "h").agg(F.min(F.substring("text", place, F.lit(sample_chars))).alias("text"))
+    picked = some.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= sample_docs)
     parts: dict[str, list[str]] = {}
     for r in picked.select("lang", "rn", "text").collect():  # bounded: sample_docs * sample_chars a language
         parts.setdefault(r.lang, []).append((r.rn, r.text))
@@ -101,7 +110,11 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, le
 
 
 def keep(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level: int = 9, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is found by at least ``margin``."""
+    """The rows of ``docs``, all columns, whose language is found by at least ``margin``.
+
+    Null and letterless texts and ties between languages go; repeated rows fare alike; an
+    empty table gives no rows. Time grows with a text's length and the number of languages.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_run(model, level))
     at = docs.columns.index(text_col)
 

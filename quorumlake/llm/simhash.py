@@ -7,27 +7,29 @@ join keys: the chain's two first segments are equal, and so are two of its next
 three. That is 24 keys of 32 exact bits a fingerprint. Longer chains are checked
 on each candidate before the full Hamming distance.
 
-Equal fingerprints are one node, so copies are never paired. A key with few
-fingerprints is joined with itself; one with many is cut into blocks, and every
-two blocks are compared in one task, which returns a spanning link for each
-fingerprint and not all pairs. Components follow by star contraction.
+Equal fingerprints are one node, so copies are never paired. A key's fingerprints are cut
+into blocks, and every two blocks are compared in one task: pairs within their key's
+chain quotas go to the full check, and a spanning link is returned for each fingerprint,
+not all pairs. Keys that hold more than a thousandth of all fingerprints, of which there
+are at most 24,000, are known to every task, so their rows are dealt out before the
+shuffle. Components follow by star contraction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
 SEGMENTS, WIDTH, TAU = 8, 8, 3
 QUOTAS = [length * TAU // SEGMENTS for length in range(1, SEGMENTS + 1)]
-SMALL, BLOCK = 24, 2048
+BLOCK = 2048
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """The signed 64-bit SimHash of the word shingles' XXH64 (seed 42); 0 without words."""
-    import numpy as np
     from xxhash import xxh64_intdigest
 
     w = (text or b"").lower().split()  # on bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
@@ -68,29 +70,29 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def _linked(x: Column, key: Column) -> Column:
-    """Do the chain from the key's start segment and the whole ring stay within their quotas?"""
-    start = F.floor(F.shiftright(key, 5 * WIDTH) / 5)
-    ok = F.bit_count(x) <= TAU
-    chains = None
-    for s in range(SEGMENTS):
-        within = F.lit(True)
-        for length in (5, 6, 7):
-            within = within & (F.bit_count(F.shiftrightunsigned(_turned(x, s), 64 - WIDTH * length)) <= QUOTAS[length - 1])
-        chains = F.when(start == s, within) if chains is None else chains.when(start == s, within)
-    return chains & ok
+def _linked(bits: np.ndarray, start: int) -> np.ndarray:
+    """Which of the differences ``bits`` stay within every chain's quota from the segment ``start`` on, the whole ring's being ``TAU``?
+
+    The first five chains are so by the key; longer ones are looked at for what the shorter leave.
+    """
+    turn = np.uint64(WIDTH * start)
+    ring = bits if start == 0 else (bits << turn) | (bits >> (np.uint64(64) - turn))
+    ok = np.ones(bits.shape, dtype=bool)
+    for length in (5, 6, 7, 8):
+        ok[ok] = np.bitwise_count(ring[ok] >> np.uint64(64 - WIDTH * length)) <= QUOTAS[length - 1]
+    return ok
 
 
 def _block_links(rows):
     """Spanning links among the fingerprints of two blocks of one key."""
-    import numpy as np
     import pandas as pd
 
     fp = np.unique(rows["fp"].to_numpy())
+    start = (int(rows["key"].iloc[0]) >> 5 * WIDTH) // 5
     bits = fp.view(np.uint64)
     near = np.empty((len(fp), len(fp)), dtype=bool)
     for at in range(0, len(fp), 256):
-        near[at : at + 256] = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= TAU
+        near[at : at + 256] = _linked(bits[at : at + 256, None] ^ bits[None, :], start)
     root = np.full(len(fp), -1)
     for i in range(len(fp)):
         if root[i] < 0:
@@ -103,16 +105,33 @@ def _block_links(rows):
     return pd.DataFrame({"a": fp[far], "b": fp[root[far]]})
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links between the distinct ``fp`` of ``nodes`` that connect what lies within ``TAU`` bits."""
+def _pair_links(batches):
+    """The pairs (key, a, b) whose fingerprints are linked."""
+    import pyarrow as pa
+
+    for batch in batches:
+        key, a, b = (batch.column(i).to_numpy() for i in range(3))
+        start, bits, ok = (key >> 5 * WIDTH) // 5, (a ^ b).view(np.uint64), np.zeros(len(key), dtype=bool)
+        for s in range(SEGMENTS):
+            ok[start == s] = _linked(bits[start == s], s)
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
+def links(nodes: DataFrame, few: int = 24, share: int = 1000) -> DataFrame:
+    """(a, b): links between the distinct ``fp`` of ``nodes`` that connect what lies within ``TAU`` bits.
+
+    Both ways make the same checks: pairs of a key with at most ``few`` fingerprints come from a join, others from blocks.
+    """
     keyed = nodes.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, "key")
-    few = shared.where(F.col("n") <= SMALL).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where("a < b").where(_linked(F.col("a").bitwiseXOR(F.col("b")), F.col("key"))).select("a", "b")
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = sizes.where(F.col("n") > max(BLOCK, nodes.count() // share))  # at most 24 * share keys, whatever the table
+    rare = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti").join(sizes, "key")
+    small = rare.where(F.col("n") <= few).select("key", "fp")
+    pairs = small.withColumnRenamed("fp", "a").join(small.withColumnRenamed("fp", "b"), "key").where("a < b").select("key", "a", "b").mapInArrow(_pair_links, "a long, b long")
+    many = rare.where(F.col("n") > few).unionByName(keyed.join(F.broadcast(hot), "key"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = shared.where(F.col("n") > SMALL).select("key", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    blocked = many.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long")
+    dealt = many.select("key", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    blocked = dealt.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long")
     return pairs.union(blocked).distinct()
 
 
@@ -125,26 +144,34 @@ def group(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str
     other. Repeated rows are returned as often as they occur; a null id is never
     least unless a whole component has only null ids. No rows give no rows.
     """
-    prints = cut(fingerprints(docs, words, id_col, text_col))
+    return _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, root, component_id); ``root`` is one fingerprint of a component."""
+    prints = cut(fingerprints(docs, words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = nodes.join(components(links(nodes.select("fp"))), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = reach.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = reach.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return prints.join(reach.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each group: that of the least id.
+    """The rows of ``docs``, all columns, with one row of each component: that of the least id, nulls last.
 
-    Among rows that share it, the one with the least fingerprint and text hash stays.
+    Among rows that share it, the one with the least fingerprint and then the least hash of
+    the whole row stays. Components whose least ids are alike keep a row each. Repeated
+    rows are one; an empty table gives no rows.
     """
-    grouped = group(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words)
-    heads = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("_print")).select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"))
-    chosen = rows.join(heads, F.col("_doc").eqNullSafe(F.col("_id")))
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("_doc").orderBy(F.xxhash64(F.col(f"_row.{text_col}")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).groupBy("h").agg(F.min("text").alias("text"))
+    named = _grouped(texts.select(F.col("h").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("_h"), "fp", "root")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"))
+    slim = rows.select("_doc", "_hash").join(named, F.col("_hash") == F.col("_h"))
+    least = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "fp", "_hash")).alias("head")
+    heads = slim.groupBy("root").agg(least).select(F.col("head._doc").alias("_id"), F.col("head._hash").alias("_head"))
+    chosen = rows.join(heads, (F.col("_hash") == F.col("_head")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("_hash").orderBy(F.xxhash64(F.to_json("_row")))
     return chosen.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("_row.*")
 
 

@@ -7,11 +7,16 @@ trigram model and the channel's costs make likeliest. The trigram counts are gat
 from the texts of all documents. Restored words are then scored by word and word-start
 features whose log odds are learned from labelled rows, and a logistic curve over a
 document's evidence gives the score.
+
+Tokens are decoded that hold signs, a letter twice running, or three or more signs and
+no letter; so are runs of short tokens of which one, by the character model, is unlikely
+to end where it does. Time grows with a text's length and its different tokens.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -32,6 +37,8 @@ SIGN_COST, DROP_COST, GAP_COST, REPEAT_COST = 1.0, 2.5, 0.7, 0.4
 PREFIXES = (4, 5, 6, 7)
 EDGE = ".,;:?\"'()[]{}<>…«»“”‘’`~^=\\/"
 SIZE = len(LETTERS) + 1  # 0 is the word boundary
+SHORT, ODD = 3, math.log(0.05)
+TWICE = re.compile(r"(.)\1")
 
 
 class Model(NamedTuple):
@@ -87,6 +94,8 @@ class Decoder:
                     readings = [("", REPEAT_COST), (c, REPEAT_COST)]
                 elif i and token[i - 1] == c and i + 1 < len(token) and token[i + 1] == c:
                     readings = [("", REPEAT_COST), (c, REPEAT_COST)]
+                elif i and token[i - 1] == c:
+                    readings = [(c, 0.0), ("", REPEAT_COST)]
             elif c in LEET:
                 readings = [(x, SIGN_COST) for x in LEET[c]] + [("", DROP_COST), (" ", DROP_COST)]
             elif c.isalpha():
@@ -124,26 +133,27 @@ class Decoder:
         if len(core) > 3 and core[-1] == core[-2] == core[-3] and not core[-1].isalpha():
             core = core.rstrip(core[-1])  # a run of signs behind a word is no letter
         if core.isalpha():
-            return core if not _repeats(core) else self.decode(core)
-        if not any(map(str.isalpha, core)):
-            return ""
+            return self.decode(core) if TWICE.search(core) else core
+        if not any(map(str.isalpha, core)) and sum(c in LEET for c in core) < 3:
+            return ""  # a number or marks
         return self.decode(core)
 
-
-def _repeats(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+    def odd(self, piece: str) -> bool:
+        """Is a short token unlikely to be a word of its own?"""
+        core = piece.strip(EDGE)
+        if not any(map(str.isalpha, core)):
+            return False
+        if not core.isalpha():
+            return any(c in LEET for c in core)
+        a, b = (self.code.get(core[-2], 0) if len(core) > 1 else 0), self.code.get(core[-1], 0)
+        return self.logp[a][b][0] < ODD
 
 
 def runs(tokens: list[str]) -> list[tuple[int, int]]:
-    """Ranges of three or more one-character tokens in a row."""
-    single = bytes(len(t) == 1 for t in tokens)
-    out, at = [], 0
-    while (at := single.find(b"\1\1\1", at)) >= 0:
-        end = single.find(b"\0", at)
-        end = len(tokens) if end < 0 else end
-        out.append((at, end))
-        at = end
-    return out
+    """Ranges of two or more tokens of at most ``SHORT`` characters in a row."""
+    short = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) <= SHORT
+    edges = np.flatnonzero(np.diff(short, prepend=False, append=False)).reshape(-1, 2)
+    return [(a, b) for a, b in edges.tolist() if b - a > 1]
 
 
 def features(word: str) -> list[str]:
@@ -162,21 +172,37 @@ class _Weights(dict):
         return weight
 
 
+class _Odd(dict):
+    """Remembered answers of ``Decoder.odd``."""
+
+    def __init__(self, decoder: Decoder):
+        super().__init__()
+        self.decoder = decoder
+
+    def __missing__(self, piece: str) -> bool:
+        answer = self[piece] = self.decoder.odd(piece)
+        return answer
+
+
 class Reader:
-    """Evidence of whole texts: per written token the weight of its restored words, remembered."""
+    """Evidence of whole texts: per written token or odd run the weight of its restored words, remembered."""
 
     def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None, limit: int = 500_000):
         self.decoder, self.weights, self.limit = decoder, weights or {}, limit
-        self.memo = _Weights(self)
+        self.memo, self.odd, self.joined = _Weights(self), _Odd(decoder), {}
+
+    def odd_runs(self, tokens: list[str]) -> list[tuple[int, int]]:
+        odd = self.odd
+        return [(a, b) for a, b in runs(tokens) if any(map(odd.__getitem__, tokens[a:b]))]
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
         plain = {w for t in set(tokens) for w in self.decoder.restore(t).split()}
-        return plain.union(*(self.decoder.decode(" ".join(tokens[a:b]), True).split() for a, b in runs(tokens)))
+        return plain.union(*(self.decoder.decode(" ".join(tokens[a:b]), True).split() for a, b in self.odd_runs(tokens)))
 
     def restored(self, text: str) -> str:
         tokens, out, at = text.lower().split(), [], 0
-        for a, b in [*runs(tokens), (len(tokens), len(tokens))]:
+        for a, b in [*self.odd_runs(tokens), (len(tokens), len(tokens))]:
             out += [self.decoder.restore(t) for t in tokens[at:a]]
             if b > a:
                 out.append(self.decoder.decode(" ".join(tokens[a:b]), True))
@@ -188,13 +214,18 @@ class Reader:
 
     def evidence(self, text: str) -> tuple[float, float]:
         """(log of the distinct words' summed weights, hits per thousand words on a log scale)."""
-        if len(self.memo) > self.limit:
+        if len(self.memo) + len(self.odd) + len(self.joined) > self.limit:
             self.memo.clear()
-        memo, tokens = self.memo, text.lower().split()
+            self.odd.clear()
+            self.joined.clear()
+        memo, joined, tokens = self.memo, self.joined, text.lower().split()
         kinds = set(tokens)
         hits = list(filter(None, map(memo.__getitem__, kinds)))
-        for a, b in runs(tokens):
-            hits += filter(None, map(self.weight, self.decoder.decode(" ".join(tokens[a:b]), True).split()))
+        for a, b in self.odd_runs(tokens):
+            run = " ".join(tokens[a:b])
+            if run not in joined:
+                joined[run] = [w for w in map(self.weight, self.decoder.decode(run, True).split()) if w]
+            hits += joined[run]
         return math.log1p(sum(hits)), math.log1p(1000 * len(hits) / max(50, len(tokens)))
 
 
@@ -211,12 +242,13 @@ def _curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float,
     return tuple(map(float, beta))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 24_000, support: int = 4, least: float = 2.5, max_features: int = 100_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 24_000, support: int = 4, least: float = 2.5) -> Model:
     """Learn from the texts of all rows (characters) and from labelled rows where ``train`` holds (``train`` is a Column over ``id``).
 
-    The labelled sample is bounded: the ``sample_rows`` ids with the least hash. A
-    feature counts if ``support`` toxic documents have it and its log odds reach
-    ``least``; at most ``max_features`` are kept. The curve is fitted on the half of
+    The labelled sample is bounded: the ``sample_rows`` ids with the least hash; of an id
+    with several rows the one with the least hash of the text counts. A feature counts if
+    ``support`` toxic documents have it and its log odds reach ``least``; all such features
+    are kept, whose number the sample bounds. The curve is fitted on the half of
     the sample that its features were not chosen on. An id labelled more than once
     is toxic if any of its labels is; null ids and labels are left out.
     """
@@ -226,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(train)
     picked = marks.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id")  # sample_rows ids
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     sample = rows.select("text", "y", (F.xxhash64("id", F.lit("half")) % 2 == 0).alias("half"))
 
     def count(batches):
@@ -243,18 +276,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     sizes = {(bool(r.half), r.y): r.n for r in sample.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     counts = sample.mapInArrow(count, "f string, c0 long, t0 long, c1 long, t1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    kept = counts.where((F.col("t0") + F.col("t1") >= support)).orderBy(F.desc(F.col("t0") + F.col("t1") - F.col("c0") - F.col("c1")), "f").limit(max_features).collect()
-
-    def weights(halves: tuple[bool, ...]) -> dict[str, float]:
-        out, toxic, clean = {}, sum(sizes.get((h, 1), 0) for h in halves), sum(sizes.get((h, 0), 0) for h in halves)
-        for r in kept:
-            t, c = sum(r[f"t{int(h)}"] for h in halves), sum(r[f"c{int(h)}"] for h in halves)
-            odds = math.log((t + 0.3) / (toxic + 1)) - math.log((c + 0.3) / (clean + 1))
-            if t >= support and odds >= least:
-                out[r.f] = odds
-        return out
 
-    half = weights((False,))
+    def odds(t: Column, c: Column, halves: tuple[bool, ...]) -> Column:
+        toxic, clean = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
+        value = F.log((t + 0.3) / (toxic + 1)) - F.log((c + 0.3) / (clean + 1))
+        return F.when((t >= support) & (value >= least), value)
+
+    both = counts.select("f", odds(F.col("t0"), F.col("c0"), (False,)).alias("half"), odds(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), (False, True)).alias("all"))
+    kept = both.where("half IS NOT NULL OR `all` IS NOT NULL").collect()  # features of sample_rows texts
+    half = {r.f: r["half"] for r in kept if r["half"] is not None}
 
     def judged(batches):
         import pyarrow as pa
@@ -266,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     seen = sample.where("half").select("text", "y").mapInArrow(judged, "a double, b double, y int").collect()  # at most sample_rows rows
     curve = _curve(np.array([(r.a, r.b) for r in seen]).reshape(-1, 2), np.array([r.y for r in seen], dtype=float))
-    return Model(table, weights((False, True)), curve)
+    return Model(table, {r.f: r["all"] for r in kept if r["all"] is not None}, curve)
 
 
 def _score(evidence: tuple[float, float], curve: tuple[float, float, float]) -> float:
@@ -277,10 +307,10 @@ def _score(evidence: tuple[float, float], curve: tuple[float, float, float]) ->
 def judge(docs: DataFrame, model: Model, held_out: Column | None = None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row's whole text.
 
-    A null or empty text has no evidence and gets the curve's lowest score. Repeated
+    A null or empty text has no evidence and gets the curve's score without any. Repeated
     rows give repeated results; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE ** 3 floats and max_features weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE ** 3 floats and the sample's features
 
     def task(batches):
         import pyarrow as pa
@@ -296,7 +326,10 @@ def judge(docs: DataFrame, model: Model, held_out: Column | None = None, thresho
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    """The rows of ``docs``, all columns, that score below ``threshold``; null and empty texts do unless nearly all labels are toxic.
+
+    Repeated rows fare alike; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

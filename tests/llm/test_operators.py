@@ -191,10 +191,12 @@ def test_simhash_groups(docs):
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(x for x in least.values() for _ in [0] if x is not None and list(least.values()).count(x) == 1) | Counter({None: 1} if None in least.values() else {})
     assert simhash.group(docs.limit(0)).count() == 0
+    one_id = docs.select(F.lit(7).cast("long").alias("doc_id"), "text", "n_chars")  # one id heads every component
+    assert simhash.keep_one(one_id).count() == len(set(root)) and simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_simhash_links_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "BLOCK", 64)  # the hot group then has keys above it, known to every task
     rng = np.random.default_rng(5)
     base = rng.integers(-(1 << 62), 1 << 62, size=40)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, size=rng.integers(0, 7), replace=False)) for b in base for _ in range(8)]
@@ -416,6 +418,42 @@ def test_toxicity_restores():
     assert r.restored("stuuuupid tr@$h") == "stupid trash"
     assert r.restored("i.d.i.o.t &&& nice###") == "idiot nice"
     assert r.restored("12 !! ...") == ""
+    assert r.restored("1d107 is") == "idiot is"
+    assert r.restored("7r45h 57up1d") == "trash stupid" and r.restored("534") == "sea"  # also without any letter
+    assert r.restored("id io t") == "idiot"  # pieces of several characters
+    assert r.restored("iddiot") == "idiot" and r.restored("sea is calm") == "sea is calm"
+
+
+def test_toxicity_decodes_exhaustively():
+    """The Viterbi reading costs no more than the best of all readings."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 30, size=(toxicity.SIZE,) * 3).astype(float)
+    d = toxicity.Decoder(toxicity.trigram(counts))
+
+    def cost(path):
+        a = b = 0
+        total = 0.0
+        for text, extra in path:
+            total += extra
+            if text and not (text == " " and b == 0):
+                c = d.code.get(text, 0)
+                total -= d.logp[a][b][c]
+                a, b = b, c
+        return total - d.logp[a][b][0], "".join(t for t, _ in path)
+
+    import itertools
+
+    for token in ("1d10t", "m0r0n", "aab", "a b c", "f*#k", "455", "ab.cd", "t t", "$#!7"):
+        for spaced in (False, True):
+            best = min(cost(p)[0] for p in itertools.product(*d.lattice(token, spaced)))
+            got = d.decode(token, spaced)
+            assert abs(min((c for c, t in map(cost, itertools.product(*d.lattice(token, spaced))) if " ".join(t.split()) == " ".join(got.split())), default=9e9) - best) < 1e-9
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "another text")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.judge(docs, toxicity.fit(docs, marks, F.lit(True), support=1)).count() == 51
 
 
 def test_toxicity(docs, labels, spark):
