@@ -398,10 +398,58 @@ def test_pitman_yor(docs):
 
 
 def test_pitman_yor_is_a_distribution(docs):
+    """In every context the words and the unseen one sum to one."""
     m = pitman_yor.fit(docs)
     known = m.words.collect()
-    p = sum(max(0.0, r.c - m.discount * r.t) + (1 + m.discount * m.tables) * r.p for r in known) / (1 + m.customers)
-    assert abs(p + (1 + m.discount * m.tables) * m.unknown / (1 + m.customers) - 1) < 1e-3
+    unseen = m.root_unknown()
+    for ctx in (32, ord("e"), ord("x"), 1):
+        share, total = m.shares()[:, ctx], float((m.shares()[:, ctx] * unseen).mean())
+        for r in known:
+            seen = bytes(r.ctx).find(bytes([ctx]))
+            total += float(np.frombuffer(r.q, "<f4")[seen]) if seen >= 0 else float((share * [r.one, r.two]).mean())
+        assert abs(total - 1) < 1e-4
+
+
+def test_pitman_yor_does_not_depend_on_partitions(docs):
+    held = residue("doc_id", 10) == 0
+    one, other = ({(r.doc_id, r.n_tokens): r.score for r in pitman_yor.score(docs.repartition(n), held, batch_bytes=size).collect()} for n, size in ((1, 1 << 24), (5, 20_000)))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) <= 1e-6 * abs(one[k]) for k in one)
+
+
+def test_pitman_yor_learns_contexts(corpus):
+    """The model beats the smoothed counts on training and on held-out texts."""
+    rows = pitman_yor.score(corpus, residue("doc_id", 10) == 0).collect()
+    for held in (True, False):
+        some = [r for r in rows if r.held_out == held]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)
+
+
+def test_seating_has_the_right_distribution():
+    """Long runs of remove-and-seat moves against the exact distribution of the number of tables."""
+    d, other, parent = 0.5, 7, 0.3
+    for c in (2, 5, 8):
+        exact = np.zeros(c + 1)
+
+        def enumerate_seatings(sizes, weight, left, exact=exact):
+            if not left:
+                exact[len(sizes)] += weight
+                return
+            enumerate_seatings([*sizes, 1], weight * (pitman_yor.STRENGTH + d * (other + len(sizes))) * parent, left - 1)
+            for i, n in enumerate(sizes):
+                enumerate_seatings([*sizes[:i], n + 1, *sizes[i + 1 :]], weight * (n - d), left - 1)
+
+        enumerate_seatings([], 1.0, c)
+        many = 30_000
+        key = np.arange(many, dtype=np.uint64) << np.uint64(13)
+        full = np.full(many, c)
+        s = pitman_yor.Seating(key, full, np.ones(many, dtype=np.int64), full, full - 1, d)
+        s.sweep(1, lambda at, t: (pitman_yor.STRENGTH + d * (other + t)) * parent)
+        for _ in range(12):
+            s.sweep(c, lambda at, t: (pitman_yor.STRENGTH + d * (other + t)) * parent)
+        assert (s.c == c).all() and (np.add.reduceat(s.sizes(), np.cumsum(s.t) - s.t) == c).all()
+        assert np.abs(np.bincount(s.t, minlength=c + 1) / many - exact / exact.sum()).max() < 0.015
+        s.become(np.full(many, 1), lambda at, t: np.ones(len(at)))
+        assert (s.t == 1).all()
 
 
 def test_toxicity_restores():
