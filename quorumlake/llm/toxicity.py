@@ -187,7 +187,7 @@ class _Odd(dict):
 class Reader:
     """Evidence of whole texts: per written token or odd run the weight of its restored words, remembered."""
 
-    def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None, limit: int = 500_000):
+    def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None, limit: int = 250_000):
         self.decoder, self.weights, self.limit = decoder, weights or {}, limit
         self.memo, self.odd, self.joined = _Weights(self), _Odd(decoder), {}
 
