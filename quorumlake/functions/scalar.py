@@ -62,7 +62,7 @@ def parse_feed_date(x: Column) -> Column:
 
 def norm_position(x: Column) -> Column:
     v = F.lower(F.trim(x))
-    return F.when(v.isin("yea", "aye", "yes"), "yea").when(v.isin("nay", "no"), "nay").when(v == "present", "present").otherwise("not_voting")
+    return F.when(v.isin("yea", "aye"), "yea").when(v.isin("nay", "no"), "nay").when(v == "present", "present").otherwise("not_voting")
 
 
 def norm_party(x: Column) -> Column:
@@ -84,17 +84,64 @@ def map_owner(x: Column) -> Column:
 
 def map_tx_type(x: Column) -> Column:
     v = F.lower(F.trim(x))
-    return F.when(v.contains("partial"), "S (partial)").when(v.startswith("p") | v.contains("buy"), "P").when(v.contains("exchange"), "E").otherwise("S")
+    return F.when(v.contains("partial"), "S (partial)").when(v.startswith("p") | v.contains("purchase") | v.contains("buy"), "P").when(v.contains("exchange"), "E").otherwise("S")
+
+
+# Words in an asset's kind and what they mean; the first that is found counts.
+ASSET_WORDS = [("stock", "Stock"), ("equity", "Stock"), ("bond", "Bond"), ("note", "Bond"), ("muni", "Bond"), ("option", "Option"), ("fund", "Fund"), ("etf", "Fund"), ("mutual", "Fund"), ("crypto", "Cryptocurrency")]
 
 
 def map_asset_type(x: Column) -> Column:
-    v = F.lower(F.trim(x))
-    found = F.when(v.contains("stock"), "Stock")
-    for word, name in (("bond", "Bond"), ("option", "Option"), ("fund", "Fund"), ("crypto", "Crypto")):
+    """The kind by its words, else the trimmed text; empty texts are null."""
+    v = F.lower(x)
+    found = F.when(v.contains(ASSET_WORDS[0][0]), ASSET_WORDS[0][1])
+    for word, name in ASSET_WORDS[1:]:
         found = found.when(v.contains(word), name)
     return found.otherwise(F.nullif(F.trim(x), F.lit("")))
 
 
+def amount_bucket(x: Column) -> Column:
+    """struct<label, low, high> of the range that a text names, whatever its case and spaces; others are the lowest, the last has no high."""
+    out = None
+    for label, low, high in AMOUNT_RANGES:
+        pattern = "(?i)" + r"\s*-\s*".join(part.replace("$", r"\$").replace(" ", r"\s*") for part in label.split(" - "))
+        value = F.struct(F.lit(label).alias("label"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+        out = F.when(x.rlike(pattern), value) if out is None else out.when(x.rlike(pattern), value)
+    label, low, high = AMOUNT_RANGES[0]
+    return out.otherwise(F.struct(F.lit(label).alias("label"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")))
+
+
+def mid_amount(low: Column, high: Column) -> Column:
+    """The middle of two bounds, the one there is, else 1000."""
+    return F.coalesce((low + high) / 2, low.cast("double"), high.cast("double"), F.lit(1000.0))
+
+
+def tx_label(x: Column) -> Column:
+    return F.when(x == "P", "Purchase").when(x == "S", "Sale").when(x == "S (partial)", "Partial sale").when(x == "E", "Exchange").otherwise(x)
+
+
+def seat_label(chamber: Column, district: Column) -> Column:
+    """``Senator``, ``District n``, or ``At-Large`` for district 0 or none."""
+    return F.when(chamber == "senate", "Senator").when(F.coalesce(district, F.lit(0)) > 0, F.concat(F.lit("District "), district.cast("string"))).otherwise("At-Large")
+
+
+def display_last_name(x: Column) -> Column:
+    return F.try_element_at(F.split(F.trim(x), r"\s+"), F.lit(-1))
+
+
+def role_label(x: Column) -> Column:
+    return F.replace(x, F.lit("_"), F.lit(" "))
+
+
+def stats_json(**columns: Column) -> Column:
+    """The columns as one JSON object, nulls kept."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in columns.items())), {"ignoreNullFields": "false"})
+
+
+def age_label(hours: Column) -> Column:
+    return F.when(hours.isNull(), "—").when(hours < 1, "< 1 hour ago").when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago")))
+
+
 def clean_ticker(ticker: Column, description: Column) -> Column:
     """The ticker, or the first ``(ABC)`` of the description; null if blacklisted or only a bracketed code."""
     t = F.coalesce(F.nullif(ticker, F.lit("")), F.nullif(F.regexp_extract(description, r"\(([A-Z]{1,6})\)", 1), F.lit("")))
@@ -107,9 +154,9 @@ def valid_ticker(x: Column) -> Column:
 
 
 def html_text(x: Column) -> Column:
-    """Tags to spaces, the common entities decoded, white space collapsed."""
-    out = F.regexp_replace(x, r"<[^>]*>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+    """Tags to spaces, seven common entities decoded, ``&amp;`` first (so what it spells out is decoded too), white space collapsed."""
+    out = F.regexp_replace(x, r"<[^>]+>", " ")
+    for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#35;", "#"), ("&#39;", "'"), ("&quot;", '"'), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
@@ -121,7 +168,8 @@ def xml_tag(x: Column, tag: str) -> Column:
 
 
 def item_from_text(x: Column, congress: Column) -> Column:
-    """``H R 12``, ``S 5``, ``H J RES 3`` to an item id, else null."""
+    """``H R 12``, ``S 5``, ``H J RES 3``, whatever follows, to an item id, else null."""
     compact = F.lower(F.regexp_replace(x, r"[\s.]+", ""))
-    kind, number = F.regexp_extract(compact, r"^(hr|s|hjres|sjres|hres|sres|hconres|sconres)(\d+)$", 1), F.regexp_extract(compact, r"(\d+)$", 1)
+    pattern = r"^(hr|s|hjres|sjres|hres|sres|hconres|sconres)(\d+)"
+    kind, number = F.regexp_extract(compact, pattern, 1), F.regexp_extract(compact, pattern, 2)
     return F.when(kind != "", F.concat_ws("-", kind, number, congress.cast("string")))

@@ -67,3 +67,9 @@ def rule_violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFr
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def split_new_existing(source: DataFrame, target: DataFrame, keys: list[str], order: list[Column], cap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key the target has, the first ``cap`` others in ``order``); the cap is the feature, the rest comes in a later run."""
+    known = target.select(*keys)
+    return source.join(known, keys, "left_semi"), source.join(known, keys, "left_anti").orderBy(*order).limit(cap)

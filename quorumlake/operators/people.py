@@ -83,3 +83,23 @@ def find_delegation(addresses: DataFrame, entity: DataFrame) -> DataFrame:
     reps = entity.where("in_office AND chamber = 'house'").select("group_id", F.col("district").alias("seat"), "entity_id")
     hits = addresses.join(reps, "group_id").where((F.col("seat") == F.col("district")) | (F.col("seat") == 0))
     return latest_per_key(hits, ["group_id", "district"], [(F.col("seat") != F.col("district")).asc(), F.col("entity_id").asc()])
+
+
+def by_code(groups: DataFrame, codes: DataFrame, col: str = "name") -> DataFrame:
+    """Groups whose code is among ``codes`` (code), which may be in lower case."""
+    return groups.join(codes.select(F.upper("code").alias(col)), col, "left_semi")
+
+
+def top_contributors(contributor: DataFrame, cycle: int | None = None, k: int = 10) -> DataFrame:
+    """The ``k`` largest contributors of each entity, of one cycle if it is given."""
+    rows = contributor if cycle is None else contributor.where(F.col("cycle") == cycle)
+    sums = rows.groupBy("entity_id", "contributor_name").agg(F.sum("total_amount").alias("total_amount"))
+    return topk_per_key(sums, ["entity_id"], [F.desc("total_amount"), F.asc("contributor_name")], k, "rank")
+
+
+def finance_board(entity: DataFrame, latest: DataFrame) -> DataFrame:
+    """Active entities with their chamber and the effective total of their latest cycle, ranked in their group; without finance the total is null and last."""
+    total = effective_total(F.col("total_receipts"), F.col("total_individual"), F.col("small_individual"), F.col("total_pac"))
+    money = latest.select("entity_id", total.alias("total"))
+    order = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("total"), "entity_id")
+    return entity.where("in_office").join(money, "entity_id", "left").select("group_id", "entity_id", "chamber", "total", F.row_number().over(order).alias("rank"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .core import topk_per_key
 
-# Words that are no keywords (those of four letters or more; shorter ones never count).
-STOP_WORDS = ["with", "from", "that", "this", "were", "have", "will", "would", "could", "should", "does", "been", "being", "they", "them", "their", "your", "about", "into", "over", "after", "before", "between", "through", "during", "under", "above", "each", "every", "both", "more", "most", "other", "some", "such", "than", "very", "just", "also", "first", "which", "what", "when", "where", "senator", "representative", "congressman", "congresswoman", "statement", "announces", "announced", "press", "release", "says", "said", "joins", "introduces", "introduced", "supports", "support", "votes", "vote", "bill", "legislation", "office", "today", "bipartisan", "calls", "urges", "applauds", "response"]
+# Words that are no keywords.
+STOP_WORDS = ["a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it", "that", "this", "was", "are", "be", "has", "had", "have", "will", "would", "could", "should", "may", "can", "do", "does", "did", "been", "being", "its", "his", "her", "he", "she", "they", "them", "their", "our", "we", "us", "you", "your", "my", "as", "if", "not", "no", "so", "up", "out", "about", "into", "over", "after", "before", "between", "through", "during", "under", "above", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "than", "too", "very", "just", "also", "now", "new", "one", "two", "first", "who", "which", "what", "when", "where", "how", "why", "rep", "sen", "senator", "representative", "congressman", "congresswoman", "statement", "announces", "announced", "press", "release", "says", "said", "joins", "introduces", "introduced", "supports", "support", "votes", "vote", "bill", "act", "legislation", "office", "today", "bipartisan", "calls", "urges", "applauds", "response"]
 # Phrases that count as one keyword.
 PHRASES = ["border security", "national security", "climate change", "gun violence", "health care", "healthcare", "mental health", "small business", "law enforcement", "public safety", "social security", "student loan", "tax cut", "tax relief", "minimum wage", "drug prices", "prescription drug", "child care", "childcare", "foreign aid", "national defense", "veterans affairs", "infrastructure bill", "supreme court", "federal funding", "government shutdown", "debt ceiling", "immigration reform", "election integrity", "voting rights", "civil rights", "human rights", "clean energy", "renewable energy", "fossil fuel", "water resources", "affordable housing", "food safety", "fentanyl", "opioid"]
 

@@ -87,39 +87,30 @@ query("missing_dependents", "SELECT entity_id FROM {entity} WHERE in_office AND
 # ---- trades
 
 query("entity_trades", "SELECT entity_id, filing_id, row_index, tx_type, tx_date, amount, filed_late FROM {trade}")(lambda t: t.trade.select("entity_id", "filing_id", "row_index", "tx_type", "tx_date", "amount", "filed_late"))
-query("trade_summary", "SELECT l.*, f.filings FROM (SELECT entity_id, count(*) AS trades, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type LIKE 'S%') AS sells, count(*) FILTER (filed_late) AS late, sum(amount)::BIGINT AS amount, min(tx_date) AS first_date, max(tx_date) AS last_date FROM {trade} GROUP BY 1) l JOIN (SELECT entity_id, count(*) AS filings FROM {filing} GROUP BY 1) f USING (entity_id)")(lambda t: trades.trade_summary(t.trade, t.filing))
 query("late_lines", "SELECT filing_id, row_index, filed_late FROM {trade} WHERE tx_date IS NOT NULL")(lambda t: t.trade.where("tx_date IS NOT NULL").select("filing_id", "row_index", F.coalesce(F.datediff("filed_date", "tx_date") > 45, F.lit(False)).alias("filed_late")))
 query("line_date_anomaly", "SELECT filing_id, row_index FROM {trade} WHERE tx_date > filed_date")(lambda t: t.trade.where("tx_date > filed_date").select("filing_id", "row_index"))
 query("traders", "SELECT entity_id, count(*) AS trades FROM {trade} GROUP BY 1")(lambda t: t.trade.groupBy("entity_id").agg(F.count("*").alias("trades")))
 query("top_traders", "SELECT entity_id, count(*) AS trades FROM {trade} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")(lambda t: t.trade.groupBy("entity_id").agg(F.count("*").alias("trades")).orderBy(F.desc("trades"), "entity_id").limit(5))
-query("trades_home_totals", "SELECT count(*) AS trades, count(DISTINCT entity_id) FILTER (chamber = 'senate') AS senate, count(DISTINCT entity_id) FILTER (chamber = 'house') AS house, count(DISTINCT filing_id) AS filings FROM {trade} JOIN {entity} USING (entity_id)")(lambda t: t.trade.join(t.entity.select("entity_id", "chamber"), "entity_id").agg(F.count("*").alias("trades"), F.count_distinct(F.when(F.col("chamber") == "senate", F.col("entity_id"))).alias("senate"), F.count_distinct(F.when(F.col("chamber") == "house", F.col("entity_id"))).alias("house"), F.count_distinct("filing_id").alias("filings")))
 query("monthly_by_category", "SELECT strftime(tx_date, '%Y-%m') AS month, count(*) FILTER (party = 'Democrat') AS democrats, count(*) FILTER (party = 'Republican') AS republicans, count(*) FILTER (party NOT IN ('Democrat', 'Republican')) AS others, count(*) AS total FROM {trade} JOIN {entity} USING (entity_id) WHERE tx_date >= DATE '2001-06-30' - INTERVAL 14 MONTH AND tx_date <= DATE '2001-06-30' GROUP BY 1")(lambda t: trades.monthly(t.trade, t.entity, AS_OF))
 _MONTHS = "SELECT strftime(tx_date, '%Y-%m') AS month, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type <> 'P') AS sells FROM {trade} WHERE tx_date IS NOT NULL GROUP BY 1"
 query("monthly_buy_sell", _MONTHS)(lambda t: trades.monthly_buy_sell(t.trade))
 query("peak_month", "SELECT month, greatest(1, buys + sells) AS total FROM (" + _MONTHS + ") x ORDER BY buys + sells DESC, month LIMIT 1")(lambda t: trades.monthly_buy_sell(t.trade).orderBy((F.col("buys") + F.col("sells")).desc(), "month").limit(1).select("month", F.greatest(F.lit(1), F.col("buys") + F.col("sells")).alias("total")))
 query("ticker_rollup", "SELECT ticker, count(DISTINCT entity_id) AS members, count(*) AS trades, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type <> 'P') AS sells, strftime(min(tx_date), '%Y-%m') AS first_month, strftime(max(tx_date), '%Y-%m') AS last_month FROM {trade} WHERE ticker IS NOT NULL GROUP BY 1")(lambda t: trades.ticker_rollup(t.trade))
 query("ticker_holders", "SELECT ticker, entity_id, count(*) AS trades, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type LIKE 'S%') AS sells, max(tx_date) AS latest FROM {trade} WHERE ticker IS NOT NULL GROUP BY 1, 2")(lambda t: trades.ticker_holders(t.trade))
-query("ticker_trades", "SELECT t.ticker, e.full_name, t.filing_id, t.row_index, t.tx_date FROM {trade} t JOIN {entity} e USING (entity_id) WHERE t.ticker = 'T2'")(lambda t: t.trade.where("ticker = 'T2'").join(t.entity.select("entity_id", "full_name"), "entity_id").select("ticker", "full_name", "filing_id", "row_index", "tx_date"))
 _RANGE = "CASE " + " ".join(f"WHEN amount <= {hi} THEN '{label}'" for label, _, hi in S.AMOUNT_RANGES[:-1]) + f" ELSE '{S.AMOUNT_RANGES[-1][0]}' END"
-query("bucket_range_join", "SELECT filing_id, row_index, " + _RANGE + " AS label FROM {trade}")(lambda t: trades.bucketed(t.trade, trades.amount_dimension(t._spark)).select("filing_id", "row_index", "label"))
-query("amount_distribution", "SELECT " + _RANGE + " AS label, count(*) AS n FROM {trade} GROUP BY 1")(lambda t: trades.bucketed(t.trade, trades.amount_dimension(t._spark)).groupBy("label").agg(F.count("*").alias("n")))
-query("line_confidence_stats", "SELECT count(*) AS total, count(*) FILTER (confidence >= 80) AS high, count(*) FILTER (confidence < 80) AS low, count(ticker) AS with_ticker, CAST(round(100.0 * count(*) FILTER (confidence >= 80) / count(*)) AS BIGINT) AS pct FROM {trade}")(lambda t: t.trade.agg(F.count("*").alias("total"), F.count_if(F.col("confidence") >= 80).alias("high"), F.count_if(F.col("confidence") < 80).alias("low"), F.count("ticker").alias("with_ticker"), S.percent(F.count_if(F.col("confidence") >= 80), F.count("*")).alias("pct")))
+query("bucket_range_join", "SELECT filing_id, row_index, " + _RANGE + " AS label FROM {trade}")(lambda t: trades.bucketed(t.trade).select("filing_id", "row_index", "label"))
+query("amount_distribution", "SELECT " + _RANGE + " AS label, count(*) AS n FROM {trade} GROUP BY 1")(lambda t: trades.bucketed(t.trade).groupBy("label").agg(F.count("*").alias("n")))
 query("confidence_bands", "SELECT CASE WHEN confidence >= 95 THEN '95-100' WHEN confidence >= 90 THEN '90-94' WHEN confidence >= 80 THEN '80-89' ELSE '<80' END AS band, count(*) AS n FROM {trade} GROUP BY 1")(lambda t: t.trade.groupBy(F.when(F.col("confidence") >= 95, "95-100").when(F.col("confidence") >= 90, "90-94").when(F.col("confidence") >= 80, "80-89").otherwise("<80").alias("band")).agg(F.count("*").alias("n")))
 query("flag_distribution", "SELECT parse_status, filed_late, count(*) AS n FROM {trade} JOIN {filing} f USING (filing_id) GROUP BY 1, 2")(lambda t: t.trade.join(t.filing.select("filing_id", "parse_status"), "filing_id").groupBy("parse_status", "filed_late").agg(F.count("*").alias("n")))
 query("distinct_multi", "SELECT count(*) AS n, count(DISTINCT entity_id) AS members, count(DISTINCT filing_id) AS filings FROM {trade}")(lambda t: t.trade.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("members"), F.count_distinct("filing_id").alias("filings")))
 query("distinct_values", "SELECT DISTINCT asset_description FROM {trade} WHERE ticker IS NULL")(lambda t: t.trade.where("ticker IS NULL").select("asset_description").distinct())
 query("header_line_counts", "SELECT f.filing_id, f.parse_status, (SELECT count(*) FROM {trade} t WHERE t.filing_id = f.filing_id) AS lines FROM {filing} f")(lambda t: t.filing.select("filing_id", "parse_status").join(t.trade.groupBy("filing_id").agg(F.count("*").alias("n")), "filing_id", "left").select("filing_id", "parse_status", F.coalesce("n", F.lit(0)).alias("lines")))
 query("open_filings", "SELECT f.filing_id, f.parse_status, e.full_name FROM {filing} f LEFT JOIN {entity} e USING (entity_id) WHERE f.parse_status NOT IN ('parsed')")(lambda t: t.filing.where("parse_status <> 'parsed'").join(t.entity.select("entity_id", "full_name"), "entity_id", "left").select("filing_id", "parse_status", "full_name"))
-query("update_from_aggregate", "SELECT f.filing_id, f.parse_status, c.parse_confidence FROM {filing} f LEFT JOIN (SELECT filing_id, CAST(round(avg(confidence)) AS INTEGER) AS parse_confidence FROM {trade} GROUP BY 1) c USING (filing_id)")(lambda t: trades.header_confidence(t.filing, t.trade))
-query("enrich_lookup", "SELECT t.filing_id, t.row_index, coalesce(t.ticker, d.ticker) AS ticker, CASE WHEN t.ticker IS NULL AND d.ticker IS NOT NULL THEN greatest(t.confidence, 85) ELSE t.confidence END AS confidence FROM {trade} t LEFT JOIN (SELECT asset_description, min(ticker) AS ticker FROM {trade} WHERE ticker IS NOT NULL GROUP BY 1) d USING (asset_description)")(lambda t: trades.enrich_tickers(t.trade, t.trade.where("ticker IS NOT NULL").groupBy("asset_description").agg(F.min("ticker").alias("ticker"))).select("filing_id", "row_index", "ticker", "confidence"))
 query("lowest_confidence", "SELECT t.filing_id, t.row_index, t.confidence, e.full_name FROM {trade} t JOIN {entity} e USING (entity_id) WHERE t.confidence < 90 ORDER BY t.confidence, t.filing_id, t.row_index LIMIT 100")(lambda t: t.trade.where("confidence < 90").join(t.entity.select("entity_id", "full_name"), "entity_id").orderBy("confidence", "filing_id", "row_index").limit(100).select("filing_id", "row_index", "confidence", "full_name"))
 query("month_axis", "SELECT CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 3 MONTH)) AS DATE) AS tick FROM (SELECT date_trunc('month', min(tx_date)) AS a, date_trunc('month', max(tx_date)) AS b FROM {trade}) x")(lambda t: trades.month_axis(t.trade))
 query("log_size", "SELECT filing_id, row_index, round(CASE WHEN hi > lo THEN 2.0 + 6.0 * (x - lo) / (hi - lo) ELSE 2.0 END, 4) AS size FROM (SELECT *, min(x) OVER (PARTITION BY entity_id) AS lo, max(x) OVER (PARTITION BY entity_id) AS hi FROM (SELECT filing_id, row_index, entity_id, ln(greatest(amount, 1)) AS x FROM {trade}) y) z")(lambda t: trades.log_size(t.trade))
 query("latest_trade_per_entity", "SELECT entity_id, max(tx_date) AS latest FROM {trade} GROUP BY 1")(lambda t: t.trade.groupBy("entity_id").agg(F.max("tx_date").alias("latest")))
-query("repair_tickerless", "SELECT filing_id, row_index, CASE WHEN ticker IS NULL AND confidence < 80 AND tx_date IS NOT NULL THEN 80 ELSE confidence END AS confidence FROM {trade}")(lambda t: t.trade.select("filing_id", "row_index", F.when(F.col("ticker").isNull() & (F.col("confidence") < 80) & F.col("tx_date").isNotNull(), 80).otherwise(F.col("confidence")).alias("confidence")))
-query("clear_blacklisted", "SELECT filing_id, row_index, CASE WHEN ticker IN ('T1', 'T3') THEN NULL ELSE ticker END AS ticker FROM {trade}")(lambda t: t.trade.select("filing_id", "row_index", F.when(~F.col("ticker").isin("T1", "T3"), F.col("ticker")).alias("ticker")))
 query("review_flag", "SELECT filing_id, row_index, confidence < 80 AS needs_review FROM {trade}")(lambda t: t.trade.select("filing_id", "row_index", (F.col("confidence") < 80).alias("needs_review")))
-query("suspicious_text", "SELECT filing_id, row_index FROM {trade} WHERE length(asset_description) < 12")(lambda t: t.trade.where(F.length("asset_description") < 12).select("filing_id", "row_index"))
 query("rule_check", "SELECT filing_id, 'dated' AS rule FROM {trade} WHERE tx_date IS NULL UNION ALL SELECT filing_id, 'filed after' FROM {trade} WHERE tx_date > filed_date UNION ALL SELECT filing_id, 'confidence' FROM {trade} WHERE confidence < 70")(lambda t: core.rule_violations(t.trade, "filing_id", {"dated": F.col("tx_date").isNotNull(), "filed after": F.col("tx_date") <= F.col("filed_date"), "confidence": F.col("confidence") >= 70}))
 query("duplicate_lines", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda t: core.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"]))
 
@@ -152,8 +143,8 @@ query("fold_name", f"SELECT doc_id, translate(lower(text), '{S.ACCENTED}', '{S.F
 _TYPE = "CASE tx_type WHEN 'P' THEN 'P' WHEN 'S' THEN 'S' ELSE 'S (partial)' END AS tx_type"
 query("html_trades_round_trip", "SELECT filing_id, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY row_index) - 1 AS INTEGER) AS row_index, tx_date, 'SP' AS owner_code, ticker, coalesce(asset_description, '--') AS asset_description, 'Stock' AS asset_type, " + _TYPE + ", " + _RANGE + " AS amount_range FROM {trade}")(lambda t: _html_round_trip(t))
 query("rollcall_round_trip", "SELECT ballot_id, CAST(entity_id AS VARCHAR) AS entity_id, position FROM {position} WHERE entity_id IS NOT NULL")(lambda t: _rollcall_round_trip(t))
-_DECODED = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
-for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+_DECODED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _entity, _plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#35;", "#"), ("&#39;", "''"), ("&quot;", '"'), ("&nbsp;", " ")):
     _DECODED = f"replace({_DECODED}, '{_entity}', '{_plain}')"
 query("html_text", f"SELECT page_id, trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')) AS text FROM pages")(lambda t: t.pages.select("page_id", S.html_text(F.col("html")).alias("text")))
 query("terms_round_trip", "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, count(*) AS terms, count(*) FILTER (rn = 1) AS current FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x GROUP BY 1")(lambda t: _terms(t))
@@ -170,7 +161,7 @@ def _stats(t: Tables) -> DataFrame:
 def _html_round_trip(t: Tables) -> DataFrame:
     """Trades rendered as one HTML table a filing and parsed back."""
     cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(c, F.lit("--")), F.lit("</td>"))
-    label = trades.bucketed(t.trade, trades.amount_dimension(t._spark))
+    label = trades.bucketed(t.trade)
     row = F.concat(F.lit("<tr>"), cell(F.col("row_index").cast("string")), cell(F.date_format("tx_date", "MM/dd/yyyy")), cell(F.lit("Spouse")), cell(F.col("ticker")), cell(F.col("asset_description")), cell(F.lit("Stock")), cell(F.when(F.col("tx_type") == "P", "Purchase").when(F.col("tx_type") == "S", "Sale (Full)").otherwise("Sale (Partial)")), cell(F.col("label")), cell(F.lit("")), F.lit("</tr>"))
     pages = label.select("filing_id", F.struct("row_index", row.alias("row")).alias("r")).groupBy("filing_id").agg(F.concat(F.lit('<table class="table"><tbody>'), F.array_join(F.sort_array(F.collect_list("r"))["row"], ""), F.lit("</tbody></table>")).alias("html"))
     return feeds.parse_html_trades(pages, "filing_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -107,3 +107,32 @@ def parse_html_trades(raw: DataFrame, key: str, col: str = "html") -> DataFrame:
 
 def content_hash(files: DataFrame, col: str = "content") -> DataFrame:
     return files.withColumn("content_hash", F.sha2(F.col(col).cast("binary"), 256))
+
+
+def join_social(entities: DataFrame, social: DataFrame, order: list) -> DataFrame:
+    """Entities with the accounts of a side table; of repeated ids its last row in ``order`` counts."""
+    last = F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))
+    return entities.join(social.withColumn("_n", last).where("_n = 1").drop("_n"), "entity_id", "left")
+
+
+def ingest_finance(feed: DataFrame, measures: list[str]) -> DataFrame:
+    """Feed rows with a cycle; measures become whole dollars, nulls 0."""
+    return feed.where("cycle IS NOT NULL AND cycle <> 0").withColumns({m: F.round(F.coalesce(m, F.lit(0.0))).cast("long") for m in measures})
+
+
+def parse_senate_xml(raw: DataFrame, lookup: DataFrame, order: list, col: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(ballots, positions) of roll calls in the layout with members by name and state (ballot_id, year, xml).
+
+    A date that cannot be read is the first of the year. Members are found by last name,
+    in lower case, and state in ``lookup`` (entity_id, last_name, state), whose last
+    row of a key in ``order`` counts; others are dropped.
+    """
+    tag = lambda x, n: S.xml_tag(F.col(x), n)
+    date = F.coalesce(S.parse_ballot_date(tag(col, "vote_date")), F.make_date("year", F.lit(1), F.lit(1)))
+    head = raw.select("ballot_id", date.alias("ballot_date"), tag(col, "question").alias("question"), *(tag(col, n).try_cast("int").alias(n) for n in ("yeas", "nays")))
+    key = lambda last, state: F.concat(F.lower(F.trim(last)), F.lit("-"), F.trim(state))
+    known = lookup.withColumn("_key", key(F.col("last_name"), F.col("state")))
+    known = known.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1").select("_key", "entity_id")
+    votes = raw.select("ballot_id", F.explode(F.regexp_extract_all(col, F.lit(r"(?s)<member>(.*?)</member>"))).alias("m"))
+    named = votes.select("ballot_id", key(tag("m", "last_name"), tag("m", "state")).alias("_key"), S.norm_position(tag("m", "vote_cast")).alias("position"))
+    return head, named.join(known, "_key").select("ballot_id", "entity_id", "position")

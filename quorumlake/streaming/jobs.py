@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.core import upsert
+from ..operators.core import insert_ignore, upsert
+
+BUCKET = "_bucket"
+
+
+def create_table(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Write ``rows`` as a Parquet table in folders by a hash of the keys, as ``stream_upsert`` needs it."""
+    rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.partitionBy(BUCKET).parquet(path)
 
 
-def stream_upsert(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], update: list[str], newest: list, checkpoint: str):
-    """Start a query that merges every micro-batch into a table by ``upsert``.
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
 
-    ``read`` gives the table, ``write`` replaces it; the merge of a batch is idempotent,
-    so a batch that is run again after a failure changes nothing.
+
+def stream_upsert(stream: DataFrame, path: str, keys: list[str], update: list[str] | None, newest: list, checkpoint: str, buckets: int = 64):
+    """Start a query that merges every micro-batch into the table at ``path``.
+
+    Known keys get the columns ``update`` of the batch's newest row; with ``update``
+    None they stay as they are (insert-ignore). Only folders that hold keys of the batch
+    are read and written again. The merge is idempotent, so a batch that is run again
+    after a failure changes nothing. An empty batch changes nothing.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        write(upsert(read(), batch, keys, update, newest))
+        spark = batch.sparkSession
+        placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # at most `buckets`
+        if touched:
+            table = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+            source = placed.select(*table.columns)
+            merged = insert_ignore(table, source, keys, newest) if update is None else upsert(table, source, keys, update, newest)
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_counts(stream: DataFrame, time_col: str = "ts", kind_col: str = "event_type", late: str = "2 days") -> DataFrame:
-    """Counts a day and kind with bounded lateness; months are rolled up from days in batch."""
+    """Counts a day and kind with bounded lateness; months are rolled up from days in batch.
+
+    In append mode a day comes out once, when the watermark has passed its end; rows of
+    days that have come out are dropped.
+    """
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, "1 day"), F.col(kind_col).alias("kind")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("date").alias("day"), "kind", "n")
 
 

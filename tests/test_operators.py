@@ -75,13 +75,19 @@ def test_feeds(spark):
 
 
 def test_streams(spark, tmp_path):
-    src, state = str(tmp_path / "src"), {}
-    base = spark.createDataFrame([(1, 1)], "k int, y int")
+    src, path = str(tmp_path / "src"), str(tmp_path / "table")
+    jobs.create_table(spark.createDataFrame([(1, 1), (7, 7)], "k int, y int"), path, ["k"], 8)
+    untouched = {f for f in (tmp_path / "table").rglob("*.parquet") if spark.read.parquet(str(f)).where("k = 7").count()}
     spark.createDataFrame([(1, 5), (2, 6)], "k int, y int").write.parquet(src)
-    state["t"] = base
-    q = jobs.stream_upsert(spark.readStream.schema("k int, y int").parquet(src), lambda: state["t"], lambda df: state.update(t=spark.createDataFrame(df.collect(), df.schema)), ["k"], ["y"], [F.desc("y")], str(tmp_path / "c"))
-    q.awaitTermination(60)
-    assert rows(state["t"]) == [(1, 5), (2, 6)]
+    stream = spark.readStream.schema("k int, y int").parquet(src)
+    jobs.stream_upsert(stream, path, ["k"], ["y"], [F.desc("y")], str(tmp_path / "c"), 8).awaitTermination(60)
+    assert rows(jobs.read_table(spark, path)) == [(1, 5), (2, 6), (7, 7)]
+    same = spark.range(8).select(F.pmod(F.xxhash64(F.col("id").cast("int")), F.lit(8)).alias("b"), "id").where("id in (1, 2, 7)").collect()
+    if len({r.b for r in same}) == 3:
+        assert all(f.exists() for f in untouched)  # its folder was not written again
+    spark.createDataFrame([(1, 9), (3, 3)], "k int, y int").write.mode("append").parquet(src)
+    jobs.stream_upsert(stream, path, ["k"], None, [F.desc("y")], str(tmp_path / "i"), 8).awaitTermination(60)
+    assert rows(jobs.read_table(spark, path)) == [(1, 5), (2, 6), (3, 3), (7, 7)]
     ev = str(tmp_path / "ev")
     spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 05:00:00", "a"), ("2024-02-02 00:00:00", "b")], "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type").write.parquet(ev)
     q = jobs.daily_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(ev)).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
@@ -89,6 +95,25 @@ def test_streams(spark, tmp_path):
     assert rows(jobs.monthly_from_daily(spark.table("daily"))) == [("2024-01", "a", 2), ("2024-02", "b", 1)]
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Append mode: a day comes out once the watermark has passed it; later rows of it don't count."""
+    ev, out = tmp_path / "ev", str(tmp_path / "out")
+    stamp = lambda *times: spark.createDataFrame([(t, "a") for t in times], "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type").coalesce(1)
+
+    def run():
+        q = jobs.daily_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(str(ev))).writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+
+    stamp("2024-01-01 01:00:00", "2024-01-01 05:00:00").write.parquet(str(ev))
+    run()
+    stamp("2024-01-10 00:00:00").write.mode("append").parquet(str(ev))
+    run()
+    stamp("2024-01-01 06:00:00", "2024-01-20 00:00:00").write.mode("append").parquet(str(ev))  # the first is too late
+    run()
+    got = {(str(r.day), r.n) for r in spark.read.parquet(out).collect()}
+    assert ("2024-01-01", 2) in got and not any(d == "2024-01-01" and n != 2 for d, n in got) and ("2024-01-10", 1) in got
+
+
 def test_plans(spark):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
