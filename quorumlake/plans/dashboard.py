@@ -18,8 +18,11 @@ def _sql(values: list) -> str:
 
 def _branches(name: str, function, inputs: list, outputs: list) -> None:
     """A query that gives every entity the function of one of the texts ``inputs``, chosen by its id; every branch occurs."""
-    pick = F.element_at(F.array(*(F.lit(x).cast("string") for x in inputs)), F.pmod("entity_id", F.lit(len(inputs))).cast("int") + 1)
-    query(name, f"SELECT entity_id, ([{_sql(outputs)}])[CAST(entity_id % {len(inputs)} AS INTEGER) + 1] AS value FROM {{entity}}")(lambda t: t.entity.select("entity_id", pick.alias("_x")).select("entity_id", function(F.col("_x")).cast("string").alias("value")))
+
+    def pick() -> Column:
+        return F.element_at(F.array(*(F.lit(x).cast("string") for x in inputs)), F.pmod("entity_id", F.lit(len(inputs))).cast("int") + 1)
+
+    query(name, f"SELECT entity_id, ([{_sql(outputs)}])[CAST(entity_id % {len(inputs)} AS INTEGER) + 1] AS value FROM {{entity}}")(lambda t: t.entity.select("entity_id", pick().alias("_x")).select("entity_id", function(F.col("_x")).cast("string").alias("value")))
 
 
 _branches("map_asset_type", S.map_asset_type, ["Common Stock", "Private Equity", "Corporate Bond", "Treasury NOTE", "Muni issue", "Call Option", "Hedge Fund", "SPDR ETF", "Mutual pool", "Cryptocurrency", " Farm ", "", None, "Stock Option"], ["Stock", "Stock", "Bond", "Bond", "Bond", "Option", "Fund", "Fund", "Fund", "Cryptocurrency", "Farm", None, None, "Stock"])
