@@ -16,12 +16,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
+from .common import resident
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -106,7 +106,6 @@ class BytePairCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> BytePairCoder:
     return BytePairCoder.load(path, pattern)
 
@@ -124,7 +123,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def task(batches):
         import pyarrow as pa
 
-        bpe = coder(path, pattern)
+        bpe = resident(("bpe", path, pattern), lambda: coder(path, pattern))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

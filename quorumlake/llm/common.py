@@ -11,11 +11,34 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_held: dict = {}
+
+
+def resident(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` returns, held by a Python worker for its next tasks until one asks for another key.
+
+    Workers outlive stages; so an operator's model does not stay when the next operator runs.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def sliced(batches: Iterable, rows: int = 512):
+    """Arrow batches in pieces of at most ``rows`` rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

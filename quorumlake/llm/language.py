@@ -10,12 +10,11 @@ dictionary helps all along it and the margin is the same share at any length.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import residue
+from .common import residue, resident, sliced
 
 BLOCK = 16_384  # bytes
 
@@ -55,7 +54,6 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     return {lang: content(texts) for lang, texts in parts.items()}
 
 
-@lru_cache(maxsize=2)
 def _compressors(model: tuple[tuple[str, bytes], ...], level: int):
     import zstandard as z
 
@@ -98,8 +96,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, le
     def task(batches):
         import pyarrow as pa
 
-        compressors = _compressors(*shared.value)
-        for batch in batches:
+        compressors = resident(("language", shared.value), lambda: _compressors(*shared.value))
+        for batch in sliced(batches):
             got = [decide(t, compressors, margin) for t in batch.column(2).to_pylist()]
             cols = list(zip(*got, strict=True)) or [(), (), (), ()]
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
@@ -121,8 +119,8 @@ def keep(docs: DataFrame, model: dict[str, bytes], margin: float = 0.002, level:
     def task(batches):
         import pyarrow as pa
 
-        compressors = _compressors(*shared.value)
-        for batch in batches:
+        compressors = resident(("language", shared.value), lambda: _compressors(*shared.value))
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not decide(t, compressors, margin)[3] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)

@@ -14,19 +14,17 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import cut, gapless
+from .common import cut, gapless, resident, sliced
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
@@ -62,19 +60,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
         import pyarrow as pa
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode, end = encoder(path), array("I", [end_id]).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc, body in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    packed = body + end
-                    n = len(packed) // 4
-                    cuts = [0, *range(n % capacity or min(capacity, n), n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for col, x in zip(rows, (doc, k, a, b - a, zlib.crc32(packed[4 * a : 4 * b])), strict=True):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode, end = resident(("packing", path), lambda: encoder(path)), array("I", [end_id]).tobytes()
+        for part in sliced(batches, 256):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for doc, body in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                packed = body + end
+                n = len(packed) // 4
+                cuts = [0, *range(n % capacity or min(capacity, n), n + 1, capacity)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    for col, x in zip(rows, (doc, k, a, b - a, zlib.crc32(packed[4 * a : 4 * b])), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, PIECES)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from typing import NamedTuple
 
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import residue
+from .common import residue, resident, sliced
 
 #: What a sign may stand for.
 LEET = {
@@ -38,6 +39,7 @@ PREFIXES = (4, 5, 6, 7)
 EDGE = ".,;:?\"'()[]{}<>…«»“”‘’`~^=\\/"
 SIZE = len(LETTERS) + 1  # 0 is the word boundary
 SHORT, ODD = 3, math.log(0.05)
+SPAN = 1 << 18  # characters counted at once
 TWICE = re.compile(r"(.)\1")
 
 
@@ -57,10 +59,10 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for i, c in enumerate(LETTERS):
             lut[ord(c)] = i + 1
         total = np.zeros(SIZE**3, dtype=np.int64)
-        for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for at in range(0, len(texts), 512):
-                s = lut[np.frombuffer(("  " + "  ".join(texts[at : at + 512]).lower() + "  ").encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        for batch in sliced(batches):
+            text = "  " + "  ".join(t for t in batch.column(0).to_pylist() if t).lower() + "  "
+            for at in range(0, len(text) - 2, SPAN):  # two characters more, so that no trigram is lost
+                s = lut[np.frombuffer(text[at : at + SPAN + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
                 total += np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
         reader = Reader(Decoder(shared.value))
         got = [Counter() for _ in range(4)]
-        for b in batches:
+        for b in sliced(batches):
             for t, y, half in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got[2 * half + y].update({f for w in reader.words(t) for f in features(w)})
         names = list(set().union(*got))
@@ -290,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         import pyarrow as pa
 
         reader = Reader(Decoder(shared.value), half)
-        for b in batches:
+        for b in sliced(batches):
             x = [reader.evidence(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column(1)], ["a", "b", "y"])
 
@@ -310,14 +312,14 @@ def judge(docs: DataFrame, model: Model, held_out: Column | None = None, thresho
     A null or empty text has no evidence and gets the curve's score without any. Repeated
     rows give repeated results; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE ** 3 floats and the sample's features
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # SIZE ** 3 floats and the sample's features
 
     def task(batches):
         import pyarrow as pa
 
         m = shared.value
-        reader = Reader(Decoder(m.trigram), m.weights)
-        for b in batches:
+        reader = resident(("toxicity", name), lambda: Reader(Decoder(m.trigram), m.weights))
+        for b in sliced(batches):
             s = [_score(reader.evidence(t or ""), m.curve) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -330,15 +332,15 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
 
     Repeated rows fare alike; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def task(batches):
         import pyarrow as pa
 
         m = shared.value
-        reader = Reader(Decoder(m.trigram), m.weights)
-        for b in batches:
+        reader = resident(("toxicity", name), lambda: Reader(Decoder(m.trigram), m.weights))
+        for b in sliced(batches):
             yield b.filter(pa.array([_score(reader.evidence(t or ""), m.curve) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
