@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def parts(rows: DataFrame, key: str, *of: str, size: int = 1000) -> DataFrame:
+    """``rows`` with a ``part``: by a hash of ``of``, a key's rows fall into parts of about ``size`` each, one for a small key."""
+    many = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > size)  # few keys
+    count = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1))
+    return rows.join(many, key, "left").withColumn("part", F.pmod(F.xxhash64(*of), count).cast("int")).drop("_n")
+
+
 def topk_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key in ``order``, which should end in a unique column."""
     name = rank or "_rank"

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scalar import percent
 
 
-def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None, block: int = 1000) -> DataFrame:
     """(a, b, shared, agreed, pct) for every pair that both voted yea or nay on a ballot.
 
-    Deduplicated and filtered before the self-join on the ballot; the pair count a
-    ballot is bounded by the size of the chamber. ``entities`` restricts both sides.
+    Filtered before the self-join on the ballot. A ballot of more than ``block`` votes is
+    dealt into blocks, and every two blocks meet in a join key of their own, so that no
+    task has all pairs of a large ballot. ``entities`` restricts both sides.
     """
     votes = position.where(F.col("position").isin("yea", "nay"))
     if entities is not None:
         votes = votes.join(entities.select("entity_id"), "entity_id", "left_semi")
-    a, b = (votes.select("ballot_id", F.col("entity_id").alias(n), F.col("position").alias(f"p{n}")) for n in "ab")
-    pairs = a.join(b, "ballot_id").where("a < b").groupBy("a", "b")
+    large = votes.groupBy("ballot_id").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    dealt = votes.join(large, "ballot_id", "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
+    own, all_ = F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = dealt.select("ballot_id", own.alias("_i"), all_.alias("_j"), F.col("entity_id").alias("a"), F.col("position").alias("pa"))
+    b = dealt.select("ballot_id", all_.alias("_i"), own.alias("_j"), F.col("entity_id").alias("b"), F.col("position").alias("pb"))
+    pairs = a.join(b, ["ballot_id", "_i", "_j"]).where("a < b").groupBy("a", "b")
     out = pairs.agg(F.count("*").alias("shared"), F.count_if(F.col("pa") == F.col("pb")).alias("agreed"))
     return out.withColumn("pct", percent(F.col("agreed"), F.col("shared")))
 

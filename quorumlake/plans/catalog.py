@@ -147,7 +147,7 @@ _DECODED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _entity, _plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#35;", "#"), ("&#39;", "''"), ("&quot;", '"'), ("&nbsp;", " ")):
     _DECODED = f"replace({_DECODED}, '{_entity}', '{_plain}')"
 query("html_text", f"SELECT page_id, trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')) AS text FROM pages")(lambda t: t.pages.select("page_id", S.html_text(F.col("html")).alias("text")))
-query("terms_round_trip", "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, count(*) AS terms, count(*) FILTER (rn = 1) AS current FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x GROUP BY 1")(lambda t: _terms(t))
+query("terms_round_trip", "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS end_date, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) = 1 AS is_current FROM orders")(lambda t: _terms(t))
 
 
 def _stats(t: Tables) -> DataFrame:
@@ -168,14 +168,20 @@ def _html_round_trip(t: Tables) -> DataFrame:
 
 
 def _rollcall_round_trip(t: Tables) -> DataFrame:
-    """Positions rendered as roll-call XML and parsed back."""
+    """Positions rendered as roll-call XML, large ballots in parts, and parsed back."""
     vote = F.concat(F.lit('<recorded-vote><legislator name-id="'), F.col("entity_id").cast("string"), F.lit('"/><vote>'), F.initcap("position"), F.lit("</vote></recorded-vote>"))
-    docs = t.position.groupBy("ballot_id").agg(F.concat(F.lit("<rollcall-vote><vote-question>On Passage</vote-question>"), F.array_join(F.sort_array(F.collect_list(vote)), ""), F.lit("</rollcall-vote>")).alias("xml"))
+    docs = core.parts(t.position, "ballot_id", "entity_id").groupBy("ballot_id", "part").agg(F.concat(F.lit("<rollcall-vote><vote-question>On Passage</vote-question>"), F.array_join(F.sort_array(F.collect_list(vote)), ""), F.lit("</rollcall-vote>")).alias("xml"))
     return feeds.parse_rollcall_xml(docs)[1]
 
 
 def _terms(t: Tables) -> DataFrame:
-    """Customers as nested person records with their orders as terms, to JSON and back."""
-    term = F.struct(F.col("o_orderdate").cast("string").alias("start"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("end"), F.lit("sen").alias("type"))
-    persons = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(term)).alias("terms")).select(F.to_json(F.struct(F.struct(F.col("o_custkey").cast("string").alias("bioguide")).alias("id"), "terms")).alias("json"))
-    return feeds.explode_terms(feeds.parse_json(persons, feeds.PERSON)).groupBy("entity_id").agg(F.count("*").alias("terms"), F.count_if("is_current").alias("current"))
+    """Customers as nested person records with their orders as terms, to JSON and back.
+
+    Long careers are written in parts: of the parts' last terms the latest is the current one.
+    """
+    term = F.struct(F.col("o_orderdate").cast("date").cast("string").alias("start"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("end"), F.lit("sen").alias("type"))
+    persons = core.parts(t.orders, "o_custkey", "o_orderkey").groupBy("o_custkey", "part").agg(F.sort_array(F.collect_list(term)).alias("terms")).select(F.to_json(F.struct(F.struct(F.col("o_custkey").cast("string").alias("bioguide")).alias("id"), "terms")).alias("json"))
+    terms = feeds.explode_terms(feeds.parse_json(persons, feeds.PERSON))
+    last = terms.where("is_current").groupBy("entity_id").agg(F.max(F.struct("start_date", "end_date")).alias("last"))
+    current = F.col("is_current") & (F.struct("start_date", "end_date") == F.col("last"))
+    return terms.join(last, "entity_id").select("entity_id", "start_date", "end_date", current.alias("is_current"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import AMOUNT_RANGES
-from ..operators import compare, people, repairs, resolve
+from ..operators import compare, core, people, repairs, resolve
 from ..sources import feeds
 from .catalog import _COVER, _EFF, _LATEST, AS_OF, _topk_sql, query
 from .fixtures import Tables
@@ -88,9 +88,9 @@ query("resolve_entity_lower", "SELECT s.filing_id, coalesce(a.x, b.x, c.x) AS en
 
 
 def _sponsorships(t: Tables) -> DataFrame:
-    """Items as bill records with their sponsors, to JSON and back."""
-    link = t.item_link.select("item_id", "role", F.struct(F.col("entity_id").cast("string").alias("bioguideId")).alias("p"))
-    who = link.groupBy("item_id").agg(*(F.collect_list(F.when(F.col("role") == r, F.col("p"))).alias(f"{r}s") for r in ("sponsor", "cosponsor")))
+    """Items as bill records with their sponsors, many in parts, to JSON and back."""
+    link = core.parts(t.item_link, "item_id", "entity_id").select("item_id", "part", "role", F.struct(F.col("entity_id").cast("string").alias("bioguideId")).alias("p"))
+    who = link.groupBy("item_id", "part").agg(*(F.collect_list(F.when(F.col("role") == r, F.col("p"))).alias(f"{r}s") for r in ("sponsor", "cosponsor")))
     raw = t.item.join(who, "item_id").select(F.to_json(F.struct(F.lit("HR").alias("type"), F.col("item_id").cast("string").alias("number"), "title", "sponsors", "cosponsors")).alias("json"))
     tracked = t.entity.where("in_office").select(F.col("entity_id").cast("string").alias("entity_id"))
     kept = feeds.normalize_items(feeds.parse_json(raw, feeds.BILL), tracked, 119)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import resolve
+from ..operators import core, resolve
 from ..sources import feeds
 from .catalog import query
 from .fixtures import Tables
@@ -28,10 +28,10 @@ def _tree(t: Tables) -> DataFrame:
 
 @query("membership_round_trip", "SELECT committee_id, CAST(entity_id AS VARCHAR) AS entity_id, role FROM {assignment} WHERE entity_id % 5 <> 0")
 def _membership(t: Tables) -> DataFrame:
-    """An entity's seats as a map of committee to members; every fifth member lacks an id."""
+    """An entity's seats, many in parts, as a map of committee to members; every fifth member lacks an id."""
     title = "CASE role WHEN 'chair' THEN 'Chairman' WHEN 'ranking_member' THEN 'Ranking Member' WHEN 'vice_chair' THEN 'Vice Chair' END AS title"
     member = t.assignment.selectExpr("entity_id", "committee_id", "CASE WHEN entity_id % 5 <> 0 THEN CAST(entity_id AS STRING) END AS bioguide", title)
-    maps = member.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("committee_id", F.array(F.struct("bioguide", "title"))))).alias("members"))
+    maps = core.parts(member, "entity_id", "committee_id").groupBy("entity_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("committee_id", F.array(F.struct("bioguide", "title"))))).alias("members"))
     raw = maps.select(F.to_json(F.struct("members")).alias("json"))
     return feeds.explode_membership(feeds.parse_json(raw, "members MAP<STRING, ARRAY<STRUCT<bioguide: STRING, title: STRING>>>"))
 

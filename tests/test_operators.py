@@ -139,3 +139,18 @@ def test_round_trips(spark):
     assert entry.queries()["html_trades_round_trip"](spark, "/root/testdata/sf0.001").count() == t.trade.count()
     back = entry.queries()["rollcall_round_trip"](spark, "/root/testdata/sf0.001")
     assert rows(back.selectExpr("ballot_id", "cast(entity_id as long)", "position")) == rows(t.position)
+
+
+def test_large_ballots_are_dealt_into_blocks(spark):
+    rows = [(b, e, "yea" if (b * e) % 3 else "nay") for b in range(3) for e in range(4 + 5 * b)] + [(None, 1, "yea"), (1, None, "yea"), (1, 2, "present")]
+    position = spark.createDataFrame(rows, "ballot_id int, entity_id int, position string")
+    want = sorted(votes.pairwise_agreement(position).collect())
+    assert sorted(votes.pairwise_agreement(position, block=2).collect()) == want
+    assert len(want) == 14 * 13 // 2
+
+
+def test_parts_keep_every_row_and_split_large_keys(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 10 = 9 THEN NULL ELSE IF(id < 4000, 1, id) END AS k", "id")
+    got = core.parts(rows, "k", "id", size=500).groupBy("k", "part").count().collect()
+    assert sum(r["count"] for r in got) == 5000
+    assert max(r["count"] for r in got if r.k == 1) < 1000 and {r.part for r in got if r.k != 1 and r.k is not None} == {0}
