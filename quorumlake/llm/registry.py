@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, forest, language, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
+from . import bpe, collocations, contamination, forest, language, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.query,
         "op9_personal_data": pii.query,
         "op10_forest_neighbours": forest.query,
+        "op11_fm_decontamination": contamination.query,
+        "op13_collocations": collocations.query,
     }
 
 
@@ -36,4 +38,4 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_top_k": OP2_SQL}
+    return {"op2_voronoi_top_k": OP2_SQL, "op11_fm_decontamination": contamination.SQL, "op13_collocations": collocations.SQL}
