@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, contamination, forest, language, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
+from . import bpe, collocations, contamination, conversations, forest, language, packing, pii, pitman_yor, sharding, simhash, toxicity, voronoi
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_personal_data": pii.query,
         "op10_forest_neighbours": forest.query,
         "op11_fm_decontamination": contamination.query,
+        "op12_conversation_repair": conversations.query,
         "op13_collocations": collocations.query,
     }
 
