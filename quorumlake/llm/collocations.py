@@ -8,13 +8,18 @@ does. Runs are merged in partitions of the prefix, a phrase's first two words.
 
 A phrase is as frequent as asked only if all of its parts are. So words are counted
 first, then pairs of frequent words, then longer phrases in chains of frequent pairs.
-Which words and pairs are frequent reaches the tasks as a bit table of ``bits`` bits,
-whatever their number: a wrong hit lets a phrase be counted that the threshold drops
-later, never the reverse. Word numbers are a task's own; runs hold the words themselves.
+Before pairs are counted apart, their hashes are counted in a table of at most ``bits``
+counters; pairs whose counter stays low are left out. What may be frequent reaches the
+tasks as a bit table of at most ``bits`` bits, whatever the number of words and pairs: a
+wrong hit lets a phrase be counted that the threshold drops later, never the reverse.
+(On a corpus of far more than a hundred words a bit the tables are full; results are the
+same, and runs hold all pairs of frequent words.) Word numbers are a task's own; runs
+hold the words themselves.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -118,20 +123,45 @@ def _groups(column: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(column[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True)
 
 
+class Vocabulary:
+    """A task's numbers, from 1, of words that may be frequent, with their languages and hashes."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.names, self.langs, self.hashes = [b""], [""], [0]
+        self.numbers: dict[str, _Numbers] = {}
+
+    def ids(self, lang: str, texts: list[bytes]) -> np.ndarray:
+        """The words' numbers in order; 0 for other words and for breaks."""
+        if lang not in self.numbers:
+            self.numbers[lang] = _Numbers(lang, self)
+        number = self.numbers[lang].__getitem__
+        return np.concatenate([np.fromiter(map(number, part), dtype=np.int64, count=len(part)) for part in words(texts)] or [np.zeros(0, dtype=np.int64)])
+
+    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, whether it and the next one are words that may be frequent, and the pair's hash."""
+        h = np.array(self.hashes, dtype=np.uint64)[ids]
+        return (ids[:-1] > 0) & (ids[1:] > 0), h[:-1] ^ (h[1:] << np.uint64(21) | h[1:] >> np.uint64(43))
+
+    def __len__(self) -> int:
+        return sum(map(len, self.numbers.values()))
+
+
 class _Numbers(dict):
-    """Numbers from 1 of one language's words that may be frequent; 0 for others and for breaks."""
+    """One language's words."""
 
-    def __init__(self, lang: str, names: list[bytes], hashes: list[int], table: np.ndarray):
+    def __init__(self, lang: str, of: Vocabulary):
         super().__init__({BREAK: 0})
-        self.lead, self.names, self.hashes, self.table, self.last = lang.encode() + b"\n", names, hashes, memoryview(table), 64 * len(table) - 1
+        self.lang, self.lead, self.of, self.table, self.last = lang, lang.encode() + b"\n", of, memoryview(of.table), 64 * len(of.table) - 1
 
     def __missing__(self, word: bytes) -> int:
         h = xxh64_intdigest(self.lead + word, 42)
         number, at = 0, h & self.last
         if self.table[at >> 6] >> (at & 63) & 1:
-            number = len(self.names)
-            self.names.append(word)
-            self.hashes.append(h)
+            number = len(self.of.names)
+            self.of.names.append(word)
+            self.of.langs.append(self.lang)
+            self.of.hashes.append(h)
         self[word] = number
         return number
 
@@ -200,23 +230,58 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(task, "lang string, head string, tail string, n long")
 
 
-def _phrase_counts(texts: DataFrame, lengths: list[int], word_bits, pair_bits=None) -> DataFrame:
-    """Runs of the phrases of ``lengths`` words; with ``pair_bits``, those whose pairs all have their bits."""
+def _pair_counters(texts: DataFrame, word_bits, least: int, counters: int) -> np.ndarray:
+    """A bit table of the pair hashes whose counter reaches ``least``; counters stop there.
+
+    A task has ``counters`` of them and gives them away in chunks, which are added up one
+    by one; the driver gets ``counters / 8`` bytes.
+    """
+    small, chunk = np.min_scalar_type(least), min(counters, 1 << 16)
 
     def task(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        table = word_bits.value
+        mine, known = np.zeros(counters, dtype=small), Vocabulary(word_bits.value)
+        for held in _texts(batches):
+            for lang, own in held.items():
+                linked, h = known.pairs(known.ids(lang, own))
+                at, n = np.unique(h[linked] & np.uint64(counters - 1), return_counts=True)
+                mine[at] = np.minimum(mine[at] + n, least)
+            if len(known) > HELD:
+                known = Vocabulary(word_bits.value)
+        full = np.flatnonzero(mine.reshape(-1, chunk).any(axis=1))
+        for i in full.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(mine[i * chunk : (i + 1) * chunk].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zlib.decompress(counts.as_py()), dtype=small).astype(np.int64)
+                sums[i] = np.minimum(sums.get(i, 0) + own, least)
+        full = {i: np.packbits(x >= least, bitorder="little").tobytes() for i, x in sums.items() if x.max() >= least}
+        yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.int64()), pa.array(list(full.values()), pa.binary())], ["chunk", "bits"])
+
+    table = np.zeros(max(counters, 64) // 8, dtype=np.uint8)
+    for row in texts.mapInArrow(task, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, bits binary").collect():
+        part = np.frombuffer(row.bits, dtype=np.uint8)
+        table[row.chunk * chunk // 8 :][: len(part)] = part
+    return table.view(np.uint64)
 
-        def fresh():
-            names, hashes, langs = [b""], [0], [""]
-            return HatTrie(), names, hashes, langs, {}
 
-        trie, names, hashes, langs, numbers = fresh()
+def _phrase_counts(texts: DataFrame, lengths: list[int], word_bits, pair_bits) -> DataFrame:
+    """Runs of the phrases of ``lengths`` words whose words and pairs all have their bits."""
+
+    def task(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        trie, known = HatTrie(), Vocabulary(word_bits.value)
 
         def out(keep: int):
-            vocabulary, of = pa.array(names, pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
+            vocabulary, of = pa.array(known.names, pa.binary()).cast(pa.string()), pa.array(known.langs, pa.string())
             for phrases, counts in trie.spill(keep):
                 word = [pc.take(vocabulary, pa.array(phrases[:, i])) for i in range(phrases.shape[1])]
                 tail = pc.binary_join_element_wise(*word[2:], " ") if len(word) > 2 else pa.array([""] * len(counts))
@@ -224,15 +289,9 @@ def _phrase_counts(texts: DataFrame, lengths: list[int], word_bits, pair_bits=No
 
         for held in _texts(batches):
             for lang, own in held.items():
-                if lang not in numbers:
-                    numbers[lang] = _Numbers(lang, names, hashes, table)
-                ids = np.concatenate([np.fromiter(map(numbers[lang].__getitem__, part), dtype=np.int64, count=len(part)) for part in words(own)] or [np.zeros(0, dtype=np.int64)])
-                langs += [lang] * (len(names) - len(langs))
-                linked = (ids[:-1] > 0) & (ids[1:] > 0)
-                if pair_bits is not None:
-                    h = np.array(hashes, dtype=np.uint64)
-                    a, b = h[ids[:-1]], h[ids[1:]]
-                    linked &= _set(pair_bits.value, a ^ (b << np.uint64(21) | b >> np.uint64(43)))
+                ids = known.ids(lang, own)
+                linked, h = known.pairs(ids)
+                linked &= _set(pair_bits.value, h)
                 for m in lengths:
                     full = linked[: max(0, len(ids) - m + 1)].copy()
                     for i in range(1, m - 1):
@@ -242,9 +301,9 @@ def _phrase_counts(texts: DataFrame, lengths: list[int], word_bits, pair_bits=No
                         trie.add(np.stack([ids[at + i] for i in range(m)], axis=1))
             if len(trie) > HELD:
                 yield from out(HELD // 2)
-            if sum(map(len, numbers.values())) > HELD:
+            if len(known) > HELD:
                 yield from out(0)
-                trie, names, hashes, langs, numbers = fresh()
+                known = Vocabulary(word_bits.value)
         yield from out(0)
 
     return texts.mapInArrow(task, "lang string, head string, tail string, n long")
@@ -265,7 +324,9 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     found = all_words.where(often)
     if longest > 1:
         word_bits = context.broadcast(_bit_table(found, bits, 1))
-        pairs = cut(_merged(_phrase_counts(texts, [2], word_bits)).where(often))
+        size = 1 << min(bits.bit_length() - 1, max(16, ((totals.agg(F.sum("n")).first()[0] or 1) // 8).bit_length()))
+        crowded = context.broadcast(_pair_counters(texts, word_bits, least, size))
+        pairs = cut(_merged(_phrase_counts(texts, [2], word_bits, crowded)).where(often))
         found = found.unionByName(pairs)
     if longest > 2:
         pair_bits = context.broadcast(_bit_table(pairs, bits, 2))
