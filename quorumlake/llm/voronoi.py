@@ -10,7 +10,8 @@ ring that it occupies around every pivot; a candidate can matter to the cell onl
 it lies within the bound of all its rings and of the hyperplane between the two cells.
 
 Neighbouring cells make a group of bounded size, which gets every candidate that one of
-its cells needs, once. There blocks of queries and candidates are scored exactly.
+its cells needs, once, with a bit for each cell that needs it. There each cell's queries
+are scored exactly against the candidates that bear its bit, and against no others.
 Summaries are bounded by the square of the number of pivots.
 """
 
@@ -82,7 +83,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
     ``pivots``: by default a quarter of the root of the number of distinct vectors,
     16 to 128. Groups hold about ``block`` queries, tasks ``chunk`` candidates. A
     ``stats`` dict is filled with the numbers of vectors, cells and groups, of rows sent to
-    groups (``sent``) and of those that single cells need (``needed``), which costs a pass.
+    groups (``sent``) and of those that single cells need (``needed``), of pairs that these
+    make with the cells' queries (``pairs``) and of pairs scored (``scored``), which costs passes.
     """
     spark = rows.sparkSession
     whole = usable(rows, id_col, vec_col).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
@@ -146,25 +148,30 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
             d = _distances(x, centre)
             cell = d.argmin(1)
             for g, members in enumerate(groups):
-                wanted = np.zeros(len(d), dtype=np.int32)
-                for i in members:
-                    wanted += _needed(d, cell, i, lo[i], hi[i], theta[i], between)
-                some = part.filter(pa.array(wanted > 0))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, g, dtype=np.int32)), pa.array(wanted[wanted > 0])], ["v", "ids", "to", "cells"])
+                wanted = np.stack([_needed(d, cell, i, lo[i], hi[i], theta[i], between) for i in members], axis=1)
+                some = wanted.any(axis=1)
+                bits = [b.tobytes() for b in np.packbits(wanted[some], axis=1)]
+                part_ = part.filter(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*part_.columns, pa.array(np.full(part_.num_rows, g, dtype=np.int32)), pa.array(bits, pa.binary())], ["v", "ids", "to", "cells"])
 
     def by_group(col: str):
         """A group's number of blocks, from its number."""
         return F.element_at(F.array(*(F.lit(parts[g]) for g in range(len(groups))), F.lit(1)), F.col(col) + 1)
 
-    places = base.select("v", "ids").mapInArrow(sent, "v array<double>, ids array<long>, to int, cells int")
+    places = base.select("v", "ids").mapInArrow(sent, "v array<double>, ids array<long>, to int, cells binary")
     if stats is not None:
-        got = places.agg(F.count("*").alias("sent"), F.coalesce(F.sum("cells"), F.lit(0)).alias("needed")).first()
-        stats.update(vectors=n, pivots=len(centre), cells=len(cells), groups=len(groups), sent=got.sent, needed=got.needed)
+        needed, pairs, sent_ = 0, 0, 0
+        for r in places.groupBy("to", "cells").agg(F.count("*").alias("c")).collect():
+            bits = np.unpackbits(np.frombuffer(r.cells, dtype=np.uint8))
+            sent_, needed = sent_ + r.c, needed + r.c * int(bits.sum())
+            pairs += r.c * sum(cells[i][1] for i, b in zip(groups[r.to], bits, strict=False) if b)
+        stats.update(vectors=n, queries=sum(c for _, c in cells.values()), pivots=len(centre), cells=len(cells), groups=len(groups), sent=sent_, needed=needed, pairs=pairs)
+    scored = spark.sparkContext.accumulator(0)
     # a group's candidates are cut into chunks and its queries into blocks; every block meets every chunk
     left = places.withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), by_group("to") - 1)))
     group_of = F.element_at(F.array(*(F.lit(home.get(i, 0)) for i in range(len(centre)))), F.col("cell") + 1)
-    dealt = queries.select("v", group_of.alias("to")).withColumn("part", F.pmod(F.xxhash64("v"), by_group("to")).cast("int"))
-    right = dealt.select("v", "to", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    dealt = queries.select("v", "cell", group_of.alias("to")).withColumn("part", F.pmod(F.xxhash64("v"), by_group("to")).cast("int"))
+    right = dealt.select("v", "cell", "to", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def solve(key, q, c):
         import pandas as pd
@@ -172,22 +179,32 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
         dims = shared.value[3]
         if not len(q) or not len(c):
             return pd.DataFrame({"v": pd.Series([], dtype=object), "score": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64")})
-        x, y = matrix(list(q["v"]), dims), matrix(list(c["v"]), dims)
-        flat = np.concatenate([np.asarray(i) for i in c["ids"]])
-        owner = np.repeat(np.arange(len(y)), [len(i) for i in c["ids"]])
-        least = np.array([i[0] for i in c["ids"]])
+        x, y, ids = matrix(list(q["v"]), dims), matrix(list(c["v"]), dims), list(c["ids"])
+        members, cell = bounds.value[3][int(key[0])], q["cell"].to_numpy()
+        asks = np.unpackbits(np.stack([np.frombuffer(b, dtype=np.uint8) for b in c["cells"]]), axis=1)
         out: tuple[list, list, list] = ([], [], [])
-        for at in range(0, len(x), 512):
-            scores = _dot(x[at : at + 512], y)
-            for r, near in enumerate(best(scores, least, k + 1)):
-                rows_ = np.flatnonzero(np.isin(owner, near))
-                pick = rows_[np.lexsort((flat[rows_], -scores[r][owner[rows_]]))][: k + 1]
-                out[0].extend([q["v"].iloc[at + r]] * len(pick))
-                out[1].extend(scores[r][owner[pick]])
-                out[2].extend(flat[pick])
+        for column, i in enumerate(members):
+            mine, theirs = np.flatnonzero(cell == i), np.flatnonzero(asks[:, column])
+            scored.add(len(mine) * len(theirs))
+            if not len(theirs):
+                continue
+            least, own = np.array([ids[j][0] for j in theirs]), y[theirs]
+            for at in range(0, len(mine), 512):
+                some = mine[at : at + 512]
+                scores = _dot(x[some], own)
+                for r, near in enumerate(best(scores, least, k + 1)):
+                    flat = np.concatenate([ids[j] for j in theirs[near]])
+                    value = np.repeat(scores[r][near], [len(ids[j]) for j in theirs[near]])
+                    pick = np.lexsort((flat, -value))[: k + 1]
+                    out[0].extend([q["v"].iloc[some[r]]] * len(pick))
+                    out[1].extend(value[pick])
+                    out[2].extend(flat[pick])
         return pd.DataFrame({"v": out[0], "score": out[1], "vec_id": out[2]})
 
     local = right.groupBy("to", "part", "chunk").cogroup(left.groupBy("to", "part", "chunk")).applyInPandas(solve, "v array<double>, score long, vec_id long")
+    if stats is not None:
+        local = cut(local)
+        stats["scored"] = scored.value
     ranked = local.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), "vec_id"))), 1, k + 1).alias("hits"))
     return expand(ranked, asked, k, -F.col("h.score"))
 

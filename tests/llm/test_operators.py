@@ -318,6 +318,22 @@ def test_voronoi_sends_what_is_needed(spark):
     assert stats["needed"] < 0.5 * stats["cells"] * 3000 and stats["sent"] < 0.8 * stats["groups"] * 3000 and stats["groups"] > 3
 
 
+def test_voronoi_scores_what_cells_need(spark):
+    """With default parameters all queries are one group; each is scored against its own cell's candidates only."""
+    rng = np.random.default_rng(23)
+    x = np.repeat(rng.standard_normal((20, 8)), 300, axis=0) + 0.05 * rng.standard_normal((6000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats: dict = {}
+    got = {(r.query_id, r.rank): (r.score, r.vec_id) for r in voronoi.top_k(rows, F.col("vec_id") % 50 == 0, stats=stats).collect()}
+    y = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 6000, 50):
+        s = y @ y[q]
+        s[q] = -(1 << 60)
+        best = np.lexsort((np.arange(6000), -s))[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(s[j], j) for j in best]
+    assert stats["groups"] == 1 and stats["scored"] == stats["pairs"] < 0.25 * stats["queries"] * 6000
+
+
 def test_forest(vectors):
     data = vectors.where("vec_id is not null")
     got: dict = {}
