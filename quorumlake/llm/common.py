@@ -32,6 +32,11 @@ def resident(key: Hashable, build: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def release() -> None:
+    """Let a worker go of what ``resident`` holds for another operator; for tasks without a model of their own."""
+    _held.clear()
+
+
 def sliced(batches: Iterable, rows: int = 512):
     """Arrow batches in pieces of at most ``rows`` rows, so that few texts are Python objects at once."""
     for batch in batches:
