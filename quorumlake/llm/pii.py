@@ -1,7 +1,7 @@
 """Operator 9: personal data by bootstrapped contextual extraction, in built-in expressions only.
 
 Base patterns find emails, IP addresses, card and phone numbers. Identifier-like slots
-(tokens with a digit or @) stand in lexical patterns: the two words to their left, and
+(tokens of five characters or more with a digit or @) stand in lexical patterns: the two words to their left, and
 the word on either side. Slots that a base pattern covers are the seed instances of its
 kind. Rounds follow on the graph of patterns and instances: a pattern is as good as the
 share of its instances that are known to be of a kind, and confident if enough are; an
