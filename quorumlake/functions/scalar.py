@@ -125,6 +125,15 @@ def seat_label(chamber: Column, district: Column) -> Column:
     return F.when(chamber == "senate", "Senator").when(F.coalesce(district, F.lit(0)) > 0, F.concat(F.lit("District "), district.cast("string"))).otherwise("At-Large")
 
 
+def chamber_label(chamber: Column) -> Column:
+    return F.when(chamber == "house", "House").otherwise("Senate")
+
+
+def source_label(chamber: Column) -> Column:
+    """In which form a chamber publishes filings."""
+    return F.when(chamber == "senate", "HTML").otherwise("PDF")
+
+
 def display_last_name(x: Column) -> Column:
     return F.try_element_at(F.split(F.trim(x), r"\s+"), F.lit(-1))
 

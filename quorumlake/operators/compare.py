@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import effective_total, fmt_money, percent
+from ..functions.scalar import effective_total, fmt_money, percent, stats_json
 from .people import committee_coverage, funding_mix, latest_finance, role_counts, top_sponsors
 from .votes import position_summary
 
 LEADERS = ("chair", "ranking_member", "vice_chair")
+# The fields of a brief's statistics and the columns they hold.
+BRIEF_STATS = [("members", "members"), ("senators", "senators"), ("representatives", "representatives"), ("democrat", "democrats"), ("republican", "republicans"), ("billsSponsored", "items"), ("totalRaised", "raised"), ("totalVotes", "positions"), ("committeeSeats", "seats"), ("leadershipRoles", "leadership")]
 
 
 def _filled(df: DataFrame, parts: list[DataFrame], key: str, zeros: list[str]) -> DataFrame:
@@ -122,4 +124,5 @@ def delegation_brief(group_dim: DataFrame, entity: DataFrame, item_link: DataFra
         F.when(F.col("seats") > 0, F.concat(F.lit("The delegation holds "), num("seats"), F.lit(" committee and subcommittee assignments."))),
     ]
     end = F.to_date(F.lit(as_of))
-    return b.select("group_id", F.date_sub(end, 7).alias("period_start"), end.alias("period_end"), "members", "senators", "representatives", "democrats", "republicans", "items", "raised", "positions", "seats", "leadership", F.concat_ws(" ", *sentences).alias("summary"))
+    stats = stats_json(**{name: F.col(c) for name, c in BRIEF_STATS})
+    return b.select("group_id", F.date_sub(end, 7).alias("period_start"), end.alias("period_end"), "members", "senators", "representatives", "democrats", "republicans", "items", "raised", "positions", "seats", "leadership", F.concat_ws(" ", *sentences).alias("summary"), stats.alias("stats"))

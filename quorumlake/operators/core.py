@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``; only where that is unset and the master is local, under a temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='landing-')}/landing-{uuid.uuid4().hex}"
+
+
 def parts(rows: DataFrame, key: str, *of: str, size: int = 1000) -> DataFrame:
     """``rows`` with a ``part``: by a hash of ``of``, a key's rows fall into parts of about ``size`` each, one for a small key."""
     many = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > size)  # few keys
@@ -22,6 +33,23 @@ def topk_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ra
     return out if rank else out.drop(name)
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` numbered from 1 within each key by ``order``, which should end in a unique column; no task has a whole key.
+
+    Rows are dealt out by ranges of keys and order, numbered within a range, and moved on
+    by the numbers of the key's earlier ranges. Null keys are a key; without ``keys`` all
+    rows are numbered. The dealt rows are written to the shared folder, as both readers
+    have to see the same ranges.
+    """
+    spark, path = rows.sparkSession, folder(rows.sparkSession)
+    rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    own = spark.read.parquet(path).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = own.groupBy(*keys, "_part").agg(F.max("_rn").alias("_n")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_part") == F.col("_p"))
+    return own.join(starts, same).withColumn(name, (F.col("_start") + F.col("_rn")).cast("int")).select(*rows.columns, name)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return topk_per_key(df, keys, order, 1)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import effective_total
-from .core import latest_per_key, topk_per_key
+from .core import latest_per_key, ranked, topk_per_key
 
 
 def category_breakdown(group_dim: DataFrame, entity: DataFrame) -> DataFrame:
@@ -35,11 +35,15 @@ def committee_coverage(entity: DataFrame, assignment: DataFrame, committee: Data
 
 
 def committee_board(coverage: DataFrame, first: int = 12) -> DataFrame:
-    """Per group and committee: the first members by name and how many more there are."""
-    w = Window.partitionBy("group_id", "committee_id")
-    ranked = coverage.withColumn("rn", F.row_number().over(w.orderBy("full_name", "entity_id"))).withColumn("n", F.count("*").over(w))
-    shown = ranked.where(F.col("rn") <= first).groupBy("group_id", "committee_id", "name", "n").agg(F.sort_array(F.collect_list(F.struct("rn", "full_name"))).alias("m"))
-    return shown.select("group_id", "committee_id", "name", F.array_join("m.full_name", "; ").alias("members"), F.greatest(F.lit(0), F.col("n") - first).alias("more"))
+    """Per group and committee: the first members by name and how many more there are.
+
+    Ranks are cut on the map side; the counts come from an aggregate of their own.
+    """
+    keys = ["group_id", "committee_id"]
+    top = topk_per_key(coverage.select(*keys, "name", "full_name", "entity_id"), keys, [F.asc("full_name"), F.asc("entity_id")], first, "rn")
+    shown = top.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(F.struct("rn", "full_name"))).alias("m"))  # `first` names
+    sizes = coverage.groupBy(*keys).agg(F.count("*").alias("n"))
+    return shown.join(sizes, keys).select(*keys, "name", F.array_join("m.full_name", "; ").alias("members"), F.greatest(F.lit(0), F.col("n") - first).alias("more"))
 
 
 def subcommittees(committee: DataFrame, prefix: int = 3) -> DataFrame:
@@ -101,5 +105,13 @@ def finance_board(entity: DataFrame, latest: DataFrame) -> DataFrame:
     """Active entities with their chamber and the effective total of their latest cycle, ranked in their group; without finance the total is null and last."""
     total = effective_total(F.col("total_receipts"), F.col("total_individual"), F.col("small_individual"), F.col("total_pac"))
     money = latest.select("entity_id", total.alias("total"))
-    order = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("total"), "entity_id")
-    return entity.where("in_office").join(money, "entity_id", "left").select("group_id", "entity_id", "chamber", "total", F.row_number().over(order).alias("rank"))
+    rows = entity.where("in_office").join(money, "entity_id", "left").select("group_id", "entity_id", "chamber", "total")
+    return ranked(rows, ["group_id"], [F.desc_nulls_last("total"), F.asc("entity_id")], "rank")
+
+
+def share_of_max(entity: DataFrame, latest: DataFrame, least: int = 3) -> DataFrame:
+    """Active entities' bars: their effective total in percent of the group's largest, ``least`` at least; null if that is none."""
+    rows = entity.where("in_office").select("entity_id", "group_id").join(latest.select("entity_id", "effective_total"), "entity_id")
+    most = rows.groupBy("group_id").agg(F.nullif(F.max("effective_total"), F.lit(0)).alias("most"))
+    bar = F.greatest(F.lit(least).cast("long"), F.round(F.lit(100.0) * F.col("effective_total") / F.col("most")).cast("long"))
+    return rows.join(most, "group_id").select("group_id", "entity_id", bar.alias("bar"))

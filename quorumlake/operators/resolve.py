@@ -18,17 +18,20 @@ def resolve_lower(source: DataFrame, entity: DataFrame, key: str = "src_id") ->
 
     Exact folded last name; where no name matches, a token of a compound name; of several
     the one of the district; a source without a district takes the only senator. Rows that
-    stay ambiguous have a null entity.
+    stay ambiguous have a null entity. Names and tokens meet in one join, and one
+    aggregation tells which pick has a single candidate: its least is its greatest.
     """
-    e = entity.select("entity_id", "state", fold_name(F.col("last_name")).alias("_last"), F.col("district").alias("_district"), "chamber")
+    last = fold_name(F.col("last_name"))
+    forms = F.concat(F.array(F.struct(F.lit(True).alias("exact"), last.alias("form"))), F.transform(F.split(last, r"[\s-]+"), lambda t: F.struct(F.lit(False).alias("exact"), t.alias("form"))))
+    e = entity.select("entity_id", "state", F.col("district").alias("_district"), "chamber", F.inline(forms))
     s = source.withColumn("_name", fold_name(strip_suffix(F.col("last"))))
-    exact = s.join(e, "state").where("_name = _last")
-    tokens = s.join(exact.select(key).distinct(), key, "left_anti").join(e.withColumn("_token", F.explode(F.split("_last", r"[\s-]+"))), "state").where("_name = _token").drop("_token")
-    hits = exact.unionByName(tokens)
-    one = _unique(hits, key, "_a")
-    by_district = _unique(hits.where(F.col("district") == F.col("_district")), key, "_b")
-    senator = _unique(hits.where("district IS NULL AND chamber = 'senate'"), key, "_c")
-    return s.select(key).join(one, key, "left").join(by_district, key, "left").join(senator, key, "left").select(key, F.coalesce("_a", "_b", "_c").alias("entity_id"))
+    hits = s.join(e, (s["state"] == e["state"]) & (F.col("_name") == F.col("form")))
+    picks = {"a": F.lit(True), "b": F.col("district") == F.col("_district"), "c": F.col("district").isNull() & (F.col("chamber") == "senate")}
+    bounds = [f(F.when(F.col("exact") == exact, F.when(one, F.col("entity_id")))).alias(f"_{n}{int(exact)}_{w}") for exact in (True, False) for n, one in picks.items() for w, f in (("lo", F.min), ("hi", F.max))]
+    found = hits.groupBy(key).agg(*bounds)
+    single = lambda n: F.when(F.col(f"_{n}_lo") == F.col(f"_{n}_hi"), F.col(f"_{n}_lo"))
+    by = lambda exact: F.coalesce(*(single(f"{n}{exact}") for n in picks))
+    return s.select(key).join(found, key, "left").select(key, F.when(F.col("_a1_lo").isNotNull(), by(1)).otherwise(by(0)).alias("entity_id"))
 
 
 def resolve_upper(source: DataFrame, entity: DataFrame, key: str = "src_id") -> DataFrame:

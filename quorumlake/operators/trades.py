@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import AMOUNT_RANGES, NOT_TICKERS, valid_ticker
+from .core import ranked
 
 
 def amount_dimension(spark) -> DataFrame:
@@ -47,8 +48,9 @@ def totals(trade: DataFrame, filing: DataFrame) -> DataFrame:
 
 def member_trades(trade: DataFrame) -> DataFrame:
     """(ticker, entity_id, seq, tx_date, tx_type, filing_id, row_index): each member's trades of a ticker, numbered by date."""
-    order = Window.partitionBy("ticker", "entity_id").orderBy(F.col("tx_date").asc_nulls_first(), "filing_id", "row_index")
-    return trade.where("ticker IS NOT NULL").select("ticker", "entity_id", F.row_number().over(order).alias("seq"), "tx_date", "tx_type", "filing_id", "row_index")
+    rows = trade.where("ticker IS NOT NULL").select("ticker", "entity_id", "tx_date", "tx_type", "filing_id", "row_index")
+    numbered = ranked(rows, ["ticker", "entity_id"], [F.col("tx_date").asc_nulls_first(), F.asc("filing_id"), F.asc("row_index")], "seq")
+    return numbered.select("ticker", "entity_id", "seq", "tx_date", "tx_type", "filing_id", "row_index")
 
 
 def monthly(trade: DataFrame, entity: DataFrame, as_of: str, months: int = 14) -> DataFrame:

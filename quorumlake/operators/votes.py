@@ -2,32 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import percent
 
 
-def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None, block: int = 1000) -> DataFrame:
+WORDS = 4  # of 64 ballots each: the ballots of one block of bit sets; so many fit compiled code
+DEAR = 8  # rows of joined votes that cost as much as a row of bit sets
+
+
+def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None, block: int = 500, dense: bool | None = None) -> DataFrame:
     """(a, b, shared, agreed, pct) for every pair that both voted yea or nay on a ballot.
 
-    Filtered before the self-join on the ballot. A ballot of more than ``block`` votes is
-    dealt into blocks, and every two blocks meet in a join key of their own, so that no
-    task has all pairs of a large ballot. ``entities`` restricts both sides.
+    An entity has one position on a ballot. Where most entities vote on most ballots, an
+    entity's votes of a block of ballots are two bit sets, and a pair is one row a block
+    whose bits are counted; where votes are scattered, the two votes of a ballot are
+    joined. What forms fewer rows is taken, unless ``dense`` says so. ``entities``
+    restricts both sides. More than ``block`` entities that meet in one key are dealt into
+    parts, and every two parts meet in a key of their own, so that no task has all pairs.
     """
-    votes = position.where(F.col("position").isin("yea", "nay"))
+    votes = position.where(F.col("position").isin("yea", "nay")).select("ballot_id", "entity_id", (F.col("position") == "yea").alias("yea"))
     if entities is not None:
         votes = votes.join(entities.select("entity_id"), "entity_id", "left_semi")
-    large = votes.groupBy("ballot_id").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    dealt = votes.join(large, "ballot_id", "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
-    own, all_ = F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    a = dealt.select("ballot_id", own.alias("_i"), all_.alias("_j"), F.col("entity_id").alias("a"), F.col("position").alias("pa"))
-    b = dealt.select("ballot_id", all_.alias("_i"), own.alias("_j"), F.col("entity_id").alias("b"), F.col("position").alias("pb"))
-    pairs = a.join(b, ["ballot_id", "_i", "_j"]).where("a < b").groupBy("a", "b")
-    out = pairs.agg(F.count("*").alias("shared"), F.count_if(F.col("pa") == F.col("pb")).alias("agreed"))
+    ballots = votes.groupBy("ballot_id").agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col("entity_id").cast("string")).alias("who")).where("ballot_id IS NOT NULL")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    size = ballots.agg(F.count("*").alias("ballots"), total("n").alias("votes"), total(F.col("n") * F.col("n")).alias("pairs"), F.hll_sketch_estimate(F.hll_union_agg("who")).alias("crowd")).first()
+    blocks = max(1, -(-size.ballots // (WORDS * 50)))
+    if dense is None:
+        dense = DEAR * blocks * min(size.crowd or 0, size.votes / blocks) ** 2 <= size.pairs
+    ballots = ballots.drop("who")
+    out = _by_bits(votes, ballots, blocks, block) if dense else _by_ballot(votes, ballots, block)
     return out.withColumn("pct", percent(F.col("agreed"), F.col("shared")))
 
 
+def _meeting(rows: DataFrame, sizes: DataFrame, key: str, block: int, columns: list[str]) -> DataFrame:
+    """Every two rows of a ``key`` with a < b, their other columns as a_... and b_...; ``sizes`` (key, n) tells large keys."""
+    large = sizes.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("_parts"))
+    dealt = rows.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own, all_ = F.pmod(F.xxhash64("entity_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = dealt.select(key, own.alias("_i"), all_.alias("_j"), F.col("entity_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = dealt.select(key, all_.alias("_i"), own.alias("_j"), F.col("entity_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return a.join(b, [key, "_i", "_j"]).where("a < b")
+
+
+def _by_ballot(votes: DataFrame, ballots: DataFrame, block: int) -> DataFrame:
+    pairs = _meeting(votes, ballots, "ballot_id", block, ["yea"])
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("a_yea") == F.col("b_yea")).alias("agreed"))
+
+
+def _by_bits(votes: DataFrame, ballots: DataFrame, blocks: int, block: int) -> DataFrame:
+    place = F.pmod(F.xxhash64("ballot_id"), F.lit(blocks))
+    number = F.row_number().over(Window.partitionBy("_place").orderBy("ballot_id")) - 1  # a place has about WORDS * 50 ballots
+    numbered = ballots.withColumn("_place", place).withColumn("_n", number).select("ballot_id", (F.col("_place") + blocks * F.floor(F.col("_n") / (64 * WORDS))).alias("part"), (F.col("_n") % (64 * WORDS)).alias("bit"))
+    word, one = F.floor(F.col("bit") / 64), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
+    sets = [F.coalesce(F.bit_or(F.when((F.col("yea") == side) & (word == w), one)), F.lit(0)).alias(f"{name}{w}") for side, name in ((True, "y"), (False, "n")) for w in range(WORDS)]
+    held = votes.join(numbered, "ballot_id").groupBy("part", "entity_id").agg(*sets)
+    pairs = _meeting(held, held.groupBy("part").agg(F.count("*").alias("n")), "part", block, [f"{name}{w}" for name in "yn" for w in range(WORDS)])
+    both = lambda x, y, w: F.col(f"a_{x}{w}").bitwiseAND(F.col(f"b_{y}{w}"))
+    agreed = reduce(lambda p, q: p + q, (F.bit_count(both(x, x, w)) for x in "yn" for w in range(WORDS)))
+    other = reduce(lambda p, q: p + q, (F.bit_count(both(x, y, w)) for x, y in ("yn", "ny") for w in range(WORDS)))
+    counted = pairs.select("a", "b", agreed.cast("long").alias("agreed"), (agreed + other).cast("long").alias("shared")).where("shared > 0")
+    if blocks > 1:
+        counted = counted.groupBy("a", "b").agg(F.sum("agreed").alias("agreed"), F.sum("shared").alias("shared"))
+    return counted.select("a", "b", "shared", "agreed")
+
+
 def position_summary(position: DataFrame) -> DataFrame:
     """Counts by position and their shares for every entity; unknown positions count as not voting."""
     kinds = ("yea", "nay", "present")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import core, people, text, trades, votes
-from ..sources import feeds
+from ..sources import feeds, xml
 from .fixtures import Tables, oracle
 
 QUERIES: dict[str, Callable] = {}
@@ -80,7 +80,7 @@ query("effective_total", "SELECT entity_id, cycle, " + _EFF + " AS effective_tot
 query("latest_cycle_per_entity", "SELECT entity_id, cycle, total_receipts, total_individual, total_pac, small_individual, effective_total FROM " + _LATEST + " x")(lambda t: people.latest_finance(t.finance_cycle))
 query("funding_mix", "SELECT entity_id, cycle, small_individual AS small, greatest(0, total_individual - small_individual) AS large, total_pac AS pac, " + ", ".join(f"CASE WHEN effective_total > 0 THEN CAST(round(100.0 * {c} / effective_total) AS BIGINT) ELSE 0 END AS {n}" for c, n in (("small_individual", "small_pct"), ("greatest(0, total_individual - small_individual)", "large_pct"), ("total_pac", "pac_pct"))) + " FROM " + _LATEST + " x")(lambda t: people.funding_mix(people.latest_finance(t.finance_cycle)))
 query("group_finance", "SELECT e.group_id, e.entity_id, f.cycle, f.total_receipts FROM {entity} e JOIN {finance_cycle} f USING (entity_id) WHERE e.in_office")(lambda t: t.entity.where("in_office").select("entity_id", "group_id").join(t.finance_cycle, "entity_id").select("group_id", "entity_id", "cycle", "total_receipts"))
-query("share_of_max", "SELECT e.group_id, e.entity_id, greatest(3, CAST(round(100.0 * effective_total / nullif(max(effective_total) OVER (PARTITION BY e.group_id), 0)) AS BIGINT)) AS bar FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office")(lambda t: t.entity.where("in_office").select("entity_id", "group_id").join(people.latest_finance(t.finance_cycle), "entity_id").select("group_id", "entity_id", F.expr("greatest(3, CAST(round(100.0D * effective_total / nullif(max(effective_total) OVER (PARTITION BY group_id), 0)) AS BIGINT))").alias("bar")))
+query("share_of_max", "SELECT e.group_id, e.entity_id, greatest(3, CAST(round(100.0 * effective_total / nullif(max(effective_total) OVER (PARTITION BY e.group_id), 0)) AS BIGINT)) AS bar FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office")(lambda t: people.share_of_max(t.entity, people.latest_finance(t.finance_cycle)))
 query("fmt_money", "SELECT entity_id, cycle, CASE WHEN r >= 1000000 THEN '$' || ((r + 50000) // 100000) // 10 || '.' || ((r + 50000) // 100000) % 10 || 'M' WHEN r >= 1000 THEN '$' || (r + 500) // 1000 || 'K' ELSE '$' || r END AS money FROM (SELECT *, total_receipts AS r FROM {finance_cycle}) x")(lambda t: t.finance_cycle.select("entity_id", "cycle", S.fmt_money(F.col("total_receipts")).alias("money")))
 query("missing_dependents", "SELECT entity_id FROM {entity} WHERE in_office AND entity_id NOT IN (SELECT entity_id FROM {finance_cycle})")(lambda t: core.only_new(t.entity.where("in_office"), t.finance_cycle, ["entity_id"]).select("entity_id"))
 
@@ -164,14 +164,17 @@ def _html_round_trip(t: Tables) -> DataFrame:
     label = trades.bucketed(t.trade)
     row = F.concat(F.lit("<tr>"), cell(F.col("row_index").cast("string")), cell(F.date_format("tx_date", "MM/dd/yyyy")), cell(F.lit("Spouse")), cell(F.col("ticker")), cell(F.col("asset_description")), cell(F.lit("Stock")), cell(F.when(F.col("tx_type") == "P", "Purchase").when(F.col("tx_type") == "S", "Sale (Full)").otherwise("Sale (Partial)")), cell(F.col("label")), cell(F.lit("")), F.lit("</tr>"))
     pages = label.select("filing_id", F.struct("row_index", row.alias("row")).alias("r")).groupBy("filing_id").agg(F.concat(F.lit('<table class="table"><tbody>'), F.array_join(F.sort_array(F.collect_list("r"))["row"], ""), F.lit("</tbody></table>")).alias("html"))
-    return feeds.parse_html_trades(pages, "filing_id")
+    return feeds.parse_html_trades(pages, "filing_id").select("filing_id", "row_index", "tx_date", "owner_code", "ticker", "asset_description", "asset_type", "tx_type", "amount_range")
 
 
 def _rollcall_round_trip(t: Tables) -> DataFrame:
     """Positions rendered as roll-call XML, large ballots in parts, and parsed back."""
     vote = F.concat(F.lit('<recorded-vote><legislator name-id="'), F.col("entity_id").cast("string"), F.lit('"/><vote>'), F.initcap("position"), F.lit("</vote></recorded-vote>"))
-    docs = core.parts(t.position, "ballot_id", "entity_id").groupBy("ballot_id", "part").agg(F.concat(F.lit("<rollcall-vote><vote-question>On Passage</vote-question>"), F.array_join(F.sort_array(F.collect_list(vote)), ""), F.lit("</rollcall-vote>")).alias("xml"))
-    return feeds.parse_rollcall_xml(docs)[1]
+    body = F.concat(F.lit("<rollcall-vote><vote-metadata><vote-question>On Passage</vote-question></vote-metadata><vote-data>"), F.array_join(F.sort_array(F.collect_list(vote)), ""), F.lit("</vote-data></rollcall-vote>"))
+    docs = core.parts(t.position.where("entity_id IS NOT NULL"), "ballot_id", "entity_id").groupBy("ballot_id", "part").agg(body.alias("xml"))
+    keyed = docs.select(F.year("ballot_id").alias("year"), F.unix_timestamp("ballot_id").alias("roll"), "xml")
+    _, positions, _ = xml.house_rolls(keyed, 119)
+    return positions.select(F.timestamp_seconds(F.substring_index("vote_id", "-", -1).cast("long")).alias("ballot_id"), "entity_id", "position")
 
 
 def _terms(t: Tables) -> DataFrame:

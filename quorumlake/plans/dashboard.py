@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import core, people, text, trades
-from ..sources import feeds
+from ..operators import core, events, people, text, trades
+from ..sources import feeds, xml
 from .catalog import _RANGE, _topk_sql, query
 from .fixtures import Tables
 
@@ -50,7 +50,7 @@ query("mid_amount", "SELECT entity_id, CASE WHEN entity_id % 3 = 0 AND entity_id
 
 query("group_by_code", "SELECT group_id, name FROM {group_dim} WHERE group_id % 2 = 0")(lambda t: people.by_code(t.group_dim, t.group_dim.where("group_id % 2 = 0").select(F.lower("name").alias("code"))).select("group_id", "name"))
 query("entity_by_id", "SELECT entity_id, full_name, party FROM {entity} WHERE entity_id IN (SELECT entity_id FROM {position})")(lambda t: t.entity.join(t.position.select("entity_id"), "entity_id", "left_semi").select("entity_id", "full_name", "party"))
-query("entity_terms", "SELECT o_custkey AS entity_id, o_orderkey AS term_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders")(lambda t: core.topk_per_key(t.orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("term_id"), "o_orderdate"), ["entity_id"], [F.desc("o_orderdate"), F.asc("term_id")], 1 << 30, "rank").drop("o_orderdate"))
+query("entity_terms", "SELECT o_custkey AS entity_id, o_orderkey AS term_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders")(lambda t: core.ranked(t.orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("term_id"), "o_orderdate"), ["entity_id"], [F.desc("o_orderdate"), F.asc("term_id")], "rank").drop("o_orderdate"))
 query("partition_by_flag", "SELECT entity_id, chamber = 'senate' AS senator, group_id IN (3, 5, 8) AS territory FROM {entity}")(lambda t: t.entity.select("entity_id", (F.col("chamber") == "senate").alias("senator"), F.col("group_id").isin(3, 5, 8).alias("territory")))
 query("pick_titles", "SELECT e.group_id, r.title FROM {release} r JOIN {entity} e USING (entity_id)")(lambda t: t.release.join(t.entity.select("entity_id", "group_id"), "entity_id").select("group_id", "title"))
 query("delegation_senators", "SELECT group_id, entity_id FROM {entity} WHERE in_office AND chamber = 'senate'")(lambda t: t.entity.where("in_office AND chamber = 'senate'").select("group_id", "entity_id"))
@@ -103,20 +103,36 @@ def _senate(t: Tables) -> tuple[DataFrame, DataFrame]:
     who = t.position.join(t.person.select("entity_id", "last_name", "state"), "entity_id")
     member = tag("member", F.concat(tag("last_name", F.col("last_name")), tag("party", F.lit("I")), tag("state", F.col("state")), tag("vote_cast", F.initcap("position"))))
     date = F.when(F.col("nays") % 2 == 0, F.date_format("ballot_date", "MMMM d, yyyy,  hh:mm a")).otherwise("soon")
-    key = F.col("ballot_id").cast("string").alias("ballot_id")
-    top = F.concat(tag("vote_date", date), tag("question", F.lit("On the Motion")), tag("yeas", F.col("yeas").cast("string")), tag("nays", F.col("nays").cast("string")))
-    heads = t.ballot.select(key, F.year("ballot_date").alias("year"), top.alias("xml"))
-    parts = who.select(key, member.alias("m"), F.pmod(F.xxhash64("entity_id"), F.lit(64)).alias("part")).groupBy("ballot_id", "part").agg(F.array_join(F.collect_list("m"), "").alias("xml")).select("ballot_id", F.lit(None).cast("int").alias("year"), "xml")
-    order = [F.desc("entity_id")]
-    head, _ = feeds.parse_senate_xml(heads, t.person, order)
-    return head, feeds.parse_senate_xml(parts, t.person, order)[1]
+    key = [F.year("ballot_id").alias("year"), F.unix_timestamp("ballot_id").alias("roll")]
+    top = F.concat(tag("vote_date", date), tag("question", F.lit("On the Motion")), tag("count", F.concat(tag("yeas", F.col("yeas").cast("string")), tag("nays", F.col("nays").cast("string")))))
+    heads = t.ballot.select(*key, tag("roll_call_vote", top).alias("xml"))
+    dealt = who.select(*key, member.alias("m"), F.pmod(F.xxhash64("entity_id"), F.lit(64)).alias("part")).groupBy("year", "roll", "part").agg(F.array_join(F.collect_list("m"), "").alias("m"))
+    parts = dealt.select("year", "roll", tag("roll_call_vote", tag("members", F.col("m"))).alias("xml"))
+    ballot = F.timestamp_seconds(F.substring_index("vote_id", "-", -1).cast("long")).cast("string").alias("ballot_id")
+    head, _, _ = xml.senate_rolls(heads, t.person, [F.desc("entity_id")], 119)
+    _, positions, _ = xml.senate_rolls(parts, t.person, [F.desc("entity_id")], 119)
+    return head.select(ballot, "ballot_date", "question", "yeas", "nays"), positions.select(ballot, "entity_id", "position")
 
 
 # ---- boards
 
-query("group_activity", _topk_sql("group_id, item_id, entity_id, introduced_date", "(SELECT e.group_id, l.item_id, l.entity_id, i.introduced_date FROM {item_link} l JOIN {item} i USING (item_id) JOIN {entity} e ON e.entity_id = l.entity_id WHERE l.role = 'sponsor' AND i.introduced_date IS NOT NULL)", "group_id", "introduced_date DESC, item_id, entity_id", 15))(
-    lambda t: core.topk_per_key(t.item_link.where("role = 'sponsor'").join(t.item.where("introduced_date IS NOT NULL").select("item_id", "introduced_date"), "item_id").join(t.entity.select("entity_id", "group_id"), "entity_id"), ["group_id"], [F.desc("introduced_date"), F.asc("item_id"), F.asc("entity_id")], 15).select("group_id", "item_id", "entity_id", "introduced_date")
-)
+query("group_activity", _topk_sql("group_id, event_type, related_id, entity_id, title, event_date, rn::INTEGER AS rank", """(
+  SELECT group_id, 'bill_introduced' AS event_type, item_id::VARCHAR AS related_id, entity_id, title, introduced_date AS event_date FROM (
+    SELECT e.entity_id, e.group_id, i.item_id, e.full_name || ' introduced ' || upper(i.item_type) || ' ' || i.item_id AS title, i.introduced_date
+    FROM {item_link} l JOIN {item} i USING (item_id) JOIN {entity} e ON e.entity_id = l.entity_id WHERE l.role = 'sponsor' AND i.introduced_date IS NOT NULL ORDER BY i.introduced_date DESC, i.item_id, e.entity_id LIMIT 500) x
+  UNION ALL SELECT group_id, 'vote_cast', strftime(ballot_id, '%Y-%m-%d %H'), NULL,
+    CASE WHEN yea = total THEN 'House vote: delegation voted unanimously Yea on ' WHEN nay = total THEN 'House vote: delegation voted unanimously Nay on ' ELSE 'House vote: ' || yea || ' Yea, ' || nay || ' Nay on ' END || 'ballot ' || strftime(ballot_id, '%Y-%m-%d %H'), ballot_date FROM (
+    SELECT b.ballot_id, b.ballot_date, e.group_id, count(*) FILTER (p.position = 'yea') AS yea, count(*) FILTER (p.position = 'nay') AS nay, count(*) AS total
+    FROM {position} p JOIN (SELECT * FROM {ballot} ORDER BY ballot_date DESC, ballot_id DESC LIMIT 100) b USING (ballot_id) JOIN {entity} e ON e.entity_id = p.entity_id GROUP BY 1, 2, 3) y)""", "group_id", "event_date DESC, event_type, related_id, entity_id", 15))(lambda t: _activity(t))
+
+
+def _activity(t: Tables) -> DataFrame:
+    items = events.item_events(t.item_link, t.item, t.entity)
+    label = F.date_format("ballot_id", "yyyy-MM-dd HH")
+    ballots = t.ballot.select("ballot_id", "ballot_date", label.alias("related_id"), F.lit("house").alias("chamber"), F.concat(F.lit("ballot "), label).alias("subject"))
+    return events.group_activity(items.unionByName(events.ballot_events(ballots, t.position, t.entity)))
+
+
 query("party_role_board", "SELECT e.group_id, e.entity_id, e.chamber, f.total, row_number() OVER (PARTITION BY e.group_id ORDER BY f.total DESC NULLS LAST, e.entity_id)::INTEGER AS rank FROM {entity} e LEFT JOIN (SELECT entity_id, CASE WHEN total_receipts > 0 THEN total_receipts ELSE greatest(total_individual, small_individual) + total_pac END AS total FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY cycle DESC) AS rn FROM {finance_cycle}) x WHERE rn = 1) f USING (entity_id) WHERE e.in_office")(
     lambda t: people.finance_board(t.entity, people.latest_finance(t.finance_cycle))
 )
@@ -125,10 +141,10 @@ query("member_trades", "SELECT ticker, entity_id, row_number() OVER (PARTITION B
 query("ticker_trades", "SELECT t.ticker, e.full_name, t.filing_id, t.row_index, t.tx_date, f.parse_status FROM {trade} t JOIN {entity} e USING (entity_id) JOIN {filing} f ON f.filing_id = t.filing_id WHERE t.ticker IS NOT NULL")(lambda t: t.trade.where("ticker IS NOT NULL").join(t.entity.select("entity_id", "full_name"), "entity_id").join(t.filing.select("filing_id", "parse_status"), "filing_id").select("ticker", "full_name", "filing_id", "row_index", "tx_date", "parse_status"))
 _LOW = "CASE WHEN amount <= 15000 THEN 1001 WHEN amount <= 50000 THEN 15001 WHEN amount <= 100000 THEN 50001 WHEN amount <= 250000 THEN 100001 WHEN amount <= 500000 THEN 250001 ELSE 500001 END"
 _HIGH = "CASE WHEN amount <= 15000 THEN 15000 WHEN amount <= 50000 THEN 50000 WHEN amount <= 100000 THEN 100000 WHEN amount <= 250000 THEN 250000 WHEN amount <= 500000 THEN 500000 ELSE 1000000 END"
-query("trade_summary", f"SELECT f.entity_id, coalesce(trades, 0) AS trades, coalesce(buys, 0) AS buys, coalesce(sells, 0) AS sells, coalesce(late, 0) AS late, coalesce(low, 0)::BIGINT AS low, coalesce(high, 0)::BIGINT AS high, first_date, last_date, f.filings FROM (SELECT entity_id, count(*) AS filings FROM {{filing}} GROUP BY 1) f LEFT JOIN (SELECT entity_id, count(*) AS trades, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type LIKE 'S%') AS sells, count(*) FILTER (filed_late) AS late, sum({_LOW}) AS low, sum({_HIGH}) AS high, min(tx_date) AS first_date, max(tx_date) AS last_date FROM {{trade}} WHERE entity_id % 9 <> 0 GROUP BY 1) l USING (entity_id)")(
-    lambda t: trades.trade_summary(t.trade.where("entity_id % 9 <> 0"), t.filing)  # some have filings without lines
+query("trade_summary", f"SELECT f.entity_id, coalesce(trades, 0) AS trades, coalesce(buys, 0) AS buys, coalesce(sells, 0) AS sells, coalesce(late, 0) AS late, coalesce(low, 0)::BIGINT AS low, coalesce(high, 0)::BIGINT AS high, first_date, last_date, f.filings FROM (SELECT entity_id, count(*) AS filings FROM {{filing}} GROUP BY 1) f LEFT JOIN (SELECT entity_id, count(*) AS trades, count(*) FILTER (tx_type = 'P') AS buys, count(*) FILTER (tx_type LIKE 'S%') AS sells, count(*) FILTER (filed_late) AS late, sum({_LOW}) AS low, sum({_HIGH}) AS high, min(tx_date) AS first_date, max(tx_date) AS last_date FROM {{trade}} GROUP BY 1) l USING (entity_id)")(
+    lambda t: trades.trade_summary(t.trade, t.filing)  # filings of ids below 0 have no lines
 )
-query("trades_home_totals", "SELECT l.*, (SELECT count(*) FROM {filing}) AS filings FROM (SELECT count(*) AS trades, count(DISTINCT entity_id) FILTER (chamber = 'senate') AS senate, count(DISTINCT entity_id) FILTER (chamber = 'house') AS house FROM {trade} JOIN {entity} USING (entity_id) WHERE filing_id % 9 <> 0) l")(lambda t: trades.home_totals(t.trade.where("filing_id % 9 <> 0"), t.entity, t.filing))
+query("trades_home_totals", "SELECT l.*, (SELECT count(*) FROM {filing}) AS filings FROM (SELECT count(*) AS trades, count(DISTINCT entity_id) FILTER (chamber = 'senate') AS senate, count(DISTINCT entity_id) FILTER (chamber = 'house') AS house FROM {trade} JOIN {entity} USING (entity_id)) l")(lambda t: trades.home_totals(t.trade, t.entity, t.filing))
 query("freshness_label", "SELECT source, entity_type, CASE WHEN h < 1 THEN '< 1 hour ago' WHEN h < 24 THEN h || 'h ago' ELSE (h // 24) || 'd ago' END AS label, h < 48 AS fresh FROM (SELECT source, entity_type, floor(date_diff('second', date_trunc('second', max(completed_at)), TIMESTAMP '2024-01-31 00:00:00') / 3600)::BIGINT AS h FROM {run_log} WHERE status = 'success' AND records_count > 0 GROUP BY 1, 2) x")(lambda t: _fresh(t))
 query("stats_json", """SELECT group_id, '{"members":' || count(*) || ',"senators":' || count(*) FILTER (chamber = 'senate') || ',"top":' || CASE WHEN max(entity_id) % 2 = 0 THEN 'null' ELSE max(entity_id)::VARCHAR END || '}' AS stats FROM {entity} GROUP BY 1""")(
     lambda t: t.entity.groupBy("group_id").agg(F.count("*").alias("m"), F.count_if(F.col("chamber") == "senate").alias("s"), F.max("entity_id").alias("x")).select("group_id", S.stats_json(members=F.col("m"), senators=F.col("s"), top=F.when(F.col("x") % 2 != 0, F.col("x"))).alias("stats"))
@@ -154,8 +170,8 @@ def _reviewed(t: Tables) -> DataFrame:
 
 _OK = "ticker IS NULL AND confidence < 80 AND asset_type IN ('Bond', 'Other', 'Option') AND tx_date IS NOT NULL AND amount_range IS NOT NULL AND tx_type IN ('P', 'S', 'S (partial)', 'E') AND length(asset_description) > 5"
 query("repair_tickerless", f"SELECT filing_id, row_index, CASE WHEN {_OK} THEN 80 ELSE confidence END AS confidence, CASE WHEN {_OK} THEN FALSE ELSE needs_review END AS needs_review FROM {_REVIEWED} x")(lambda t: trades.repair_tickerless(_reviewed(t)).select("filing_id", "row_index", "confidence", "needs_review"))
-query("update_from_aggregate", "SELECT f.filing_id, f.parse_status, coalesce(c.parse_confidence, CAST(f.filing_id % 100 AS INTEGER)) AS parse_confidence FROM {filing} f LEFT JOIN (SELECT filing_id, CAST(round(avg(confidence)) AS INTEGER) AS parse_confidence FROM {trade} WHERE filing_id % 4 <> 0 GROUP BY 1) c USING (filing_id)")(
-    lambda t: trades.header_confidence(t.filing.withColumn("parse_confidence", F.col("filing_id") % 100), t.trade.where("filing_id % 4 <> 0")).select("filing_id", "parse_status", "parse_confidence")
+query("update_from_aggregate", "SELECT f.filing_id, f.parse_status, coalesce(c.parse_confidence, CAST(f.filing_id % 100 AS INTEGER)) AS parse_confidence FROM {filing} f LEFT JOIN (SELECT filing_id, CAST(round(avg(confidence)) AS INTEGER) AS parse_confidence FROM {trade} GROUP BY 1) c USING (filing_id)")(
+    lambda t: trades.header_confidence(t.filing.withColumn("parse_confidence", F.col("filing_id") % 100), t.trade).select("filing_id", "parse_status", "parse_confidence")
 )
 _FOUND = "(SELECT p_name AS asset_description, CASE max(p_partkey) % 4 WHEN 0 THEN 'FUND' WHEN 1 THEN 'bad' ELSE 'T' || max(p_partkey) % 50 END AS ticker FROM part GROUP BY 1)"
 _TAKES = "t.ticker IS NULL AND d.ticker NOT IN ('FUND', 'bad')"

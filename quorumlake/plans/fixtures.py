@@ -42,7 +42,9 @@ VIEWS = {
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS pac,
           CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(round(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS small
           FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY 1, 2) l ON l.entity_id = r.entity_id AND l.cycle = r.cycle""",
-    "filing": "SELECT o_orderkey AS filing_id, o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS filed_date, CASE o_orderstatus WHEN 'P' THEN 'review' WHEN 'F' THEN 'parsed' ELSE 'pending' END AS parse_status FROM {orders}",
+    # filings of ids below 0 have no lines
+    "filing": """SELECT o_orderkey AS filing_id, o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS filed_date, CASE o_orderstatus WHEN 'P' THEN 'review' WHEN 'F' THEN 'parsed' ELSE 'pending' END AS parse_status FROM {orders}
+        UNION ALL SELECT -1 - c_custkey, c_custkey, @days(DATE '1995-01-01', c_custkey % 1000)@, 'pending' FROM {customer} WHERE c_custkey % 7 = 0""",
     "trade": """SELECT filing_id, entity_id, row_index, ticker, asset_description, tx_type, tx_date, amount, confidence, filed_date,
         CASE WHEN tx_date IS NULL THEN FALSE ELSE filed_date > @days(tx_date, 45)@ END AS filed_late FROM (
         SELECT f.filing_id, f.entity_id, f.filed_date, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS row_index,

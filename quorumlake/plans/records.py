@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import core, resolve
-from ..sources import feeds
+from ..sources import feeds, xml
 from .catalog import query
 from .fixtures import Tables
 
@@ -59,7 +59,7 @@ def _manifest(t: Tables) -> DataFrame:
     who = t.filing.join(t.entity, "entity_id").join(t.group_dim, "group_id")
     member = who.selectExpr("filing_id div 50 AS part", "concat('<Member><DocID>', filing_id, '</DocID><Last>Name', entity_id, '</Last><First>Given</First><FilingDate>', date_format(filed_date, 'M/d/yyyy'), '</FilingDate><StateDst>', left(name, 2), lpad(district, 2, '0'), '</StateDst></Member>') AS m")
     raw = member.groupBy("part").agg(F.concat(F.lit("<FinancialDisclosure>"), F.array_join(F.collect_list("m"), "\n"), F.lit("</FinancialDisclosure>")).alias("xml"))
-    return feeds.parse_manifest_xml(raw)
+    return xml.manifest(raw)[0]
 
 
 _SENATOR = "(SELECT entity_id, last_name, CASE entity_id % 3 WHEN 0 THEN 'ann' WHEN 1 THEN 'ber' ELSE 'car' END AS given FROM {person} WHERE chamber = 'senate')"

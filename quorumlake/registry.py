@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, comparisons, dashboard, records  # noqa: F401: the others register more queries in the first
+from .plans import catalog, comparisons, dashboard, landed, records  # noqa: F401: the others register more queries in the first
 
 
 def queries() -> dict:

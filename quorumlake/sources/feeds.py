@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-PERSON = "id STRUCT<bioguide: STRING, fec: ARRAY<STRING>>, name STRUCT<first: STRING, last: STRING, official_full: STRING>, terms ARRAY<STRUCT<type: STRING, start: STRING, `end`: STRING, state: STRING, district: INT, party: STRING>>"
+PERSON = "id STRUCT<bioguide: STRING, fec: ARRAY<STRING>>, name STRUCT<first: STRING, last: STRING, official_full: STRING>, bio STRUCT<birthday: STRING, gender: STRING>, terms ARRAY<STRUCT<type: STRING, start: STRING, `end`: STRING, state: STRING, district: INT, party: STRING, url: STRING, contact_form: STRING, phone: STRING>>"
 
 BILL = "type STRING, number STRING, title STRING, introducedDate STRING, latestAction STRUCT<actionDate: STRING, text: STRING>, policyArea STRUCT<name: STRING>, sponsors ARRAY<STRUCT<bioguideId: STRING>>, cosponsors ARRAY<STRUCT<bioguideId: STRING, sponsorshipDate: STRING>>"
 
@@ -18,10 +18,15 @@ def parse_json(raw: DataFrame, schema: str, col: str = "json") -> DataFrame:
 
 
 def normalize_entities(persons: DataFrame) -> DataFrame:
-    """The flat entity row: its last term is the current one; persons without terms are skipped."""
+    """The flat entity row: its last term is the current one; persons without terms are skipped, empty texts are null."""
     now = F.try_element_at("terms", F.lit(-1))
-    name = F.coalesce("name.official_full", F.concat_ws(" ", "name.first", "name.last"))
-    return persons.where(F.size("terms") > 0).select(F.col("id.bioguide").alias("entity_id"), name.alias("full_name"), S.norm_party(now["party"]).alias("party"), now["state"].alias("state"), S.chamber_from_type(now["type"]).alias("chamber"), now["district"].alias("district"), F.try_element_at("id.fec", F.lit(1)).alias("fec_id"))
+    text = lambda c: F.nullif(c, F.lit(""))
+    name = F.coalesce(text(F.col("name.official_full")), F.concat_ws(" ", "name.first", "name.last"))
+    return persons.where(F.size("terms") > 0).select(
+        F.col("id.bioguide").alias("entity_id"), name.alias("full_name"), F.col("name.first").alias("first_name"), F.col("name.last").alias("last_name"), S.norm_party(now["party"]).alias("party"), now["state"].alias("state"),
+        S.chamber_from_type(now["type"]).alias("chamber"), now["district"].alias("district"), text(F.col("bio.birthday")).try_cast("date").alias("birth_date"), text(F.col("bio.gender")).alias("gender"),
+        text(now["url"]).alias("website_url"), text(now["contact_form"]).alias("contact_form"), text(now["phone"]).alias("phone"), F.try_element_at("id.fec", F.lit(1)).alias("fec_id"),
+    )
 
 
 def explode_terms(persons: DataFrame) -> DataFrame:
@@ -61,13 +66,6 @@ def explode_sponsorships(items: DataFrame, tracked: DataFrame) -> DataFrame:
     return ours.groupBy("item_id", "entity_id", "role").agg(F.min("cosponsored_date").alias("cosponsored_date"))
 
 
-def parse_rollcall_xml(raw: DataFrame, col: str = "xml") -> tuple[DataFrame, DataFrame]:
-    """(ballots, positions) of roll-call documents (ballot_id, xml)."""
-    head = raw.select("ballot_id", S.parse_ballot_date(S.xml_tag(F.col(col), "action-date")).alias("ballot_date"), S.xml_tag(F.col(col), "vote-question").alias("question"), S.xml_tag(F.col(col), "vote-result").alias("result"), *(S.xml_tag(F.col(col), f"{k}-total").try_cast("int").alias(k) for k in ("yea", "nay")))
-    votes = raw.select("ballot_id", F.explode(F.regexp_extract_all(col, F.lit(r"(?s)<recorded-vote>(.*?)</recorded-vote>"))).alias("v"))
-    return head, votes.select("ballot_id", F.regexp_extract("v", r'name-id="([^"]*)"', 1).alias("entity_id"), S.norm_position(S.xml_tag(F.col("v"), "vote")).alias("position"))
-
-
 def parse_feed_items(raw: DataFrame, key: str, col: str = "xml") -> DataFrame:
     """RSS items, and Atom entries only where a feed has no usable item: (key, title, url, published, description).
 
@@ -90,19 +88,22 @@ def parse_feed_items(raw: DataFrame, key: str, col: str = "xml") -> DataFrame:
     return both.select(key, F.inline(F.when(F.size("items") > 0, F.col("items")).otherwise(F.col("entries"))))
 
 
-def parse_manifest_xml(raw: DataFrame, col: str = "xml") -> DataFrame:
-    rows = raw.select(F.explode(F.regexp_extract_all(col, F.lit(r"(?s)<Member>(.*?)</Member>"))).alias("m"))
-    tag = lambda n: S.xml_tag(F.col("m"), n)
-    return rows.select(tag("DocID").alias("doc_id"), tag("Last").alias("last"), tag("First").alias("first"), S.parse_us_date(tag("FilingDate")).alias("filed_date"), F.substring(tag("StateDst"), 1, 2).alias("state"), F.regexp_extract(tag("StateDst"), r"(\d+)$", 1).try_cast("int").alias("district"))
-
-
 def parse_html_trades(raw: DataFrame, key: str, col: str = "html") -> DataFrame:
-    """Rows of the first table of class ``table``: header rows and rows under eight cells are skipped, kept rows numbered from 0."""
+    """Rows of the first table of class ``table``; kept rows are numbered from 0.
+
+    Header rows, rows under eight cells and rows without a description are skipped. The
+    amount's cell becomes the range that it names, with its bounds. A row is surer of
+    itself with a ticker (95) than without (85).
+    """
     table = F.regexp_extract(col, r'(?s)<table[^>]*class="[^"]*\btable\b[^"]*"[^>]*>(.*?)</table>', 1)
     cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<td[^>]*>(.*?)</td>")), S.html_text)
-    rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>")), cells), lambda c: F.size(c) >= 8)
+    rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>")), cells), lambda c: (F.size(c) >= 8) & (F.trim(F.get(c, F.lit(4))) != ""))
     c = lambda i: F.get("c", F.lit(i))
-    return raw.select(key, F.posexplode(rows).alias("row_index", "c")).select(key, "row_index", S.parse_us_date(c(1)).alias("tx_date"), S.map_owner(c(2)).alias("owner_code"), F.when(S.valid_ticker(c(3)), c(3)).alias("ticker"), c(4).alias("asset_description"), S.map_asset_type(c(5)).alias("asset_type"), S.map_tx_type(c(6)).alias("tx_type"), c(7).alias("amount_range"))
+    ticker, amount = F.when(S.valid_ticker(c(3)), c(3)), S.amount_bucket(c(7))
+    return raw.select(key, F.posexplode(rows).alias("row_index", "c")).select(
+        key, "row_index", S.parse_us_date(c(1)).alias("tx_date"), S.map_owner(c(2)).alias("owner_code"), ticker.alias("ticker"), c(4).alias("asset_description"), S.map_asset_type(c(5)).alias("asset_type"), S.map_tx_type(c(6)).alias("tx_type"),
+        amount["label"].alias("amount_range"), amount["low"].alias("amount_min"), amount["high"].alias("amount_max"), F.coalesce(F.contains(F.lower(c(8)), F.lit("capital gains")), F.lit(False)).alias("cap_gains"), F.when(ticker.isNotNull(), 95).otherwise(85).alias("confidence"),
+    )
 
 
 def content_hash(files: DataFrame, col: str = "content") -> DataFrame:
@@ -118,21 +119,3 @@ def join_social(entities: DataFrame, social: DataFrame, order: list) -> DataFram
 def ingest_finance(feed: DataFrame, measures: list[str]) -> DataFrame:
     """Feed rows with a cycle; measures become whole dollars, nulls 0."""
     return feed.where("cycle IS NOT NULL AND cycle <> 0").withColumns({m: F.round(F.coalesce(m, F.lit(0.0))).cast("long") for m in measures})
-
-
-def parse_senate_xml(raw: DataFrame, lookup: DataFrame, order: list, col: str = "xml") -> tuple[DataFrame, DataFrame]:
-    """(ballots, positions) of roll calls in the layout with members by name and state (ballot_id, year, xml).
-
-    A date that cannot be read is the first of the year. Members are found by last name,
-    in lower case, and state in ``lookup`` (entity_id, last_name, state), whose last
-    row of a key in ``order`` counts; others are dropped.
-    """
-    tag = lambda x, n: S.xml_tag(F.col(x), n)
-    date = F.coalesce(S.parse_ballot_date(tag(col, "vote_date")), F.make_date("year", F.lit(1), F.lit(1)))
-    head = raw.select("ballot_id", date.alias("ballot_date"), tag(col, "question").alias("question"), *(tag(col, n).try_cast("int").alias(n) for n in ("yeas", "nays")))
-    key = lambda last, state: F.concat(F.lower(F.trim(last)), F.lit("-"), F.trim(state))
-    known = lookup.withColumn("_key", key(F.col("last_name"), F.col("state")))
-    known = known.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1").select("_key", "entity_id")
-    votes = raw.select("ballot_id", F.explode(F.regexp_extract_all(col, F.lit(r"(?s)<member>(.*?)</member>"))).alias("m"))
-    named = votes.select("ballot_id", key(tag("m", "last_name"), tag("m", "state")).alias("_key"), S.norm_position(tag("m", "vote_cast")).alias("position"))
-    return head, named.join(known, "_key").select("ballot_id", "entity_id", "position")

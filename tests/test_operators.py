@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators import core, people, resolve, text, trades, votes
 from quorumlake.sources import feeds
+from quorumlake.sources import xml as xml_docs
 from quorumlake.streaming import jobs
 
 
@@ -63,10 +64,10 @@ def test_feeds(spark):
     xml = spark.createDataFrame([(1, "<rss><item><title><![CDATA[A &amp; B]]></title><link>https://x/1</link><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item><item><title>no link</title></item></rss>"), (2, "<feed><entry><title>E</title><link href=\"http://x/2\"/><published>2025-01-06T10:00:00Z</published></entry></feed>"), (3, None), (4, "")], "id int, xml string")
     got = feeds.parse_feed_items(xml, "id").orderBy("id").collect()
     assert [(r.id, r.title, r.url, str(r.published)) for r in got] == [(1, "A & B", "https://x/1", "2025-01-06 10:00:00"), (2, "E", "http://x/2", "2025-01-06 10:00:00")]
-    m = feeds.parse_manifest_xml(spark.createDataFrame([("<Member><DocID>7</DocID><Last>King</Last><First>A</First><FilingDate>1/2/2024</FilingDate><StateDst>CA11</StateDst></Member>",)], "xml string")).first()
+    m = xml_docs.manifest(spark.createDataFrame([("<Index><Member><DocID>7</DocID><Last>King</Last><First>A</First><FilingDate>1/2/2024</FilingDate><StateDst>CA11</StateDst></Member></Index>",)], "xml string"))[0].first()
     assert (m.doc_id, str(m.filed_date), m.state, m.district) == ("7", "2024-01-02", "CA", 11)
     persons = feeds.parse_json(spark.createDataFrame([('{"id":{"bioguide":"B1","fec":["F1"]},"name":{"first":"A","last":"B"},"terms":[{"type":"rep","party":"Libertarian","state":"CA","district":3},{"type":"sen","party":"Libertarian","state":"CA"}]}',), ("{}",)], "json string"), feeds.PERSON)
-    assert rows(feeds.normalize_entities(persons)) == [("B1", "A B", "Independent", "CA", "senate", None, "F1")]
+    assert rows(feeds.normalize_entities(persons).select("entity_id", "full_name", "party", "state", "chamber", "district", "fec_id")) == [("B1", "A B", "Independent", "CA", "senate", None, "F1")]
     assert [r.is_current for r in feeds.explode_terms(persons.where("id is not null")).orderBy("is_current").collect()] == [False, True]
     tree = spark.createDataFrame([("HA", "Ag", [("01", "Sub")])], "id string, name string, subcommittees array<struct<id: string, name: string>>")
     assert rows(feeds.flatten_tree(tree)) == [("HA", "Ag", None), ("HA01", "Sub", "HA")]
