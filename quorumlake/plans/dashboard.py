@@ -12,35 +12,29 @@ from .catalog import _RANGE, _topk_sql, query
 from .fixtures import Tables
 
 
-def _sql(values: list) -> str:
-    return ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in values)
-
-
-def _branches(name: str, function, inputs: list, outputs: list) -> None:
-    """A query that gives every entity the function of one of the texts ``inputs``, chosen by its id; every branch occurs."""
-
-    def pick() -> Column:
-        return F.element_at(F.array(*(F.lit(x).cast("string") for x in inputs)), F.pmod("entity_id", F.lit(len(inputs))).cast("int") + 1)
-
-    query(name, f"SELECT entity_id, ([{_sql(outputs)}])[CAST(entity_id % {len(inputs)} AS INTEGER) + 1] AS value FROM {{entity}}")(lambda t: t.entity.select("entity_id", pick().alias("_x")).select("entity_id", function(F.col("_x")).cast("string").alias("value")))
-
-
-_branches("map_asset_type", S.map_asset_type, ["Common Stock", "Private Equity", "Corporate Bond", "Treasury NOTE", "Muni issue", "Call Option", "Hedge Fund", "SPDR ETF", "Mutual pool", "Cryptocurrency", " Farm ", "", None, "Stock Option"], ["Stock", "Stock", "Bond", "Bond", "Bond", "Option", "Fund", "Fund", "Fund", "Cryptocurrency", "Farm", None, None, "Stock"])
-_branches("map_tx_type", S.map_tx_type, ["Sale (Partial)", "Purchase", "Stock Purchase", "Buy to open", "Exchange", "Sale (Full)", "p", ""], ["S (partial)", "P", "P", "P", "E", "S", "P", "S"])
-_branches("map_owner", S.map_owner, ["Spouse", "Dependent", "Minor child", "JOINT", "Self", ""], ["SP", "DC", "DC", "JT", None, None])
-_branches("norm_position", S.norm_position, ["Yea", "AYE", "Nay", " no ", "Present", "Not Voting", "yes", ""], ["yea", "yea", "nay", "nay", "present", "not_voting", "not_voting", "not_voting"])
-_branches("norm_party", S.norm_party, ["Libertarian", "Democrat", "Green", None], ["Independent", "Democrat", "Green", None])
-_branches("chamber_from_type", S.chamber_from_type, ["sen", "rep", ""], ["senate", "house", "house"])
-_branches("norm_role", S.norm_role, ["Chair", "Chairman", "Ranking Member", "Vice Chair", "Vice Chairman", "Member", None], ["chair", "chair", "ranking_member", "vice_chair", "vice_chair", "member", "member"])
-_branches("amount_bucket", lambda x: S.amount_bucket(x)["label"], ["$15,001 - $50,000", "$50,001-$100,000", "range: $100,001  -  $250,000", "$1,000,001 - $5,000,000", "OVER $50,000,000", "none", "", "$25,000,001 - $50,000,000"], ["$15,001 - $50,000", "$50,001 - $100,000", "$100,001 - $250,000", "$1,000,001 - $5,000,000", "Over $50,000,000", "$1,001 - $15,000", "$1,001 - $15,000", "$25,000,001 - $50,000,000"])
-_branches("amount_bucket_high", lambda x: S.amount_bucket(x)["high"], ["$15,001 - $50,000", "over $50,000,000", "none"], [50000, None, 15000])
-_branches("clean_ticker", lambda x: S.clean_ticker(F.lit(None).cast("string"), x), ["Boeing (BA) [ST]", "Walt Disney (THE) CMN", "usdc [CT]", "Coin (CT) [CT]", "Gold [GS] (GS)", "Apple (AAPL)", "lower (abc)", "Long (ABCDEFG)"], ["BA", None, None, "CT", "GS", "AAPL", None, None])
-_branches("valid_ticker", S.valid_ticker, ["A", "BRK.B", "ABCDEFGH", "ABCDEFGHI", "9A", "ab", "A-1"], ["true", "true", "true", "false", "false", "false", "true"])
-_branches("link_item", lambda x: S.item_from_text(x, F.lit(119)), ["H R 12 On Passage", "S 5", "S. 7 as amended", "H J RES 3", "On Motion", "HR1"], ["hr-12-119", "s-5-119", "s-7-119", "hjres-3-119", None, "hr-1-119"])
-_branches("tx_label", S.tx_label, ["P", "S", "S (partial)", "E", "?"], ["Purchase", "Sale", "Partial sale", "Exchange", "?"])
-_branches("role_label", S.role_label, ["ranking_member", "chair", None], ["ranking member", "chair", None])
-_branches("display_last_name", S.display_last_name, ["Ada M. Lovelace", "Prince", " Juan  de la Cruz "], ["Lovelace", "Prince", "Cruz"])
-_branches("strip_suffix", S.strip_suffix, ["King, Jr.", "Hagerty, IV", "Casey, sr", "Smith", "Mark V"], ["King", "Hagerty", "Casey", "Smith", "Mark V"])
+def _text(name: str, function, table: str, keys: str, raw: str, value: str) -> None:
+    """A query that gives the rows of ``table`` the function of a text made of their columns; ``raw`` is SQL for Spark, ``value`` the oracle's."""
+    query(name, f"SELECT {keys}, CAST({value} AS VARCHAR) AS value FROM {{{table}}}")(lambda t: getattr(t, table).selectExpr(*keys.split(", "), f"{raw} AS _x").select(*keys.split(", "), function(F.col("_x")).cast("string").alias("value")))
+
+
+_text("map_asset_type", S.map_asset_type, "part", "p_partkey", "CASE p_type WHEN 'MEDIUM' THEN 'Corporate ' || p_name || ' BOND' WHEN 'STANDARD' THEN p_name || ' Common Stock' WHEN 'LARGE' THEN ' ' || p_name || ' ' WHEN 'PROMO' THEN 'Index fund of ' || p_name WHEN 'SMALL' THEN 'Stock Option, ' || p_name WHEN 'ECONOMY' THEN '' END", "CASE p_type WHEN 'MEDIUM' THEN 'Bond' WHEN 'STANDARD' THEN 'Stock' WHEN 'LARGE' THEN p_name WHEN 'PROMO' THEN 'Fund' WHEN 'SMALL' THEN 'Stock' END")
+_text("map_tx_type", S.map_tx_type, "events", "event_id", "CASE event_type WHEN 'purchase' THEN event_type WHEN 'click' THEN 'Partial sale no. ' || event_id WHEN 'view' THEN 'Exchange ' || event_id WHEN 'signup' THEN 'Order to BUY ' || event_id ELSE ' Sale (Full) ' || event_type END", "CASE event_type WHEN 'purchase' THEN 'P' WHEN 'click' THEN 'S (partial)' WHEN 'view' THEN 'E' WHEN 'signup' THEN 'P' ELSE 'S' END")
+_text("map_owner", S.map_owner, "orders", "o_orderkey", "CASE o_orderpriority WHEN '1-URGENT' THEN 'Spouse of ' || o_custkey WHEN '2-HIGH' THEN 'DEPENDENT of ' || o_custkey WHEN '3-MEDIUM' THEN 'Joint, ' || o_orderpriority WHEN '5-LOW' THEN 'Minor child' ELSE o_orderpriority END", "CASE o_orderpriority WHEN '1-URGENT' THEN 'SP' WHEN '2-HIGH' THEN 'DC' WHEN '3-MEDIUM' THEN 'JT' WHEN '5-LOW' THEN 'DC' END")
+_text("norm_position", S.norm_position, "events", "event_id", "CASE event_type WHEN 'click' THEN ' Yea ' WHEN 'signup' THEN 'AYE' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'Nay' ELSE ' no' END WHEN 'purchase' THEN 'Present' ELSE event_type END", "CASE event_type WHEN 'click' THEN 'yea' WHEN 'signup' THEN 'yea' WHEN 'view' THEN 'nay' WHEN 'purchase' THEN 'present' ELSE 'not_voting' END")
+_text("norm_party", S.norm_party, "customer", "c_custkey", "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Libertarian' WHEN c_acctbal > 0 THEN c_mktsegment END", "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Independent' WHEN c_acctbal > 0 THEN c_mktsegment END")
+_text("chamber_from_type", S.chamber_from_type, "entity", "entity_id", "CASE WHEN NOT in_office THEN '' WHEN chamber = 'senate' THEN 'sen' ELSE 'rep' END", "CASE WHEN in_office THEN chamber ELSE 'house' END")
+_text("norm_role", S.norm_role, "assignment", "entity_id, committee_id", "CASE role WHEN 'chair' THEN CASE WHEN entity_id % 2 = 0 THEN 'Chair' ELSE 'Chairman' END WHEN 'ranking_member' THEN 'Ranking Member' WHEN 'vice_chair' THEN CASE WHEN entity_id % 2 = 0 THEN 'Vice Chair' ELSE 'Vice Chairman' END ELSE nullif('Clerk of ' || committee_id, 'Clerk of B04') END", "role")
+_MESSY = "CASE amount % 6 WHEN 0 THEN 'none stated' WHEN 1 THEN 'OVER $50,000,000' WHEN 2 THEN replace({r}, ' - ', '-') WHEN 3 THEN 'about ' || replace({r}, ' - ', '  -   ') WHEN 4 THEN {r} || ', ' || asset_description ELSE '' END"
+_SHOWN = "CASE WHEN amount <= 15000 THEN '$1,001 - $15,000' WHEN amount <= 50000 THEN '$15,001 - $50,000' WHEN amount <= 100000 THEN '$50,001 - $100,000' WHEN amount <= 250000 THEN '$100,001 - $250,000' WHEN amount <= 500000 THEN '$250,001 - $500,000' ELSE '$500,001 - $1,000,000' END"
+_text("amount_bucket", lambda x: S.amount_bucket(x)["label"], "trade", "filing_id, row_index", _MESSY.format(r=_SHOWN), f"CASE WHEN amount % 6 IN (0, 5) THEN '$1,001 - $15,000' WHEN amount % 6 = 1 THEN 'Over $50,000,000' ELSE {_SHOWN} END")
+_text("amount_bucket_high", lambda x: S.amount_bucket(x)["high"], "trade", "filing_id, row_index", _MESSY.format(r=_SHOWN), "CASE WHEN amount % 6 IN (0, 5) OR amount % 6 <> 1 AND amount <= 15000 THEN 15000 WHEN amount % 6 = 1 THEN NULL WHEN amount <= 50000 THEN 50000 WHEN amount <= 100000 THEN 100000 WHEN amount <= 250000 THEN 250000 WHEN amount <= 500000 THEN 500000 ELSE 1000000 END")
+_text("clean_ticker", lambda x: S.clean_ticker(F.lit(None).cast("string"), x), "part", "p_partkey", "p_name || CASE p_type WHEN 'MEDIUM' THEN ' (BA) [ST]' WHEN 'STANDARD' THEN ' (THE) CMN' WHEN 'LARGE' THEN ' [CT]' WHEN 'PROMO' THEN ' (CT) [CT]' WHEN 'SMALL' THEN ' (' || upper(substring(p_name, 1, 3)) || ') ' || p_brand ELSE ' (ABCDEFG) (' || p_name || ')' END", "CASE p_type WHEN 'MEDIUM' THEN 'BA' WHEN 'PROMO' THEN 'CT' WHEN 'SMALL' THEN CASE WHEN left(p_name, 3) NOT IN ('old', 'new') THEN upper(left(p_name, 3)) END END")
+_text("valid_ticker", S.valid_ticker, "part", "p_partkey", "CASE p_type WHEN 'PROMO' THEN p_brand WHEN 'LARGE' THEN '9' || upper(substring(p_name, 1, 2)) WHEN 'SMALL' THEN 'BRK.B-1' ELSE upper(replace(p_name, ' ', '')) END", "CASE WHEN p_type IN ('PROMO', 'LARGE') THEN FALSE WHEN p_type = 'SMALL' THEN TRUE ELSE length(replace(p_name, ' ', '')) <= 8 END")
+_text("link_item", lambda x: S.item_from_text(x, F.lit(119)), "part", "p_partkey", "CASE p_type WHEN 'MEDIUM' THEN 'H R ' || p_partkey || ' ' || p_name WHEN 'STANDARD' THEN 'S. ' || p_partkey WHEN 'LARGE' THEN 'h.j.res. ' || p_partkey || ', as amended' WHEN 'PROMO' THEN 'HR' || p_partkey ELSE 'On ' || p_name END", "CASE p_type WHEN 'MEDIUM' THEN 'hr-' || p_partkey || '-119' WHEN 'STANDARD' THEN 's-' || p_partkey || '-119' WHEN 'LARGE' THEN 'hjres-' || p_partkey || '-119' WHEN 'PROMO' THEN 'hr-' || p_partkey || '-119' END")
+_text("tx_label", S.tx_label, "line", "filing_id, row_index", "CASE WHEN tx_type = 'S' THEN 'E' ELSE tx_type END", "CASE tx_type WHEN 'P' THEN 'Purchase' WHEN 'S' THEN 'Exchange' WHEN 'S (partial)' THEN 'Partial sale' ELSE tx_type END")
+_text("role_label", S.role_label, "assignment", "entity_id, committee_id", "role", "CASE role WHEN 'ranking_member' THEN 'ranking member' WHEN 'vice_chair' THEN 'vice chair' ELSE role END")
+_text("display_last_name", S.display_last_name, "entity", "entity_id", "CASE WHEN in_office THEN ' Ada  M. ' || full_name || ' ' ELSE full_name END", "full_name")
+_text("strip_suffix", S.strip_suffix, "entity", "entity_id", "full_name || CASE party WHEN 'Democrat' THEN ', Jr.' WHEN 'Republican' THEN ', IV' WHEN 'FURNITURE' THEN ' V' WHEN 'HOUSEHOLD' THEN ',  sr' ELSE '' END", "full_name || CASE party WHEN 'FURNITURE' THEN ' V' ELSE '' END")
 query("seat_label", "SELECT entity_id, CASE WHEN chamber = 'senate' THEN 'Senator' WHEN district > 0 THEN 'District ' || district ELSE 'At-Large' END AS seat FROM {entity}")(lambda t: t.entity.select("entity_id", S.seat_label(F.col("chamber"), F.col("district")).alias("seat")))
 query("mid_amount", "SELECT entity_id, CASE WHEN entity_id % 3 = 0 AND entity_id % 2 = 0 THEN 1000.0 WHEN entity_id % 3 = 0 THEN entity_id + 10.0 WHEN entity_id % 2 = 0 THEN CAST(entity_id AS DOUBLE) ELSE entity_id + 5.0 END AS mid FROM {entity}")(
     lambda t: t.entity.select("entity_id", S.mid_amount(F.when(F.col("entity_id") % 3 != 0, F.col("entity_id")), F.when(F.col("entity_id") % 2 != 0, F.col("entity_id") + 10)).alias("mid"))
