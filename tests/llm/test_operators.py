@@ -468,6 +468,31 @@ def test_seating_has_the_right_distribution():
         assert (s.t == 1).all()
 
 
+def test_drawn_tables_have_the_exact_distribution():
+    """Against every seating of few customers, and the sum for many customers against the table's recursion."""
+    d, other, parent, many = 0.5, 7, 0.3, 60_000
+    for c in (2, 5, 8):
+        exact = np.zeros(c + 1)
+
+        def enumerate_seatings(sizes, weight, left, exact=exact):
+            if not left:
+                exact[len(sizes)] += weight
+                return
+            enumerate_seatings([*sizes, 1], weight * (pitman_yor.STRENGTH + d * (other + len(sizes))) * parent, left - 1)
+            for i, n in enumerate(sizes):
+                enumerate_seatings([*sizes[:i], n + 1, *sizes[i + 1 :]], weight * (n - d), left - 1)
+
+        enumerate_seatings([], 1.0, c)
+        got = np.bincount(pitman_yor.drawn_tables(np.arange(many, dtype=np.uint64), np.full(many, c), np.full(many, other), np.full(many, parent), d, 3), minlength=c + 1) / many
+        assert np.abs(got - exact / exact.sum()).max() < 0.01
+    for d in (0.37, 0.5, 0.66, 0.8):  # 0.5 j and 0.8 j are whole numbers at times
+        table, row = pitman_yor.log_seatings(d)[4000, :64], pitman_yor._log_seatings_of_many(4000, d, 64)
+        assert np.abs((table - table[0]) - (row - row[0])).max() < 1e-2
+    large = pitman_yor.drawn_tables(np.arange(50, dtype=np.uint64), np.full(50, 10**7), np.full(50, 10**6), np.full(50, 0.05), 0.5, 1)  # beyond: as expected
+    assert ((large > 64) & (large <= 10**7)).all()
+    assert pitman_yor.drawn_tables(np.zeros(3, dtype=np.uint64), np.array([0, 1, 2]), np.zeros(3), np.zeros(3), d, 1).tolist() == [0, 1, 1]
+
+
 def test_toxicity_restores():
     texts = ["you are an idiot and a moron truly", "the weather is nice and the sea is calm", "idiot moron stupid trash people talk"] * 50
     counts = np.zeros((toxicity.SIZE,) * 3)
