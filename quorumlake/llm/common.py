@@ -8,6 +8,8 @@ an empty one unless an operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -27,14 +29,21 @@ def resident(key: Hashable, build: Callable[[], Any]) -> Any:
     Workers outlive stages; so an operator's model does not stay when the next operator runs.
     """
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = build()
     return _held[key]
 
 
 def release() -> None:
-    """Let a worker go of what ``resident`` holds for another operator; for tasks without a model of their own."""
-    _held.clear()
+    """Let a worker go of what ``resident`` holds for another operator, and give freed memory back to the machine."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        trim(0)
 
 
 def sliced(batches: Iterable, rows: int = 512):
