@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     path, rng = tmp_path_factory.mktemp("pipeline"), random.Random(8)
     docs = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
-    toxic = {i for i, _, y in labels if y}
+    toxic, clean = {i for i, _, y in labels if y}, {i for i, _, y in labels if y == 0}
     long = [d for d in docs if d[1] and len(d[1].split()) > 120 and d[0] not in toxic]
     extra = []
     for i, d in enumerate(rng.sample(long, 12)):
@@ -32,7 +32,7 @@ def folder(spark, tmp_path_factory):
     extra += [(300_000, None, "en", None, None), (300_001, "", None, "s", 0), (300_002, "123 !!", "de", "s", 6), docs[5], (None, docs[6][1], docs[6][2], "s", 0), (300_003, "Write to ann.b@example.org or call +49 30 1234 5678 about the and of the thing in the house with them", "en", "s", 0)]
     spark.createDataFrame([(*d, 7, "x", 3) for d in docs + extra], COLUMNS).repartition(4).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    return str(path), toxic
+    return str(path), toxic, clean
 
 
 def near_groups(rows):
@@ -67,7 +67,7 @@ def near_groups(rows):
 def test_chain_against_plain_python(spark, folder):
     from tokenizers import Tokenizer
 
-    path, toxic = folder
+    path, toxic, clean = folder
     docs, after = spark.read.parquet(f"{path}/documents.parquet"), {}
     state = docs
     for name, stage in corpus_pipeline.STAGES:
@@ -90,7 +90,7 @@ def test_chain_against_plain_python(spark, folder):
     second = plain(after["toxicity"])
     assert sorted(map(key, second)) == sorted(key(r) for r in first if toxicity._score(reader.evidence(r["text"] or ""), tone.curve) < 0.7)
     left = {r["doc_id"] for r in second}
-    bad, good = [r for r in first if r["doc_id"] in toxic], [r for r in first if r["doc_id"] not in toxic and not 200_000 <= (r["doc_id"] or 0) < 200_010]
+    bad, good = [r for r in first if r["doc_id"] in toxic], [r for r in first if r["doc_id"] in clean - toxic]
     assert sum(r["doc_id"] in left for r in bad) <= 0.3 * len(bad) and sum(r["doc_id"] in left for r in good) >= 0.99 * len(good)
 
     # near copies: brute force over all shingle sets
