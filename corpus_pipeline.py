@@ -34,6 +34,7 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word Jaccard 0.8 or more), that with the least id.
 
+    SimHash finds near copies first, an exact join those at which it fails.
     Texts without a word, null ones among them, are one group. A null id is least only in
     a group without others; of rows alike in id and text one stays.
     """

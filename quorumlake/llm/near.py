@@ -1,14 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, each link confirmed on the word shingles' sets, and an exact way for the rest.
+
+First every node gets the SimHash of its five-word shingles; pigeonring finds what lies
+within 3 bits (``simhash.links``), and each node is compared with the least node of its
+component. A Jaccard similarity of 0.8 is about 10 of 64 bits, with a deviation of 3, so
+SimHash alone would lose links. What it leaves apart is joined by prefixes.
 
 A set's prefix is its rarest n - ceil(s n) + 1 shingles in one order that all sets
 share: two sets of similarity s or more have a prefix shingle in common, so the join
-on prefix shingles loses no pair. (A SimHash distance would: at Jaccard 0.8 it is
-about 10 of 64 bits, with a deviation of 3.) The order puts shingles that are frequent
+on prefix shingles loses no pair. The order puts shingles that are frequent
 in a sample last; the sample decides how many candidates there are, never the result.
 
 Equal texts are one node. Each prefix shingle has a head among its nodes. In two turns,
 with other heads each, a node is compared with the head it shares most prefix shingles
-with. Then nodes that are still in separate components are compared if what follows
+with, unless SimHash has linked the two. Then nodes that are still in separate components are compared if what follows
 their first common prefix shingle can hold enough: a shingle at place i of n and at j of
 m allows min(n - i, m - j) in common, itself included. A pair's texts are read only if its
 prefixes have enough in common: the prefix that ends first in the order holds all it
@@ -27,6 +31,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, cut, discard, release, sliced, stored
 
 SAMPLE, SHARE, FREQUENT = 4096, 12, 1_000_000  # texts looked at, or that share of all if it is more, and shingles kept, for the order
@@ -141,6 +146,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
+def simhash_pairs(texts: DataFrame, words: int) -> DataFrame:
+    """(a, b), a < b: every node of ``texts`` with the least node of its SimHash component, unless it is that."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        release()
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash.fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["node", "fp"])
+
+    prints = cut(_once(texts).mapInArrow(task, "node long, fp long").groupBy("node").agg(F.first("fp").alias("fp")))  # rows of one node have one text
+    reach = components(simhash.links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = cut(prints.join(reach, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("node").alias("least"))
+    return rooted.join(least, "root").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+
+
 def _plausible(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The distinct ``pairs`` (a, b, n, m) whose prefixes have enough in common, with a < b."""
     num, den = similarity
@@ -157,7 +179,7 @@ def _head(turn: int, *columns: str) -> Column:
 
 
 def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5), rows: int | None = None) -> DataFrame:
-    """(a, b): links that connect the nodes of ``texts`` (node, text as binary) as all similar pairs do.
+    """(a, b): links that connect the nodes of ``texts`` (node, text as binary) as all similar pairs do, those of SimHash first.
 
     Rows of one node have one text. ``rows``: about how many texts there are.
     """
@@ -167,10 +189,12 @@ def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)
     alone = Window.partitionBy("key")
     headed = keyed.select("*", F.min("node").over(alone).alias("lo"), F.max("node").over(alone).alias("hi"), _head(0).over(alone).alias("head")).where("lo < hi")
     members = stored(headed.dropDuplicates(["key", "node"]).select("key", "node", "n", "i", "head.b", "head.m"))
-    found = tried = members.sparkSession.createDataFrame([], "a long, b long")
+    tried = cut(simhash_pairs(texts, words))
+    found = cut(_confirmed(tried, texts, words, similarity))
     live = members
     for turn in range(3):
         if turn == 0:
+            roots = cut(components(found))
             pairs = live.where("node <> b").select(F.col("node").alias("a"), "b", "n", "m")
         else:
             roots = cut(components(found))
@@ -181,6 +205,10 @@ def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)
         if turn < 2:  # the head a node shares most shingles with
             best = pairs.where(alike).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b", "n", "m")).alias("best"))
             pairs = best.select("a", "best.b", "best.n", "best.m")
+            if turn == 0:  # later turns have left out what is linked
+                for k in "ab":
+                    pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+                pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "n", "m")
         else:
             mine = live.select("key", F.col("node").alias("a"), "n", "i", "root")
             theirs = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))

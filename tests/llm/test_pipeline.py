@@ -149,3 +149,27 @@ def test_stages_take_empty_tables(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, empty, folder[0])
         assert got.count() == 0, name
+
+
+def test_near_copies_come_by_simhash_first(spark, monkeypatch):
+    """SimHash links nodes whose fingerprints differ in few bits; the join by prefixes gets what it leaves, and only that."""
+    from pyspark.sql import functions as F
+
+    from quorumlake.llm import near, simhash
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    close, far = list(base), list(base)
+    close[450] = "other"
+    for at in range(20, 900, 45):  # 20 words: Jaccard about 0.8
+        far[at] = f"changed{at}"
+    texts = [" ".join(w).encode() for w in (base, close, far, [f"v{rng.randrange(5000)}" for _ in range(900)])]
+    prints = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.TAU < (prints[0] ^ prints[2]).bit_count()
+    nodes = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "node long, text binary")
+    assert [tuple(r) for r in near.simhash_pairs(nodes, 5).collect()] == [(0, 1)]
+    asked, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *rest: asked.append(sorted(tuple(r) for r in pairs.select("a", "b").collect())) or confirmed(pairs, *rest))
+    found = near.links(nodes, 5, (7, 10)).select(F.least("a", "b"), F.greatest("a", "b")).collect()
+    assert asked[0] == [(0, 1)] and (0, 1) in map(tuple, found) and (0, 1) not in sum(asked[1:], [])
+    assert {2} <= {x for r in found for x in r} and 3 not in {x for r in found for x in r}
