@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorumlake.llm import language, near, packing, pii, toxicity
-from quorumlake.llm.common import discard, residue, stored, table
+from quorumlake.llm.common import discard, residue, slim, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and letterless texts, ties and narrow margins go; without a row that has a
     language all go. Repeated rows fare alike.
     """
+    slim(spark)
     return language.keep(docs, language.fit(docs.where(residue("doc_id", 3) != 1)))
 
 
@@ -28,6 +29,7 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts stay unless nearly all labels are toxic. Repeated rows fare alike.
     """
+    slim(spark)
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), residue("id", 3) != 1))
 
 
@@ -38,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a word, null ones among them, are one group. A null id is least only in
     a group without others; of rows alike in id and text one stays.
     """
+    slim(spark)
     return near.keep_one(docs)
 
 
@@ -50,6 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 1024 tokens; a null text is an empty document, one token long."""
     import public_tokenizers as tokenizers
 
+    slim(spark)
     return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"))
 
 

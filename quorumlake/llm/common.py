@@ -53,6 +53,16 @@ def sliced(batches: Iterable, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def slim(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session hands at most ``rows`` rows at once to Python workers.
+
+    Spark's 10,000 texts a batch are held several times, by the executor's writer and by the worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

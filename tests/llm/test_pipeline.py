@@ -173,3 +173,19 @@ def test_near_copies_come_by_simhash_first(spark, monkeypatch):
     found = near.links(nodes, 5, (7, 10)).select(F.least("a", "b"), F.greatest("a", "b")).collect()
     assert asked[0] == [(0, 1)] and (0, 1) in map(tuple, found) and (0, 1) not in sum(asked[1:], [])
     assert {2} <= {x for r in found for x in r} and 3 not in {x for r in found for x in r}
+
+
+def test_stages_hand_texts_to_workers_in_small_batches(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    try:
+        import pyarrow as pa
+
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "pii":  # no Python workers
+                spark.conf.set(key, "10000")
+                stage(spark, spark.read.parquet(f"{folder[0]}/documents.parquet").limit(3), folder[0])
+                sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+                assert max(r.n for r in sizes.collect()) <= 1000, name
+    finally:
+        spark.conf.unset(key)
