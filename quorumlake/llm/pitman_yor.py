@@ -1,8 +1,9 @@
 """Operator 5: language-model scoring by a hierarchical Pitman-Yor model.
 
-Words are dishes of context restaurants: a word's context is the ending (last byte) of
-the word before it, or the start of the text, 256 restaurants at most. They all share one
-parent, the restaurant of words without context, whose parent is a spelling model:
+Words are dishes of context restaurants. A word's context is the whole word before it, or
+the start of the text; such a restaurant's parent is that of its word's ending (the last
+byte), 256 at most. These all share one parent, the restaurant of words without context,
+whose parent is a spelling model:
 restaurants whose dishes are symbols (frequent code points, the end of a word, one for
 all other code points) and whose contexts are the last 3, 2, 1 and 0 symbols of the word,
 each context's parent being the one without its oldest symbol. As in the base score, all
@@ -12,19 +13,23 @@ leaves to them, one less that of all known words.
 Seating is sampled by Gibbs. A sweep seats all customers of a dish together: the number of
 its tables is drawn from its distribution given all other dishes, in which the tables'
 sizes, which predictions don't need, are summed out. Each table sends a customer to the
-parent. A word's restaurants are sampled together, words side by side, given the
+parent. A pair of words with one customer has one table; the others are drawn side by
+side, and the endings' customers are counted anew from their tables. Of the endings and
+the root a word's restaurants are sampled together, words side by side, given the
 restaurants' totals after the sweep before. In the spelling model single customers move:
 one that is drawn at random leaves its table, and is seated again at a table with
 probability in proportion to its size less the discount, or at a new one in proportion to
 the parent's probability; ``moves`` of every dish in a sweep. Random numbers come from the dish and the step, so results do
 not depend on partitions, batches or lost executors. Predictive probabilities are
-averaged over two seatings, for each of which they sum to one.
+averaged over two seatings: a whole word's restaurant's own part and share for its parent,
+and the parent's probabilities, each over both, so that they sum to one.
 
 The spelling model is bounded by ``SYMBOLS ** ORDER`` at any corpus size; the words'
 counts come from all training texts and stay distributed. For scoring, texts are dealt
-into batches of bounded size; a batch sends each of its distinct words once to the
-vocabulary and gets its counts and probabilities back, so neither vocabulary nor texts
-pass through one task or the driver.
+into batches of bounded size; a batch sends each of its distinct words and pairs once to
+the vocabulary and gets counts and probabilities back, so neither vocabulary nor texts
+pass through one task or the driver. Pairs know words by ``word_id``: among 10^8 words
+two share one with a probability of about half a percent.
 """
 
 from __future__ import annotations
@@ -320,8 +325,16 @@ def sample(group: int, codes: np.ndarray, n: np.ndarray, root: np.ndarray, burn:
     return one.tables(), mean / max(1, samples), mean2 / max(1, samples)
 
 
+def word_id(word: bytes) -> int:
+    """A word's XXH64 with its last byte in place of the lowest: a context's number tells its ending."""
+    from xxhash import xxh64_intdigest
+
+    x = xxh64_intdigest(word, 42) & ~255 | word[-1]
+    return x - (1 << 64) if x >> 63 else x
+
+
 def vocabulary(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, ctx binary, c binary): how often each token, the ends of texts among them, follows which endings in ``train``; endings and counts are packed."""
+    """(w, u, c): how often each token, the ends of texts among them, follows which whole token in ``train``; both by ``word_id``."""
 
     def task(batches):
         import pyarrow as pa
@@ -332,22 +345,18 @@ def vocabulary(train: DataFrame, text_col: str = "text") -> DataFrame:
 
         def rows():
             pairs, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            column = pa.array(list(names), pa.binary())
+            ids = np.fromiter(map(word_id, names), dtype=np.int64, count=len(names))
             for at in range(0, len(pairs), 50_000):
                 some = pairs[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([column.take(pa.array(some // CONTEXTS)), pa.array((some % CONTEXTS).astype(np.int32)), pa.array(n[at : at + 50_000].astype(np.int64))], ["word", "ctx", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some >> 32]), pa.array(ids[some & 0xFFFFFFFF]), pa.array(n[at : at + 50_000].astype(np.int64))], ["w", "u", "c"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 w = words(t)
-                got = np.empty(len(w) + 1, dtype=np.int64)
-                got[:-1] = [names.setdefault(x, len(names)) for x in w]
-                got[-1] = 0
-                got *= CONTEXTS
-                got[0] += END_TOKEN[0]
-                got[1:] += endings(w)
-                codes.append(got)
-                held += len(got)
+                got = np.zeros(len(w) + 2, dtype=np.int64)  # END_TOKEN before and behind the words
+                got[1:-1] = [names.setdefault(x, len(names)) for x in w]
+                codes.append(got[1:] << 32 | got[:-1])
+                held += len(w) + 1
             if held > 2_000_000:
                 codes, held = [np.concatenate(codes)], 0
                 if len(codes[0]) > 6_000_000 or len(names) > 1_000_000:
@@ -355,20 +364,85 @@ def vocabulary(train: DataFrame, text_col: str = "text") -> DataFrame:
                     names, codes = {END_TOKEN: 0}, []
         yield from rows()
 
-    counts = train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "word binary, ctx int, c long")
-    # the tasks have counted, so rows go straight to the word's partition; a word has CONTEXTS pairs at most
-    summed = counts.repartition("word").groupBy("word", "ctx").agg(F.sum("c").alias("c"))
-    lists = summed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("p"))
+    counts = train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "w long, u long, c long")
+    # the tasks have counted; a frequent word's pairs go to many partitions
+    return counts.repartition("w", "u").groupBy("w", "u").agg(F.sum("c").alias("c"))
+
+
+def spellings(train: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word binary, w): every token of ``train`` and its ``word_id``."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        def rows():
+            some = list(seen)
+            for at in range(0, len(some), 50_000):
+                part = some[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(list(map(word_id, part)), pa.int64())], ["word", "w"])
+
+        seen: set[bytes] = set()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(words(t))
+                seen.add(END_TOKEN)
+            if len(seen) > 1_000_000:
+                yield from rows()
+                seen.clear()
+        yield from rows()
+
+    return train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "word binary, w long").distinct()
+
+
+def _customers(pairs: DataFrame) -> DataFrame:
+    """(w, ctx binary, c binary): the tables ``t`` of ``pairs`` (w, u, t) are the customers of the endings' restaurants; packed."""
+    summed = pairs.groupBy("w", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int").alias("ctx")).agg(F.sum("t").alias("c"))
+    lists = summed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("p"))  # CONTEXTS entries at most
 
     def pack(batches):
         import pyarrow as pa
 
         for b in batches:
-            pairs, n = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
-            ctx, c = (pairs.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), _packed(ctx, n, "u1"), _packed(c, n, "<i8")], ["word", "ctx", "c"])
+            pairs_, n = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
+            ctx, c = (pairs_.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(ctx, n, "u1"), _packed(c, n, "<i8")], ["w", "ctx", "c"])
+
+    return lists.select("w", "p").mapInArrow(pack, "w long, ctx binary, c binary")
 
-    return lists.select("word", "p").mapInArrow(pack, "word binary, ctx binary, c binary")
+
+def _followed(multi: DataFrame, ones: DataFrame, state: DataFrame, totals: Totals, discount: tuple[float, float, float], turn: int) -> DataFrame:
+    """``multi`` (w, u, c, t, t0) after a sweep of the whole words' restaurants; t0 are the tables before it.
+
+    ``ones`` (u, ones): pairs of a context that have one customer, so one table.
+    """
+    d0, d1, d2 = discount
+
+    def backing(batches):  # the endings' probabilities of words, flat
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                (ctx, n), (c, _), (t, _) = _lists(b.column(1), "u1"), _lists(b.column(2), "<i8"), _lists(b.column(3), "<i8")
+                rt, p0 = b.column(4).to_numpy(), b.column(5).to_numpy()
+                root = (np.add.reduceat(t, np.cumsum(n) - n) - d0 * rt + (STRENGTH + d0 * totals.root) * p0) / (STRENGTH + totals.customers)
+                share = (STRENGTH + d1 * totals.tables[ctx]) / (STRENGTH + totals.guests[ctx])
+                p = (c - d1 * t) / (STRENGTH + totals.guests[ctx]) + share * np.repeat(root, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(ctx.astype(np.int32)), pa.array(p)], ["w", "ctx", "p"])
+
+    def seat(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            w, u, c, t, all_, p = (b.column(i).to_numpy() for i in range(6))
+            with np.errstate(over="ignore"):
+                key = w.view(np.uint64) + (u.view(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
+            now = drawn_tables(key, c, np.maximum(0, all_ - t), p, d2, 1000 * (turn + 1) + 1) if b.num_rows else t
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(now.astype(np.int64)), b.column(3)], ["w", "u", "c", "t", "t0"])
+
+    p = state.select("w", "ctx", "c", "t", "rt", "p").mapInArrow(backing, "w long, ctx int, p double")
+    all_ = multi.groupBy("u").agg(F.sum("t").alias("many")).join(ones, "u").select("u", (F.col("many") + F.col("ones")).alias("all"))
+    known = multi.withColumn("ctx", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int")).join(p, ["w", "ctx"]).join(all_, "u")
+    return known.select("w", "u", "c", "t", "all", "p").mapInArrow(seat, "w long, u long, c long, t long, t0 long")
 
 
 def endings(w: list[bytes]) -> np.ndarray:
@@ -480,13 +554,15 @@ class Totals(NamedTuple):
     tables: np.ndarray
     customers: int
     root: int
+    guests: np.ndarray  # customers of every context
 
 
 class Model(NamedTuple):
-    words: DataFrame  # (word, c, one, two, ctx binary, q binary): count, root probabilities by sample, seen contexts and -Q log10 of the mean probabilities in them
-    customers: np.ndarray  # of every context
+    words: DataFrame  # (word, c, one, two, ctx binary, q binary, guests, tables): count, root probabilities by sample, seen endings and -Q log10 of the mean probabilities in them; the word's own restaurant's customers and mean tables
+    pairs: DataFrame  # (w, u, c, t): customers and mean tables of the word w in the restaurant of the word u
+    tokens: int
     distinct: int
-    discount: tuple[float, float]  # root, contexts
+    discount: tuple[float, float, float]  # root, endings, whole words
     totals: tuple[Totals, Totals]
     unknown: float  # what spelling leaves to unseen words
 
@@ -496,10 +572,10 @@ class Model(NamedTuple):
 
     def shares(self) -> np.ndarray:
         """What every context leaves to the root, by [sample, context]."""
-        return np.stack([(STRENGTH + self.discount[1] * t.tables) / (STRENGTH + self.customers) for t in self.totals])
+        return np.stack([(STRENGTH + self.discount[1] * t.tables) / (STRENGTH + t.guests) for t in self.totals])
 
 
-STATE = "word binary, ctx binary, c binary, t binary, rt long, p double, before binary"
+STATE = "w long, ctx binary, c binary, t binary, rt long, p double, word binary, before binary"
 
 
 def _lists(column, kind: str):
@@ -524,18 +600,21 @@ def _packed(values: np.ndarray, n: np.ndarray, kind: str):
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(kind).tobytes())])
 
 
-def _seated(turn: int, totals: Totals, speller, discount: tuple[float, float]):
-    """A task that carries the words' seatings on by a sweep; at turn 0 it starts them from one table a dish. ``speller``: a broadcast, or None to keep ``p``."""
+def _seated(turn: int, totals: Totals, speller, discount: tuple[float, float, float]):
+    """A task that carries the words' seatings on by a sweep; at turn 0 it starts them from one table a dish. ``speller``: a broadcast, or None to keep ``p``.
+
+    Takes the columns of ``STATE`` with the new customers ``c``, and those before as ``before``.
+    """
 
     def task(batches):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        d0, d1 = discount
+        d0, d1, _ = discount
         for whole in batches:
             for begin in range(0, whole.num_rows, 20_000):
                 b = whole.slice(begin, 20_000)
-                w = b.column(0).to_pylist()
+                w = b.column(6).to_pylist()
                 ctx, n = _lists(b.column(1), "u1")
                 c, _ = _lists(b.column(2), "<i8")
                 word, first = np.repeat(np.arange(len(w)), n), np.cumsum(n) - n
@@ -547,78 +626,105 @@ def _seated(turn: int, totals: Totals, speller, discount: tuple[float, float]):
                 if turn == 0:
                     t, rc, rt = np.ones(len(c), dtype=np.int64), n, np.ones(len(w), dtype=np.int64)
                 else:
-                    t, rt = _lists(b.column(3), "<i4")[0].astype(np.int64), b.column(4).to_numpy()
+                    t, rt = _lists(b.column(3), "<i8")[0], b.column(4).to_numpy()
                     rc = np.add.reduceat(t, first)
-                    if turn == 2:  # the sample before this one: the contexts' tables, the root's at the end
-                        before, held = np.insert(t, first + n, rt), n + 1
+                    if turn == 2:  # the sample before this one: the contexts' tables and customers, the root's tables at the end
+                        held = 2 * n + 1
+                        at = np.cumsum(held) - held
+                        before = np.zeros(int(held.sum()), dtype=np.int64)
+                        before[_ragged(at, n)], before[_ragged(at + n, n)], before[at + 2 * n] = t, _lists(b.column(7), "<i8")[0], rt
                 p = (rc - d0 * rt + (STRENGTH + d0 * totals.root) * p0) / (STRENGTH + totals.customers)
                 t = drawn_tables(pair, c, np.maximum(0, totals.tables[ctx] - t), p[word], d1, 1000 * (turn + 1))
                 rc = np.add.reduceat(t, first)
                 rt = drawn_tables(key, rc, np.maximum(0, totals.root - rt), p0, d0, 1000 * (turn + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0), _packed(ctx, n, "u1"), _packed(c, n, "<i8"), _packed(t, n, "<i4"), pa.array(rt), pa.array(p0), _packed(before, held, "<i4")], [x.split()[0] for x in STATE.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(t, n, "<i8"), pa.array(rt), pa.array(p0), b.column(6), _packed(before, held, "<i8")], [x.split()[0] for x in STATE.split(", ")])
 
     return task
 
 
 def _totals(state: DataFrame) -> Totals:
+    """Of ``state`` (ctx, c, t, rt); without t every dish has one table."""
+    start = "t" not in state.columns
+
     def task(batches):
         import pyarrow as pa
 
-        out = np.zeros(CONTEXTS + 2, dtype=np.int64)
+        out = np.zeros(2 * CONTEXTS + 2, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                ctx, t = _lists(b.column(0), "u1")[0], _lists(b.column(1), "<i4")[0]
-                out[:CONTEXTS] += np.bincount(ctx, t, CONTEXTS).astype(np.int64)
-                out[CONTEXTS:] += (int(t.sum()), int(b.column(2).to_numpy().sum()))
+                ctx, c = _lists(b.column(0), "u1")[0], _lists(b.column(1), "<i8")[0]
+                t = np.ones(len(c), dtype=np.int64) if start else _lists(b.column(2), "<i8")[0]
+                out[:CONTEXTS] += np.rint(np.bincount(ctx, t, CONTEXTS)).astype(np.int64)
+                out[CONTEXTS + 2 :] += np.rint(np.bincount(ctx, c, CONTEXTS)).astype(np.int64)
+                out[CONTEXTS : CONTEXTS + 2] += (int(t.sum()), b.num_rows if start else int(b.column(3).to_numpy().sum()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["i", "n"])
 
-    got = np.zeros(CONTEXTS + 2, dtype=np.int64)
-    for r in state.select("ctx", "t", "rt").mapInArrow(task, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    got = np.zeros(2 * CONTEXTS + 2, dtype=np.int64)
+    columns = ("ctx", "c") if start else ("ctx", "c", "t", "rt")
+    for r in state.select(*columns).mapInArrow(task, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         got[r.i] = r.n
-    return Totals(got[:CONTEXTS], int(got[CONTEXTS]), int(got[CONTEXTS + 1]))
+    return Totals(got[:CONTEXTS], int(got[CONTEXTS]), int(got[CONTEXTS + 1]), got[CONTEXTS + 2 :])
+
+
+def _once_and_twice(df: DataFrame, column: str) -> float:
+    """The discount by how many dishes have one customer and how many two."""
+    r = df.agg(F.count_if(F.col(column) == 1).alias("one"), F.count_if(F.col(column) == 2).alias("two")).first()
+    return min(0.95, max(0.1, r.one / max(1, r.one + 2 * r.two)))
 
 
 def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
-    """Gather the vocabulary, then let the words' seatings and the spelling model take turns.
+    """Gather the vocabulary and its pairs, then let the pairs', the words' and the spelling model's seatings take turns.
 
-    The first spelling model sees one table a word, the second the root's tables after
-    the first turn. Three sweeps follow each other; the seatings after the second and the
-    third are the samples.
+    At first every pair has one table, and the first spelling model sees one table a word,
+    the second the root's tables after the first turn. Three sweeps follow each other, of
+    which the first leaves the pairs; the seatings after the second and the third are the samples.
     """
     spark = train.sparkSession
-    vocab = stored(vocabulary(train, text_col))
-
-    def counted(batches):
+    pairs = stored(vocabulary(train, text_col))
+    multi = pairs.where("c > 1").withColumn("t", F.lit(1).cast("long")).withColumn("t0", F.lit(1).cast("long"))
+    single = pairs.where("c = 1").select("w", "u", "c", F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("t0"))
+    contexts = cut(pairs.groupBy("u").agg(F.sum("c").alias("guests"), F.count_if(F.col("c") == 1).alias("ones")))
+    counts = pairs.groupBy("w").agg(F.sum("c").alias("n"))
+    vocab = stored(_customers(single.unionByName(multi)).join(spellings(train, text_col), "w"))
+    lengths = vocab.select(F.octet_length("ctx").alias("n"))
+    packed = F.octet_length("c")
+
+    def few(batches):
         import pyarrow as pa
 
-        out = np.zeros((4, CONTEXTS), dtype=np.int64)
         for b in batches:
-            ctx, c = _lists(b.column(0), "u1")[0], _lists(b.column(1), "<i8")[0]
-            for i, weight in enumerate((c, None, c == 1, c == 2)):
-                out[i] += np.rint(np.bincount(ctx, weight, CONTEXTS)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS, dtype=np.int32)), *map(pa.array, out)], ["ctx", "c", "t", "once", "twice"])
-
-    sums = [F.sum(x).alias(x) for x in ("c", "t", "once", "twice")]
-    pairs = vocab.select("ctx", "c").mapInArrow(counted, "ctx int, c long, t long, once long, twice long").groupBy("ctx").agg(*sums).collect()  # CONTEXTS rows
-    customers, tables = np.zeros(CONTEXTS, dtype=np.int64), np.zeros(CONTEXTS, dtype=np.int64)
-    for r in pairs:
-        customers[r.ctx], tables[r.ctx] = r.c, r.t
-    top = vocab.agg(F.count("*").alias("v"), F.count_if(F.octet_length("ctx") == 1).alias("once"), F.count_if(F.octet_length("ctx") == 2).alias("twice")).first()
-    rate = lambda one, two: min(0.95, max(0.1, one / max(1, one + 2 * two)))
-    discount = (rate(top.once, top.twice), rate(sum(r.once for r in pairs), sum(r.twice for r in pairs)))
+            c = _lists(b.column(0), "<i8")[0]
+            yield pa.RecordBatch.from_arrays([pa.array([int((c == k).sum())]) for k in (1, 2)], ["one", "two"])
+
+    r = vocab.where(packed > 0).select("c").mapInArrow(few, "one long, two long").agg(F.coalesce(F.sum("one"), F.lit(0)).alias("one"), F.coalesce(F.sum("two"), F.lit(0)).alias("two")).first()
+    discount = (_once_and_twice(lengths, "n"), min(0.95, max(0.1, r.one / max(1, r.one + 2 * r.two))), _once_and_twice(pairs, "c"))
+    top = contexts.agg(F.coalesce(F.sum("guests"), F.lit(0)).alias("n")).first()
+    distinct = vocab.count()
     lut = symbols(vocab)
     speller = spark.sparkContext.broadcast(spelling(vocab.select("word", F.lit(1).cast("long").alias("t")), lut, seed=seed))
-    totals, state, seen = Totals(tables, int(tables.sum()), int(top.v)), vocab, []
+    totals, seen = _totals(vocab), []
+    empty = {"t": "binary", "rt": "long", "p": "double", "before": "binary"}
+    state = vocab.select("w", "ctx", "c", *(F.lit(None).cast(empty[x]).alias(x) for x in ("t", "rt", "p")), "word", F.lit(None).cast("binary").alias("before"))
+    ones = contexts.select("u", "ones")
     for turn in range(3):
+        last, old = state, multi
         if turn == 1:
             speller = spark.sparkContext.broadcast(spelling(state.select("word", F.col("rt").alias("t")), lut, seed=seed + 1))
-        last, state = state, stored(state.mapInArrow(_seated(turn, totals, speller if turn < 2 else None, discount), STATE))
+        if turn:
+            multi = stored(_followed(multi, ones, state, totals, discount, turn))
+            now = _customers(single.unionByName(multi)).select("w", F.col("c").alias("now"))
+            state = state.join(now, "w").select("w", "ctx", F.col("now").alias("c"), "t", "rt", "p", "word", F.col("c").alias("before"))
+        state = stored(state.mapInArrow(_seated(turn, totals, speller if turn < 2 else None, discount), STATE))
         discard(last)
+        if turn > 1:
+            discard(old)
         totals = _totals(state)
         seen.append(totals)
-    samples, (d0, d1) = (seen[1], seen[2]), discount
+    samples, (d0, d1, _) = (seen[1], seen[2]), discount
     left = max(1e-12, 1.0 - float(state.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]))
-    model = Model(state, customers, int(top.v), discount, samples, left)
+    mean = (F.col("t") + F.col("t0")) / 2
+    follows = single.unionByName(multi).select("w", "u", "c", mean.alias("t"))
+    model = Model(state, follows, int(top.n), distinct, discount, samples, left)
     shares = model.shares()
 
     def finished(batches):
@@ -627,19 +733,21 @@ def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
         for b in batches:
             if not b.num_rows:
                 continue
-            (ctx, n), (c, _), (now, _), p0 = _lists(b.column(1), "u1"), _lists(b.column(2), "<i8"), _lists(b.column(3), "<i4"), b.column(5).to_numpy()
+            (ctx, n), (c, _), (now, _), p0 = _lists(b.column(1), "u1"), _lists(b.column(2), "<i8"), _lists(b.column(3), "<i8"), b.column(5).to_numpy()
             first = np.cumsum(n) - n
-            both, _ = _lists(b.column(6), "<i4")
-            ends = first + n + np.arange(len(n))
-            before = np.delete(both, ends)
-            tables = b.column(4).to_numpy()
-            seated = ((before, both[ends]), (now, tables))
-            root = [(np.add.reduceat(t, first) - d0 * rt + (STRENGTH + d0 * whole.root) * p0) / (STRENGTH + whole.customers) for whole, (t, rt) in zip(samples, seated, strict=True)]
-            q = sum((c - d1 * t) / (STRENGTH + customers[ctx]) + share[ctx] * np.repeat(r, n) for r, share, (t, _) in zip(root, shares, seated, strict=True)) / 2
+            both, held = _lists(b.column(7), "<i8")
+            at = np.cumsum(held) - held
+            before, was, ends = both[_ragged(at, n)], both[_ragged(at + n, n)], at + 2 * n
+            seated = ((was, before, both[ends]), (c, now, b.column(4).to_numpy()))
+            root = [(np.add.reduceat(t, first) - d0 * rt + (STRENGTH + d0 * whole.root) * p0) / (STRENGTH + whole.customers) for whole, (_, t, rt) in zip(samples, seated, strict=True)]
+            q = sum((x - d1 * t) / (STRENGTH + whole.guests[ctx]) + share[ctx] * np.repeat(r, n) for r, share, whole, (x, t, _) in zip(root, shares, samples, seated, strict=True)) / 2
             q = np.minimum(65_535, np.rint(-np.log10(q) * Q)).astype("<u2")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.add.reduceat(c, first)), *(pa.array(r.astype(np.float32)) for r in root), b.column(1), _packed(q, n, "<u2")], ["word", "c", "one", "two", "ctx", "q"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(6), *(pa.array(r.astype(np.float32)) for r in root), b.column(1), _packed(q, n, "<u2")], ["w", "word", "one", "two", "ctx", "q"])
 
-    done = stored(state.mapInArrow(finished, "word binary, c long, one float, two float, ctx binary, q binary"))
+    many = multi.groupBy("u").agg(F.sum(mean).alias("many"))
+    own = contexts.join(many, "u", "left").select(F.col("u").alias("w"), "guests", (F.col("ones") + F.coalesce("many", F.lit(0.0))).alias("tables"))
+    rows = state.mapInArrow(finished, "w long, word binary, one float, two float, ctx binary, q binary")
+    done = stored(rows.join(counts, "w").join(own, "w", "left").select("word", F.col("n").alias("c"), "one", "two", "ctx", "q", F.coalesce("guests", F.lit(0)).alias("guests"), F.coalesce("tables", F.lit(0.0)).alias("tables")))
     discard(state)
     return model._replace(words=done)
 
@@ -680,7 +788,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     model = fit(rows.where("not held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, -(-int(size) // batch_bytes))
-    n, unknown, shares = int(model.customers.sum()), model.root_unknown(), model.shares()
+    n, unknown, shares, d2 = model.tokens, model.root_unknown(), model.shares(), model.discount[2]
     norm = float(np.log10(n + 0.1 * (model.distinct + 1)))
     # repeated rows part by the file split that they come from, so that no batch gets them all
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text"), "text", F.spark_partition_id()), F.lit(batches)).cast("int"))
@@ -694,12 +802,31 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             seen.update(words(t.as_py()))
         return pa.table({"batch": pa.array(np.full(len(seen), key[0].as_py(), dtype=np.int32)), "word": pa.array(list(seen), pa.binary())})
 
-    answers = dealt.groupBy("batch").applyInArrow(asked, "batch int, word binary").join(model.words, "word").select("batch", "word", "c", "one", "two", "ctx", "q")
+    def asked_pairs(key, group):
+        import pyarrow as pa
+
+        release()
+        names, codes = {END_TOKEN: 0}, [np.zeros(0, dtype=np.int64)]
+        for t in group.column("text"):
+            w = words(t.as_py())
+            got = np.zeros(len(w) + 2, dtype=np.int64)
+            got[1:-1] = [names.setdefault(x, len(names)) for x in w]
+            codes.append(np.unique(got[1:] << 32 | got[:-1]))
+        codes = np.unique(np.concatenate(codes))
+        ids = np.fromiter(map(word_id, names), dtype=np.int64, count=len(names))
+        return pa.table({"batch": pa.array(np.full(len(codes), key[0].as_py(), dtype=np.int32)), "w": pa.array(ids[codes >> 32]), "u": pa.array(ids[codes & 0xFFFFFFFF])})
+
+    known_words = dealt.groupBy("batch").applyInArrow(asked, "batch int, word binary").join(model.words, "word")
+    known_pairs = dealt.groupBy("batch").applyInArrow(asked_pairs, "batch int, w long, u long").join(model.pairs.withColumnRenamed("t", "tables"), ["w", "u"])
+    answers = known_words.unionByName(known_pairs, allowMissingColumns=True).select("batch", "word", "c", "one", "two", "ctx", "q", "guests", "tables", "w", "u")
 
     def scored(key, group, known):
         import pyarrow as pa
+        import pyarrow.compute
 
         release()
+        pairs = known.filter(pa.compute.is_null(known.column("word")))
+        known = known.filter(pa.compute.is_valid(known.column("word")))
         k = known.num_rows
         place = dict(zip(known.column("word").to_pylist(), range(k), strict=True))
         c = np.append(known.column("c").to_numpy(), 0)
@@ -707,6 +834,16 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         seen = Seen(*_lists(known.column("ctx").combine_chunks(), "u1"))
         q = np.append(_lists(known.column("q").combine_chunks(), "<u2")[0], np.uint16(0))
         base = np.log10(c + 0.1) - norm
+        guests, tables = (np.append(known.column(name).to_numpy(), 0) for name in ("guests", "tables"))
+        back = (STRENGTH + d2 * tables) / (STRENGTH + guests)  # what the word's restaurant leaves to its ending's; all, if it has no customers
+        back[guests == 0] = 1.0
+        ids = np.fromiter((word_id(x) for x in place), dtype=np.int64, count=k)
+        order = np.argsort(ids)
+        w_, u_ = (order[np.searchsorted(ids[order], pairs.column(name).to_numpy())] for name in ("w", "u"))
+        codes = w_ * (k + 1) + u_
+        own = (pairs.column("c").to_numpy() - d2 * pairs.column("tables").to_numpy()) / (STRENGTH + guests[u_])
+        sorted_ = np.argsort(codes)
+        codes, own = np.append(codes[sorted_], -1), np.append(own[sorted_], 0.0)  # what stands behind all is no pair
         out: tuple[list, ...] = ([], [], [], [])
         for x in group.column("text"):
             w = words(x.as_py())
@@ -716,6 +853,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             p = np.log10((shares[:, ctx] * root[:, at]).mean(axis=0))
             place_, hit = seen.places(at, ctx)
             p[hit] = q[place_[hit]] / -Q
+            before = np.concatenate([[place.get(END_TOKEN, k)], at[:-1]])
+            code = at * (k + 1) + before
+            pair = np.searchsorted(codes[:-1], code)
+            p = np.log10(np.where(codes[pair] == code, own[pair], 0.0) + back[before] * 10.0**p)
             for col, y in zip(out, (len(at), int(np.count_nonzero(c[at])), float(base[at].sum()), float(p.sum())), strict=True):
                 col.append(y)
         numbers = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -706,3 +707,30 @@ def test_voronoi_against_sql(spark):
     got = registry.queries()["op2_voronoi_top_k"](spark, "/root/testdata/sf0.001")
     assert want.columns == got.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_pitman_yor_contexts_are_whole_words(spark):
+    """Which word follows is told by the whole word before it: their endings are all alike."""
+    rng = random.Random(5)
+    follows = {"xa": "one", "ya": "two", "za": "six", "va": "ten"}  # every other word ends alike, and so do all contexts
+    line = lambda swap: " ".join(f"{w} {follows[rng.choice(sorted(follows)) if swap else w]}" for w in (rng.choice(sorted(follows)) for _ in range(60)))
+    rows = [(i, line(False)) for i in range(200)] + [(1000 + i, line(False)) for i in range(20)] + [(2000 + i, line(True)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pitman_yor.score(docs, F.col("doc_id") >= 1000).collect()
+    mean = lambda low, high: sum(r.score / r.n_tokens for r in got if low <= r.doc_id < high) / sum(low <= r.doc_id < high for r in got)
+    assert mean(1000, 2000) > -0.36  # the four leads are log10(4) / 2 = 0.30 a token, what follows is sure
+    assert mean(2000, 3000) < mean(1000, 2000) - 0.5  # by endings these are as likely as the others
+    assert all(abs(r.base_score / r.n_tokens + 0.9) < 0.1 for r in got)
+
+
+def test_pitman_yor_whole_words_are_a_distribution(docs):
+    """In the restaurant of every whole word its parts for seen words and its parent's share sum to one."""
+    m = pitman_yor.fit(docs)
+    d = m.discount[2]
+    ids = {pitman_yor.word_id(bytes(r.word)): r for r in m.words.collect()}
+    part = Counter()
+    for r in m.pairs.collect():
+        assert r.c >= r.t >= 1 and r.w in ids
+        part[r.u] += (r.c - d * r.t) / (pitman_yor.STRENGTH + ids[r.u].guests)
+    assert part and all(abs(p + (pitman_yor.STRENGTH + d * ids[u].tables) / (pitman_yor.STRENGTH + ids[u].guests) - 1) < 1e-9 for u, p in part.items())
+    assert m.tokens == sum(r.c for r in ids.values()) == sum(r.guests for r in ids.values())
