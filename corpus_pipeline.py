@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorumlake.llm import language, near, packing, pii, toxicity
-from quorumlake.llm.common import discard, residue, slim, stored, table
+from quorumlake.llm.common import discard, residue, slim, stored, table, tidy
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a group without others; of rows alike in id and text one stays.
     """
     slim(spark)
+    tidy(spark)
     return near.keep_one(docs)
 
 

@@ -63,6 +63,17 @@ def slim(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy(spark: SparkSession) -> None:
+    """From now on the session removes the shuffle files of a query when it has ended.
+
+    Else they stay until the driver happens to collect its garbage, and an operator that
+    runs many short queries holds the files of all of them. A later reader of such files
+    lets Spark run their stage again; so ``toLocalIterator``, which reads when its query
+    has ended, is for results of ``cut`` and ``stored`` only.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -125,6 +136,11 @@ def clear(spark: SparkSession) -> None:
             fs.delete(status.getPath(), True)
 
 
+def dense(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """Narrow ``df`` of at most about ``rows`` rows in as many tasks as these fill, two at least, and not one for each partition of its shuffle."""
+    return df.coalesce(max(2, -(-rows // per_task)))
+
+
 def gapless(df: DataFrame, key: str, order: list[str], out: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each ``key`` from 0 without gaps, whatever the size of a key.
 
@@ -148,18 +164,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each step is an aggregation to
     the least neighbour and a join on the node, so that no neighbour list is ever
-    collected. The number of rounds grows with the logarithm of the input. Self
-    loops and repeated edges are allowed; no edges give no rows.
+    collected. A step has tasks by the number of edges. The number of rounds grows with
+    the logarithm of the input. Self loops and repeated edges are allowed; no edges give no rows.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    rows = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, mark = cut(rows), None
+    n = now.count()  # no step has more edges
     while True:
+        now = dense(now, n)
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = dense(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), n)
+        large = dense(large.distinct(), n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = cut(dense(dense(small, n).union(dense(low.select("a", F.col("m").alias("b")), n)).distinct(), n))
         seen = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if tuple(seen) == mark:
             break

@@ -14,7 +14,8 @@ Equal texts are one node. Each prefix shingle has a head among its nodes. In two
 with other heads each, a node is compared with the head it shares most prefix shingles
 with, unless SimHash has linked the two. Then nodes that are still in separate components are compared if what follows
 their first common prefix shingle can hold enough: a shingle at place i of n and at j of
-m allows min(n - i, m - j) in common, itself included. A pair's texts are read only if its
+m allows min(n - i, m - j) in common, itself included; that join also counts what prefixes
+have in common. A pair's texts are read only if its
 prefixes have enough in common: the prefix that ends first in the order holds all it
 shares with the other set up to there, so c common prefix shingles allow
 c + ceil(s n) - 1 in all, n being the larger size. Shingles are known by their XXH64;
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, cut, discard, release, sliced, stored
+from .common import components, cut, dense, discard, release, sliced, stored
 
 SAMPLE, SHARE, FREQUENT = 4096, 12, 1_000_000  # texts looked at, or that share of all if it is more, and shingles kept, for the order
 STEP = 256  # texts whose shingles make one batch
@@ -123,8 +124,8 @@ def _prefixes(texts: DataFrame, words: int, similarity: tuple[int, int], frequen
     return texts.mapInArrow(task, "key long, node long, n int, i int")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int], rows: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar enough; ``rows``: about how many texts there are."""
     num, den = similarity
 
     def task(batches):
@@ -140,14 +141,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple
                 same.append((num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= num * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = cut(dense(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows))
     held = _once(texts.join(_listed(nodes), "node", "left_semi")).groupBy("node").agg(F.first("text").alias("text"))
     left, right = (held.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
-def simhash_pairs(texts: DataFrame, words: int) -> DataFrame:
-    """(a, b), a < b: every node of ``texts`` with the least node of its SimHash component, unless it is that."""
+def simhash_pairs(texts: DataFrame, words: int, rows: int | None = None) -> DataFrame:
+    """(a, b), a < b: every node of ``texts`` (about ``rows``) with the least node of its SimHash component, unless it is that."""
 
     def task(batches):
         import pyarrow as pa
@@ -156,21 +157,45 @@ def simhash_pairs(texts: DataFrame, words: int) -> DataFrame:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash.fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["node", "fp"])
 
-    prints = cut(_once(texts).mapInArrow(task, "node long, fp long").groupBy("node").agg(F.first("fp").alias("fp")))  # rows of one node have one text
+    rows = texts.count() if rows is None else rows
+    prints = cut(dense(_once(texts).mapInArrow(task, "node long, fp long").groupBy("node").agg(F.first("fp").alias("fp")), rows))  # rows of one node have one text
     reach = components(simhash.links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
-    rooted = cut(prints.join(reach, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
+    rooted = cut(dense(prints.join(reach, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), rows))
     least = rooted.groupBy("root").agg(F.min("node").alias("least"))
     return rooted.join(least, "root").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
 
 
+def _enough(most: Column, both: Column, similarity: tuple[int, int]) -> Column:
+    """Can sets with ``common`` prefix shingles in common be similar enough? ``most``: the larger size, ``both``: the sizes' sum."""
+    num, den = similarity
+    return (F.col("common") + F.ceil(most * num / den) - 1) * (num + den) >= both * num
+
+
 def _plausible(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The distinct ``pairs`` (a, b, n, m) whose prefixes have enough in common, with a < b."""
-    num, den = similarity
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("n", "m").alias("most"), (F.col("n") + F.col("m")).alias("both")).distinct()
     mine, theirs = (members.select("key", F.col("node").alias(k)) for k in "ab")
     counted = pairs.join(mine, "a").join(theirs, ["b", "key"]).groupBy("a", "b", "most", "both").agg(F.count("*").alias("common"))
-    bound = F.col("common") + F.ceil(F.col("most") * num / den) - 1
-    return counted.where(bound * (num + den) >= F.col("both") * num).select("a", "b")
+    return counted.where(_enough(F.col("most"), F.col("both"), similarity)).select("a", "b")
+
+
+def _roomy(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b), a < b, of ``live`` (key, node, n, i, root) in separate components that places and common prefix shingles allow.
+
+    What is needed at the first common shingle is needed at the k-th less k - 1, and k - 1
+    is at most the lesser place; keys that fail this are of no similar pair, so they need
+    no counting.
+    """
+    num, den = similarity
+    mine = live.select("key", F.col("node").alias("a"), "n", "i", "root")
+    theirs = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    n, m, i, j = map(F.col, "nmij")
+    alike, both = F.least(n, m) * den >= F.greatest(n, m) * num, (n + m) * num
+    room = F.least(n - i, m - j)
+    shared = mine.join(theirs, "key").where("root < other").where(alike & ((room + F.least(i, j)) * (num + den) >= both))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest(n, m).alias("most"), (n + m).alias("both")]
+    counted = shared.groupBy(*pair).agg(F.count("*").alias("common"), F.bool_or(room * (num + den) >= both).alias("fits"))
+    return counted.where(F.col("fits") & _enough(F.col("most"), F.col("both"), similarity)).select("a", "b")
 
 
 def _head(turn: int, *columns: str) -> Column:
@@ -185,19 +210,19 @@ def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)
     """
     num, den = similarity
     alike = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    keyed = _prefixes(_once(texts), words, similarity, _frequent(texts, words, texts.count() if rows is None else rows)).repartition("key")
+    rows = texts.count() if rows is None else rows
+    keyed = _prefixes(_once(texts), words, similarity, _frequent(texts, words, rows)).repartition("key")
     alone = Window.partitionBy("key")
     headed = keyed.select("*", F.min("node").over(alone).alias("lo"), F.max("node").over(alone).alias("hi"), _head(0).over(alone).alias("head")).where("lo < hi")
     members = stored(headed.dropDuplicates(["key", "node"]).select("key", "node", "n", "i", "head.b", "head.m"))
-    tried = cut(simhash_pairs(texts, words))
-    found = cut(_confirmed(tried, texts, words, similarity))
+    tried = cut(dense(simhash_pairs(texts, words, rows), rows))
+    found = cut(_confirmed(tried, texts, words, similarity, rows))
     live = members
     for turn in range(3):
+        roots = cut(dense(components(found), rows))
         if turn == 0:
-            roots = cut(components(found))
             pairs = live.where("node <> b").select(F.col("node").alias("a"), "b", "n", "m")
         else:
-            roots = cut(components(found))
             rooted = members.select("key", "node", "n", "i").join(_listed(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
             open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), _head(turn, "root").alias("head")).where("lo < hi")
             live = cut(rooted.join(open_, "key").select("key", "node", "n", "i", "root", F.col("head.b").alias("b"), F.col("head.m").alias("m"), F.col("head.root").alias("other")))
@@ -209,13 +234,11 @@ def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)
                 for k in "ab":
                     pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
                 pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "n", "m")
+            pairs = _plausible(pairs, live, similarity)
         else:
-            mine = live.select("key", F.col("node").alias("a"), "n", "i", "root")
-            theirs = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
-            room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-            pairs = mine.join(theirs, "key").where("root < other").where(alike & (room * (num + den) >= (F.col("n") + F.col("m")) * num)).select("a", "b", "n", "m")
-        pairs = cut(_plausible(pairs, live, similarity).join(tried, ["a", "b"], "left_anti"))
-        found = cut(found.union(_confirmed(pairs, texts, words, similarity)))
+            pairs = _roomy(live, similarity)
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(found.union(_confirmed(pairs, texts, words, similarity, rows)))
         tried = tried.union(pairs)
     discard(members)
     return found
