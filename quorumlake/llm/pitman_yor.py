@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, release, residue, stored
+from .common import cut, discard, release, residue, stored, tidy
 
 SYMBOLS, ORDER = 64, 4
 END, SPACE, OTHER = 0, 1, 63
@@ -530,7 +530,7 @@ def spelling(tables: DataFrame, lut: np.ndarray, burn: int = 2, samples: int = 2
     rows, at = [np.log10(mean0).astype(np.float32)[None]], 1
     place = np.zeros(SYMBOLS ** (ORDER - 1), dtype=np.int32)
     context = np.arange(len(place))
-    for r in counts.groupBy("g").applyInPandas(second, "g int, seen binary, deep binary, short binary").toLocalIterator():  # SYMBOLS rows of 1 MB at most
+    for r in cut(counts.groupBy("g").applyInPandas(second, "g int, seen binary, deep binary, short binary")).toLocalIterator():  # SYMBOLS rows of 1 MB at most
         seen, ends = np.frombuffer(r.seen, dtype="<i4"), context % SYMBOLS == r.g
         place[ends] = at + context[ends] // SYMBOLS % SYMBOLS
         place[seen] = at + SYMBOLS + np.arange(len(seen))
@@ -869,4 +869,5 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
+    tidy(spark)
     return score(table(spark, sf_dir, "documents"), residue("doc_id", 10) == 0)

@@ -1,11 +1,11 @@
-"""Tasks, files and candidate pairs of the pipeline's third stage: many partitions and few rows."""
+"""Tasks, shuffle files and candidate pairs: many partitions and few rows."""
 
 import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from quorumlake.llm import near
+from quorumlake.llm import near, pitman_yor
 from quorumlake.llm.common import components
 
 
@@ -57,3 +57,13 @@ def test_roomy_pairs_lose_no_similar_pair(spark):
     prefix = {v: {r[0] for r in rows if r[1] == v} for v in range(len(sets))}
     plausible = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 9 * (len(prefix[a] & prefix[b]) + -(-4 * max(len(x), len(y)) // 5) - 1) >= 4 * (len(x) + len(y))}
     assert len(similar) > 40 and similar <= got <= plausible
+
+
+def test_pitman_yor_leaves_no_shuffle_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i % 7} of some few that say nothing more at all") for i in range(60)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = files(spark)
+    pitman_yor.query(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    assert not files(spark) - before
