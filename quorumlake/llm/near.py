@@ -12,10 +12,10 @@ in a sample last; the sample decides how many candidates there are, never the re
 
 Equal texts are one node. Each prefix shingle has a head among its nodes. In two turns,
 with other heads each, a node is compared with the head it shares most prefix shingles
-with, unless SimHash has linked the two. Then nodes that are still in separate components are compared if what follows
+with, unless SimHash has linked the two. First heads are those with most of their set left
+from the shingle on: the texts that large groups have drifted from. Then nodes that are still in separate components are compared if what follows
 their first common prefix shingle can hold enough: a shingle at place i of n and at j of
-m allows min(n - i, m - j) in common, itself included; that join also counts what prefixes
-have in common. A pair's texts are read only if its
+m allows min(n - i, m - j) in common, itself included. A pair's texts are read only if its
 prefixes have enough in common: the prefix that ends first in the order holds all it
 shares with the other set up to there, so c common prefix shingles allow
 c + ceil(s n) - 1 in all, n being the larger size. Shingles are known by their XXH64;
@@ -179,28 +179,45 @@ def _plausible(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]
     return counted.where(_enough(F.col("most"), F.col("both"), similarity)).select("a", "b")
 
 
+def _spacious(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The rows (key, node, n, i, root) of ``live`` that can be a similar pair's first common shingle, by what their key's other rows allow.
+
+    Of a pair (n, i), (m, j) both n - i and m - j hold all that is common: n den - i (num + den)
+    is num m at least, and m den - j (num + den) num n. Here m and j may come from two rows, so no pair is lost.
+    """
+    num, den = similarity
+    over, n = Window.partitionBy("key"), F.col("n").cast("long")
+    room = live.select("key", "node", "n", "i", "root", (n * den - F.col("i") * (num + den)).alias("room"))
+    room = room.select("*", F.min("n").over(over).alias("least"), F.max("room").over(over).alias("most"))
+    room = room.where((F.col("room") >= F.col("least") * num) & (F.col("room") * den >= n * num * num) & (F.col("most") >= n * num))
+    both = room.select("*", F.min("root").over(over).alias("lo"), F.max("root").over(over).alias("hi"))
+    return both.where("lo < hi").select("key", "node", "n", "i", "root")
+
+
 def _roomy(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b), a < b, of ``live`` (key, node, n, i, root) in separate components that places and common prefix shingles allow.
 
-    What is needed at the first common shingle is needed at the k-th less k - 1, and k - 1
-    is at most the lesser place; keys that fail this are of no similar pair, so they need
-    no counting.
+    Pairs come from rows with room enough, and common shingles are counted for them alone:
+    texts of a large group that have drifted too far from it to be similar make no rows.
     """
     num, den = similarity
-    mine = live.select("key", F.col("node").alias("a"), "n", "i", "root")
-    theirs = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    some = _spacious(live, similarity)
+    mine = some.select("key", F.col("node").alias("a"), "n", "i", "root")
+    theirs = some.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     n, m, i, j = map(F.col, "nmij")
-    alike, both = F.least(n, m) * den >= F.greatest(n, m) * num, (n + m) * num
-    room = F.least(n - i, m - j)
-    shared = mine.join(theirs, "key").where("root < other").where(alike & ((room + F.least(i, j)) * (num + den) >= both))
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest(n, m).alias("most"), (n + m).alias("both")]
-    counted = shared.groupBy(*pair).agg(F.count("*").alias("common"), F.bool_or(room * (num + den) >= both).alias("fits"))
-    return counted.where(F.col("fits") & _enough(F.col("most"), F.col("both"), similarity)).select("a", "b")
+    alike = F.least(n, m) * den >= F.greatest(n, m) * num
+    fits = F.least(n - i, m - j) * (num + den) >= (n + m) * num
+    pairs = mine.join(theirs, "key").where("root < other").where(alike & fits).select("a", "b", "n", "m")
+    return _plausible(pairs, live, similarity)
 
 
 def _head(turn: int, *columns: str) -> Column:
-    """The key's node of the least hash, with ``columns``."""
-    return F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("b"), F.col("n").alias("m"), *columns))
+    """The key's node with ``columns``: at first the one with the most of its set left from the key on, later that of the least hash.
+
+    What a group's texts have in common is all of the first's; one that is close to any two of them is close to it.
+    """
+    place = F.col("i") / F.col("n") if turn == 0 else F.lit(0.0)
+    return F.min(F.struct(place.alias("place"), F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("b"), F.col("n").alias("m"), *columns))
 
 
 def links(texts: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5), rows: int | None = None) -> DataFrame:

@@ -59,6 +59,40 @@ def test_roomy_pairs_lose_no_similar_pair(spark):
     assert len(similar) > 40 and similar <= got <= plausible
 
 
+def test_large_near_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Texts that drifted from one by up to five words are linked by it; few are read in pairs, and no link is lost."""
+    rng, texts = random.Random(6), []
+    base = [f"w{x}" for x in rng.sample(range(5000), 150)]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), i % 6):
+            w[at] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 9 * len(x & y) >= 4 * (len(x) + len(y))]
+    root = list(range(300))
+    for _ in range(300):
+        old = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if old == root:
+            break
+    asked, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    nodes = spark.createDataFrame([(i, bytearray(t, "ascii")) for i, t in enumerate(texts)], "node long, text binary")
+    found = {r.node: r.root for r in components(near.links(nodes.dropDuplicates(["text"]))).collect()}
+    alike = {t: min(i for i, u in enumerate(texts) if u == t) for t in texts}
+    groups = lambda of: sorted(sorted(v) for v in of.values())
+    want, got = {}, {}
+    for i, t in enumerate(texts):
+        want.setdefault(root[i], set()).add(alike[t])
+    kept = {r.node for r in nodes.dropDuplicates(["text"]).collect()}
+    for i in kept:
+        got.setdefault(found.get(i, i), set()).add(alike[texts[i]])
+    assert groups(got) == groups(want)
+    assert len(links) > 5000 and asked[-1] < 300
+
+
 def test_pitman_yor_leaves_no_shuffle_files(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text number {i % 7} of some few that say nothing more at all") for i in range(60)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
