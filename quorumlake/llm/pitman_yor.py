@@ -365,8 +365,8 @@ def vocabulary(train: DataFrame, text_col: str = "text") -> DataFrame:
         yield from rows()
 
     counts = train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "w long, u long, c long")
-    # the tasks have counted; a frequent word's pairs go to many partitions
-    return counts.repartition("w", "u").groupBy("w", "u").agg(F.sum("c").alias("c"))
+    # the tasks have counted; a frequent word's pairs go to many partitions, side by side, so that files name it once
+    return counts.repartition("w", "u").groupBy("w", "u").agg(F.sum("c").alias("c")).sortWithinPartitions("w")
 
 
 def spellings(train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -394,9 +394,14 @@ def spellings(train: DataFrame, text_col: str = "text") -> DataFrame:
     return train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "word binary, w long").distinct()
 
 
-def _customers(pairs: DataFrame) -> DataFrame:
-    """(w, ctx binary, c binary): the tables ``t`` of ``pairs`` (w, u, t) are the customers of the endings' restaurants; packed."""
-    summed = pairs.groupBy("w", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int").alias("ctx")).agg(F.sum("t").alias("c"))
+def _by_ending(pairs: DataFrame) -> DataFrame:
+    """(w, ctx, c): the tables ``t`` of ``pairs`` (w, u, t) by the endings of their contexts."""
+    return pairs.groupBy("w", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int").alias("ctx")).agg(F.sum("t").alias("c"))
+
+
+def _customers(multi: DataFrame, alone: DataFrame) -> DataFrame:
+    """(w, ctx binary, c binary): the tables of ``multi`` (w, u, t) and ``alone`` (w, ctx, c) are the customers of the endings' restaurants; packed."""
+    summed = _by_ending(multi).unionByName(alone).groupBy("w", "ctx").agg(F.sum("c").alias("c"))
     lists = summed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("p"))  # CONTEXTS entries at most
 
     def pack(batches):
@@ -685,7 +690,8 @@ def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
     single = pairs.where("c = 1").select("w", "u", "c", F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("t0"))
     contexts = cut(pairs.groupBy("u").agg(F.sum("c").alias("guests"), F.count_if(F.col("c") == 1).alias("ones")))
     counts = pairs.groupBy("w").agg(F.sum("c").alias("n"))
-    vocab = stored(_customers(single.unionByName(multi)).join(spellings(train, text_col), "w"))
+    alone = stored(_by_ending(single))  # pairs with one customer keep their table
+    vocab = stored(_customers(multi, alone).join(spellings(train, text_col), "w"))
     lengths = vocab.select(F.octet_length("ctx").alias("n"))
     packed = F.octet_length("c")
 
@@ -712,7 +718,7 @@ def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
             speller = spark.sparkContext.broadcast(spelling(state.select("word", F.col("rt").alias("t")), lut, seed=seed + 1))
         if turn:
             multi = stored(_followed(multi, ones, state, totals, discount, turn))
-            now = _customers(single.unionByName(multi)).select("w", F.col("c").alias("now"))
+            now = _customers(multi, alone).select("w", F.col("c").alias("now"))
             state = state.join(now, "w").select("w", "ctx", F.col("now").alias("c"), "t", "rt", "p", "word", F.col("c").alias("before"))
         state = stored(state.mapInArrow(_seated(turn, totals, speller if turn < 2 else None, discount), STATE))
         discard(last)
@@ -720,6 +726,7 @@ def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
             discard(old)
         totals = _totals(state)
         seen.append(totals)
+    discard(alone)
     samples, (d0, d1, _) = (seen[1], seen[2]), discount
     left = max(1e-12, 1.0 - float(state.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]))
     mean = (F.col("t") + F.col("t0")) / 2
@@ -772,6 +779,27 @@ class Seen:
         return self.before[cell] + np.bitwise_count(bits & (bit - np.uint64(1))), (bits & bit) != 0
 
 
+def _numbered(texts) -> tuple[list[bytes], list[np.ndarray]]:
+    """The sorted words of ``texts``, END_TOKEN among them, and each text's numbers of them, an end before and behind: alike in any order of the texts."""
+    names: dict[bytes, int] = {END_TOKEN: 0}
+    tokens = []
+    for t in texts:
+        w = words(t.as_py())
+        got = np.zeros(len(w) + 2, dtype=np.int64)
+        got[1:-1] = [names.setdefault(x, len(names)) for x in w]
+        tokens.append(got)
+    listed = list(names)
+    order = sorted(range(len(listed)), key=listed.__getitem__)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return [listed[i] for i in order], [rank[x] for x in tokens]
+
+
+def _pair_codes(tokens: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs of ``_numbered`` texts, sorted: the word, and the one before it in the lower 32 bits."""
+    return np.unique(np.concatenate([x[1:] << 32 | x[:-1] for x in tokens]))
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row.
 
@@ -806,19 +834,36 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         release()
-        names, codes = {END_TOKEN: 0}, [np.zeros(0, dtype=np.int64)]
-        for t in group.column("text"):
-            w = words(t.as_py())
-            got = np.zeros(len(w) + 2, dtype=np.int64)
-            got[1:-1] = [names.setdefault(x, len(names)) for x in w]
-            codes.append(np.unique(got[1:] << 32 | got[:-1]))
-        codes = np.unique(np.concatenate(codes))
+        names, tokens = _numbered(group.column("text"))
+        codes = _pair_codes(tokens)
         ids = np.fromiter(map(word_id, names), dtype=np.int64, count=len(names))
-        return pa.table({"batch": pa.array(np.full(len(codes), key[0].as_py(), dtype=np.int32)), "w": pa.array(ids[codes >> 32]), "u": pa.array(ids[codes & 0xFFFFFFFF])})
+        return pa.table({"batch": pa.array(np.full(len(codes), key[0].as_py(), dtype=np.int32)), "no": pa.array(np.arange(len(codes), dtype=np.int32)), "w": pa.array(ids[codes >> 32]), "u": pa.array(ids[codes & 0xFFFFFFFF])})
+
+    def answered(batches):  # (batch, no, own) in few rows
+        import pyarrow as pa
+
+        held: list = []
+
+        def rows():
+            batch, no, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(batch, kind="stable")
+            some, n = np.unique(batch, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some), _packed(no[order], n, "<i4"), _packed(own[order], n, "<f8")], ["batch", "no", "own"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                yield from rows()
+                held.clear()
+        if held:
+            yield from rows()
 
     known_words = dealt.groupBy("batch").applyInArrow(asked, "batch int, word binary").join(model.words, "word")
-    known_pairs = dealt.groupBy("batch").applyInArrow(asked_pairs, "batch int, w long, u long").join(model.pairs.withColumnRenamed("t", "tables"), ["w", "u"])
-    answers = known_words.unionByName(known_pairs, allowMissingColumns=True).select("batch", "word", "c", "one", "two", "ctx", "q", "guests", "tables", "w", "u")
+    own = model.pairs.select("w", "u", (F.col("c") - d2 * F.col("t")).alias("own"))
+    known_pairs = dealt.groupBy("batch").applyInArrow(asked_pairs, "batch int, no int, w long, u long").join(own, ["w", "u"])
+    known_pairs = known_pairs.select("batch", "no", "own").mapInArrow(answered, "batch int, no binary, own binary")
+    answers = known_words.unionByName(known_pairs, allowMissingColumns=True).select("batch", "word", "c", "one", "two", "ctx", "q", "guests", "tables", "no", "own")
 
     def scored(key, group, known):
         import pyarrow as pa
@@ -837,26 +882,19 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         guests, tables = (np.append(known.column(name).to_numpy(), 0) for name in ("guests", "tables"))
         back = (STRENGTH + d2 * tables) / (STRENGTH + guests)  # what the word's restaurant leaves to its ending's; all, if it has no customers
         back[guests == 0] = 1.0
-        ids = np.fromiter((word_id(x) for x in place), dtype=np.int64, count=k)
-        order = np.argsort(ids)
-        w_, u_ = (order[np.searchsorted(ids[order], pairs.column(name).to_numpy())] for name in ("w", "u"))
-        codes = w_ * (k + 1) + u_
-        own = (pairs.column("c").to_numpy() - d2 * pairs.column("tables").to_numpy()) / (STRENGTH + guests[u_])
-        sorted_ = np.argsort(codes)
-        codes, own = np.append(codes[sorted_], -1), np.append(own[sorted_], 0.0)  # what stands behind all is no pair
+        names, tokens = _numbered(group.column("text"))
+        to = np.fromiter((place.get(x, k) for x in names), dtype=np.int64, count=len(names))
+        last, codes = endings(names).astype(np.int64), _pair_codes(tokens)
+        own = np.zeros(len(codes))
+        own[_lists(pairs.column("no").combine_chunks(), "<i4")[0]] = _lists(pairs.column("own").combine_chunks(), "<f8")[0]
         out: tuple[list, ...] = ([], [], [], [])
-        for x in group.column("text"):
-            w = words(x.as_py())
-            at = np.fromiter((place.get(y, k) for y in w), dtype=np.int64, count=len(w))
-            at = np.append(at, place.get(END_TOKEN, k))
-            ctx = np.concatenate([[END_TOKEN[0]], endings(w)]).astype(np.int64)
+        for x in tokens:
+            at, before, ctx = to[x[1:]], to[x[:-1]], last[x[:-1]]
             p = np.log10((shares[:, ctx] * root[:, at]).mean(axis=0))
             place_, hit = seen.places(at, ctx)
             p[hit] = q[place_[hit]] / -Q
-            before = np.concatenate([[place.get(END_TOKEN, k)], at[:-1]])
-            code = at * (k + 1) + before
-            pair = np.searchsorted(codes[:-1], code)
-            p = np.log10(np.where(codes[pair] == code, own[pair], 0.0) + back[before] * 10.0**p)
+            pair = np.searchsorted(codes, x[1:] << 32 | x[:-1])
+            p = np.log10(own[pair] / (STRENGTH + guests[before]) + back[before] * 10.0**p)
             for col, y in zip(out, (len(at), int(np.count_nonzero(c[at])), float(base[at].sum()), float(p.sum())), strict=True):
                 col.append(y)
         numbers = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]

@@ -101,3 +101,21 @@ def test_pitman_yor_leaves_no_shuffle_files(spark, tmp_path):
     pitman_yor.query(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
     assert not files(spark) - before
+
+
+def test_pitman_yor_pairs_are_numbered_alike_in_any_order():
+    """A request and its scoring see a batch's texts in any order; answers know pairs by their places."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(30))).encode() for _ in range(50)] + [None, b""]
+    names, tokens = pitman_yor._numbered(pa.array(texts, pa.binary()))
+    again, turned = pitman_yor._numbered(pa.array(texts[::-1], pa.binary()))
+    assert names == again == sorted(names) and [x.tolist() for x in tokens] == [x.tolist() for x in turned[::-1]]
+    codes = pitman_yor._pair_codes(tokens)
+    assert codes.tolist() == pitman_yor._pair_codes(turned).tolist()
+    end, seen = pitman_yor.END_TOKEN, set()
+    for t in texts:
+        w = [end, *pitman_yor.words(t), end]
+        seen |= set(zip(w[1:], w, strict=False))
+    assert {(names[c >> 32], names[c & 0xFFFFFFFF]) for c in codes.tolist()} == seen
