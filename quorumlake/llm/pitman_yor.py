@@ -25,11 +25,15 @@ averaged over two seatings: a whole word's restaurant's own part and share for i
 and the parent's probabilities, each over both, so that they sum to one.
 
 The spelling model is bounded by ``SYMBOLS ** ORDER`` at any corpus size; the words'
-counts come from all training texts and stay distributed. For scoring, texts are dealt
-into batches of bounded size; a batch sends each of its distinct words and pairs once to
-the vocabulary and gets counts and probabilities back, so neither vocabulary nor texts
-pass through one task or the driver. Pairs know words by ``word_id``: among 10^8 words
-two share one with a probability of about half a percent.
+counts come from all training texts and stay distributed. Texts are packed in batches of
+bounded size, words in buckets by hash, and a bucket holds its words' seatings in the
+endings' restaurants and all pairs that end in them, so that a sweep shuffles only the
+tables of each context's restaurant. Batches and buckets send each other packed, compressed
+columns: each of a batch's distinct words and pairs goes once to its bucket, to be counted,
+and its answer comes back in the same order, so neither vocabulary nor texts pass through
+one task or the driver. A word has at most as many pairs as there are words, in one bucket.
+Random numbers know words by ``word_id``: among 10^8 words two share one with a probability
+of about half a percent.
 """
 
 from __future__ import annotations
@@ -333,123 +337,6 @@ def word_id(word: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def vocabulary(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, u, c): how often each token, the ends of texts among them, follows which whole token in ``train``; both by ``word_id``."""
-
-    def task(batches):
-        import pyarrow as pa
-
-        names: dict[bytes, int] = {END_TOKEN: 0}
-        codes: list[np.ndarray] = []
-        held = 0
-
-        def rows():
-            pairs, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            ids = np.fromiter(map(word_id, names), dtype=np.int64, count=len(names))
-            for at in range(0, len(pairs), 50_000):
-                some = pairs[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some >> 32]), pa.array(ids[some & 0xFFFFFFFF]), pa.array(n[at : at + 50_000].astype(np.int64))], ["w", "u", "c"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                w = words(t)
-                got = np.zeros(len(w) + 2, dtype=np.int64)  # END_TOKEN before and behind the words
-                got[1:-1] = [names.setdefault(x, len(names)) for x in w]
-                codes.append(got[1:] << 32 | got[:-1])
-                held += len(w) + 1
-            if held > 2_000_000:
-                codes, held = [np.concatenate(codes)], 0
-                if len(codes[0]) > 6_000_000 or len(names) > 1_000_000:
-                    yield from rows()
-                    names, codes = {END_TOKEN: 0}, []
-        yield from rows()
-
-    counts = train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "w long, u long, c long")
-    # the tasks have counted; a frequent word's pairs go to many partitions, side by side, so that files name it once
-    return counts.repartition("w", "u").groupBy("w", "u").agg(F.sum("c").alias("c")).sortWithinPartitions("w")
-
-
-def spellings(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, w): every token of ``train`` and its ``word_id``."""
-
-    def task(batches):
-        import pyarrow as pa
-
-        def rows():
-            some = list(seen)
-            for at in range(0, len(some), 50_000):
-                part = some[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(list(map(word_id, part)), pa.int64())], ["word", "w"])
-
-        seen: set[bytes] = set()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words(t))
-                seen.add(END_TOKEN)
-            if len(seen) > 1_000_000:
-                yield from rows()
-                seen.clear()
-        yield from rows()
-
-    return train.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(task, "word binary, w long").distinct()
-
-
-def _by_ending(pairs: DataFrame) -> DataFrame:
-    """(w, ctx, c): the tables ``t`` of ``pairs`` (w, u, t) by the endings of their contexts."""
-    return pairs.groupBy("w", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int").alias("ctx")).agg(F.sum("t").alias("c"))
-
-
-def _customers(multi: DataFrame, alone: DataFrame) -> DataFrame:
-    """(w, ctx binary, c binary): the tables of ``multi`` (w, u, t) and ``alone`` (w, ctx, c) are the customers of the endings' restaurants; packed."""
-    summed = _by_ending(multi).unionByName(alone).groupBy("w", "ctx").agg(F.sum("c").alias("c"))
-    lists = summed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("p"))  # CONTEXTS entries at most
-
-    def pack(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            pairs_, n = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
-            ctx, c = (pairs_.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), _packed(ctx, n, "u1"), _packed(c, n, "<i8")], ["w", "ctx", "c"])
-
-    return lists.select("w", "p").mapInArrow(pack, "w long, ctx binary, c binary")
-
-
-def _followed(multi: DataFrame, ones: DataFrame, state: DataFrame, totals: Totals, discount: tuple[float, float, float], turn: int) -> DataFrame:
-    """``multi`` (w, u, c, t, t0) after a sweep of the whole words' restaurants; t0 are the tables before it.
-
-    ``ones`` (u, ones): pairs of a context that have one customer, so one table.
-    """
-    d0, d1, d2 = discount
-
-    def backing(batches):  # the endings' probabilities of words, flat
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                (ctx, n), (c, _), (t, _) = _lists(b.column(1), "u1"), _lists(b.column(2), "<i8"), _lists(b.column(3), "<i8")
-                rt, p0 = b.column(4).to_numpy(), b.column(5).to_numpy()
-                root = (np.add.reduceat(t, np.cumsum(n) - n) - d0 * rt + (STRENGTH + d0 * totals.root) * p0) / (STRENGTH + totals.customers)
-                share = (STRENGTH + d1 * totals.tables[ctx]) / (STRENGTH + totals.guests[ctx])
-                p = (c - d1 * t) / (STRENGTH + totals.guests[ctx]) + share * np.repeat(root, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(ctx.astype(np.int32)), pa.array(p)], ["w", "ctx", "p"])
-
-    def seat(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            w, u, c, t, all_, p = (b.column(i).to_numpy() for i in range(6))
-            with np.errstate(over="ignore"):
-                key = w.view(np.uint64) + (u.view(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
-            now = drawn_tables(key, c, np.maximum(0, all_ - t), p, d2, 1000 * (turn + 1) + 1) if b.num_rows else t
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(now.astype(np.int64)), b.column(3)], ["w", "u", "c", "t", "t0"])
-
-    p = state.select("w", "ctx", "c", "t", "rt", "p").mapInArrow(backing, "w long, ctx int, p double")
-    all_ = multi.groupBy("u").agg(F.sum("t").alias("many")).join(ones, "u").select("u", (F.col("many") + F.col("ones")).alias("all"))
-    known = multi.withColumn("ctx", F.col("u").bitwiseAND(CONTEXTS - 1).cast("int")).join(p, ["w", "ctx"]).join(all_, "u")
-    return known.select("w", "u", "c", "t", "all", "p").mapInArrow(seat, "w long, u long, c long, t long, t0 long")
-
-
 def endings(w: list[bytes]) -> np.ndarray:
     """The context that each word is for the next."""
     return np.frombuffer(bytes([x[-1] for x in w]), dtype=np.uint8)
@@ -562,14 +449,460 @@ class Totals(NamedTuple):
     guests: np.ndarray  # customers of every context
 
 
+def _packed(values: np.ndarray, n: np.ndarray, kind: str):
+    """A column of packed numbers, ``n`` of them in each row."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) * np.dtype(kind).itemsize
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError(f"{offsets[-1]} bytes of packed numbers in one slice; Arrow's offsets end at 2 GB")
+    offsets = offsets.astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(kind).tobytes())])
+
+
+#: Packed rows that go from one batch of texts or bucket of words to another: ``to`` and ``sender`` are their numbers.
+PACKED = "to long, kind string, sender long, parts array<binary>"
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, of the width that the largest needs."""
+    import pyarrow as pa
+
+    x = np.ascontiguousarray(x)
+    kind = x.dtype.kind == "f"
+    width = x.dtype.itemsize if kind else 8 if not len(x) or x.min() < 0 else next(i for i in (1, 2, 3, 4, 8) if i == 8 or int(x.max()) >> 8 * i == 0)
+    raw = (x if kind else x.astype("<i8")).view(np.uint8).reshape(len(x), x.dtype.itemsize if kind else 8)[:, :width]
+    return bytes([kind, width]) + len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(raw.T), codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes) -> np.ndarray:
+    """What ``squeezed`` took: whole numbers as int64."""
+    import pyarrow as pa
+
+    kind, width, n = blob[0], blob[1], int.from_bytes(blob[2:10], "little")
+    planes = np.frombuffer(pa.decompress(blob[10:], decompressed_size=n * width, codec="zstd") if n else b"", dtype=np.uint8).reshape(width, n)
+    out = np.zeros((n, width if kind else 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.ravel().view(f"<f{width}" if kind else "<i8")
+
+
+def _rising(x: np.ndarray) -> bytes:
+    return squeezed(np.diff(x, prepend=0))
+
+
+def _risen(blob: bytes) -> np.ndarray:
+    return np.cumsum(opened(blob))
+
+
+def _joined(w: list[bytes]) -> bytes:
+    import pyarrow as pa
+
+    text = b"\n".join(w)  # no word holds a line's end, and none is empty
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _parted(blob: bytes) -> list[bytes]:
+    import pyarrow as pa
+
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], decompressed_size=n, codec="zstd", asbytes=True).split(b"\n") if n else []
+
+
+def _table(rows: list[tuple]):
+    import pyarrow as pa
+
+    to, kind, sender, parts = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.table({"to": pa.array(to, pa.int64()), "kind": pa.array(kind, pa.string()), "sender": pa.array(sender, pa.int64()), "parts": pa.array(parts, pa.list_(pa.binary()))})
+
+
+def _grouped(rows: DataFrame, task: Callable, schema: str = PACKED) -> DataFrame:
+    """``task`` (number, {kind: [(sender, parts)], by sender}) for all packed rows that go to one batch or bucket; it returns rows, or a table of another ``schema``."""
+
+    def run(key, group):
+        release()
+        held: dict[str, list] = {}
+        for kind, sender, parts in sorted(zip(*(group.column(x).to_pylist() for x in ("kind", "sender", "parts")), strict=True), key=lambda r: r[:2]):
+            held.setdefault(kind, []).append((sender, parts))
+        out = task(key[0].as_py(), held)
+        return _table(out) if schema == PACKED else out
+
+    return rows.groupBy("to").applyInArrow(run, schema)
+
+
+def _each(rows: DataFrame, task: Callable, schema: str = PACKED) -> DataFrame:
+    """``task`` (number, parts) for every packed row by itself; it returns rows, or a table of another ``schema``."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                release()
+                out = task(b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                yield from (_table(out) if schema == PACKED else out).to_batches(max_chunksize=50_000)
+
+    return rows.select("to", "parts").mapInArrow(run, schema)
+
+
+def _numbered(texts) -> tuple[list[bytes], list[np.ndarray]]:
+    """The sorted words of ``texts``, END_TOKEN among them, and each text's numbers of them, an end before and behind: alike in any order of the texts."""
+    names: dict[bytes, int] = {END_TOKEN: 0}
+    tokens = []
+    for t in texts:
+        w = words(t.as_py())
+        got = np.zeros(len(w) + 2, dtype=np.int64)
+        got[1:-1] = [names.setdefault(x, len(names)) for x in w]
+        tokens.append(got)
+    listed = list(names)
+    order = sorted(range(len(listed)), key=listed.__getitem__)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return [listed[i] for i in order], [rank[x] for x in tokens]
+
+
+def _pair_codes(tokens: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs of ``_numbered`` texts, sorted: the word, and the one before it in the lower 32 bits."""
+    return np.unique(np.concatenate([x[1:] << 32 | x[:-1] for x in tokens]))
+
+
+def batched(rows: DataFrame, batch_bytes: int) -> DataFrame:
+    """Packed batches of ``rows`` (doc_id, held_out, text), as they lie in their files: numbers of words in place of texts, and each word's occurrences in rows not held out.
+
+    A batch ends with the text that brings it to ``batch_bytes``.
+    """
+
+    def packed(ids, held, texts, number):
+        names, tokens = _numbered(texts)
+        length = np.array([len(x) - 1 for x in tokens])
+        stream = np.concatenate([x[1:] for x in tokens])
+        times = np.bincount(stream, minlength=len(names))
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        stream = rank[stream]
+        learned = np.bincount(stream[~np.repeat(held, length)], minlength=len(names))
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        parts = [squeezed(ids.fill_null(0).to_numpy(zero_copy_only=False)), squeezed(known.astype(np.int64)), squeezed(held.astype(np.int64)), squeezed(length), squeezed(stream), _joined([names[i] for i in order]), squeezed(learned)]
+        return _table([(number, "batch", 0, parts)]).to_batches()
+
+    def task(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        release()
+        number = TaskContext.get().partitionId() << 32
+        waiting, size = [], 0
+
+        def out():
+            b = pa.Table.from_batches(waiting).combine_chunks()
+            return packed(b.column(0).combine_chunks(), b.column(1).to_numpy(), b.column(2), number)
+
+        for b in batches:
+            start = 0
+            ends = np.frombuffer(b.column(2).buffers()[1], dtype=np.int32, count=b.num_rows + 1, offset=4 * b.column(2).offset) if b.num_rows else np.zeros(1, dtype=np.int32)
+            while start < b.num_rows:
+                stop = min(b.num_rows, int(np.searchsorted(ends, int(ends[start]) + batch_bytes - size)))
+                stop = max(stop, start + 1)
+                waiting.append(b.slice(start, stop - start))
+                size += int(ends[stop]) - int(ends[start])
+                if size >= batch_bytes:
+                    yield from out()
+                    waiting.clear()
+                    number, size = number + 1, 0
+                start = stop
+        if waiting:
+            yield from out()
+
+    return rows.mapInArrow(task, PACKED)
+
+
+def numbers(batches: DataFrame, buckets: int) -> DataFrame:
+    """Every training word's number: its place in its bucket times ``buckets``, and the bucket. Rows "own" (words, word_ids, counts) to buckets, "numbers" (local numbers, numbers plus one or 0) to batches."""
+
+    def ask(batch, parts):
+        w = _parted(parts[5])
+        n, to = opened(parts[6]), _buckets(np.fromiter(map(word_id, w), dtype=np.int64, count=len(w)), buckets)
+        out = []
+        for bucket in np.unique(to).tolist():
+            at = np.flatnonzero(to == bucket)
+            out.append((bucket, "ask", batch, [_joined([w[i] for i in at]), squeezed(n[at]), _rising(at)]))
+        return out
+
+    def number(bucket, held):
+        names: dict[bytes, int] = {}
+        asked = [(sender, np.array([names.setdefault(x, len(names)) for x in _parted(parts[0])]), parts) for sender, parts in held["ask"]]
+        n = np.zeros(len(names), dtype=np.int64)
+        for _, at, parts in asked:
+            n[at] += opened(parts[1])
+        listed = list(names)
+        order = np.array(sorted(np.flatnonzero(n).tolist(), key=listed.__getitem__), dtype=np.int64)
+        no = np.zeros(len(names), dtype=np.int64)
+        no[order] = np.arange(len(order)) * buckets + bucket + 1
+        if len(order) * buckets >= 1 << 31:
+            raise OverflowError("words of this bucket pass 31 bits")
+        own = [listed[i] for i in order]
+        out = [(sender, "numbers", bucket, [parts[2], squeezed(no[at])]) for sender, at, parts in asked]
+        return [*out, (bucket, "own", bucket, [_joined(own), squeezed(np.fromiter(map(word_id, own), dtype=np.int64, count=len(own))), squeezed(n[order])])] if own else out
+
+    return _grouped(_each(batches, ask), number)
+
+
+def _buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ids.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+
+
+class Places:
+    """A batch's words and pairs in the order in which buckets know them: words by bucket and number, contexts by number, those that training has not seen last.
+
+    ``no`` are the words' numbers, -1 for unseen ones; ``at`` and ``before`` lead from these orders to the batch's own numbers, and ``known`` words are seen.
+    """
+
+    def __init__(self, parts: list[bytes], answers: list[tuple[int, list[bytes]]], buckets: int):
+        self.names = _parted(parts[5])
+        self.no = np.full(len(self.names), -1)
+        for _, (at, no) in answers:
+            self.no[_risen(at)] = opened(no) - 1
+        self.length, self.stream = opened(parts[3]), opened(parts[4])
+        self.buckets, self.known = buckets, int((self.no >= 0).sum())
+        unseen = self.no < 0
+        self.at = np.lexsort((self.no, self.no % buckets, unseen))
+        self.before = np.lexsort((self.no, unseen))
+        self.place, self.place_before = (np.empty(len(x), dtype=np.int64) for x in (self.at, self.before))
+        self.place[self.at] = self.place_before[self.before] = np.arange(len(self.at))
+
+    def codes(self) -> np.ndarray:
+        """Every token's pair: the word's place, and that of the one before it in the lower 32 bits. A text's end is before the next text's first word."""
+        end = self.names.index(END_TOKEN)
+        return self.place[self.stream] << 32 | self.place_before[np.concatenate([[end], self.stream[:-1]])]
+
+    def seen(self, codes: np.ndarray) -> np.ndarray:
+        return (codes >> 32 < self.known) & (codes & 0xFFFFFFFF < self.known)
+
+    def bounds(self, codes: np.ndarray) -> np.ndarray:
+        """Where the pairs of each bucket begin among sorted ``codes`` of seen words."""
+        first = np.searchsorted(self.no[self.at[: self.known]] % self.buckets, np.arange(self.buckets + 1))
+        return np.searchsorted(codes, first << 32)
+
+
+def gathered(batches: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
+    """All pairs of the batches' seen words, merged by the bucket of the word. Rows "pairs" to buckets, "places" (of the batch's pairs, sender) to buckets, "follows" to the contexts' buckets."""
+
+    def send(batch, held):
+        x = Places(held["batch"][0][1], held.get("numbers", []), buckets)
+        codes = x.codes()
+        unlearned = np.repeat(opened(held["batch"][0][1][2]) > 0, x.length)
+        learned, n = np.unique(codes[~unlearned], return_counts=True)
+        codes = np.union1d(learned, (more := np.unique(codes[unlearned]))[x.seen(more)])
+        c = np.zeros(len(codes), dtype=np.int64)
+        c[np.searchsorted(codes, learned)] = n
+        u = x.before[codes & 0xFFFFFFFF]
+        pair = x.no[x.at[codes >> 32]] // buckets << 32 | x.no[u]
+        last = endings(x.names)[u].astype(np.int64)
+        ends = x.bounds(codes)
+        return [(b, "pairs", batch, [_rising(pair[i:j]), squeezed(last[i:j]), squeezed(c[i:j])]) for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if j > i]
+
+    def merge(bucket, held):
+        sent = [(sender, _risen(p[0]), opened(p[1]), opened(p[2])) for sender, p in held["pairs"]]
+        codes, first, place = np.unique(np.concatenate([x[1] for x in sent]), return_index=True, return_inverse=True)
+        c = np.bincount(place, np.concatenate([x[3] for x in sent]), len(codes)).astype(np.int64)
+        last = np.concatenate([x[2] for x in sent])[first]
+        out, at = [], 0
+        for sender, p, _, _ in sent:
+            out.append((bucket, "places", sender, [_rising(place[at : at + len(p)])]))
+            at += len(p)
+        some = c > 0
+        order, u = np.unique(_by_bucket(codes[some] & 0xFFFFFFFF, buckets), return_inverse=True)
+        guests, ones = np.bincount(u, c[some], len(order)).astype(np.int64), np.bincount(u, c[some] == 1, len(order)).astype(np.int64)
+        many = np.bincount(u, c[some] > 1, len(order)).astype(np.int64)
+        ends = np.searchsorted(order >> 32, np.arange(buckets + 1)).tolist()
+        for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if j > i:
+                out.append((b, "follows", bucket, [_rising(order[i:j] & 0xFFFFFFFF), squeezed(guests[i:j]), squeezed(ones[i:j]), squeezed(many[i:j])]))
+        return [*out, (bucket, "pairs", bucket, [_rising(codes), squeezed(last), squeezed(c)])]
+
+    return _grouped(_grouped(batches.unionByName(numbered.where("kind = 'numbers'")), send), merge)
+
+
+def _by_bucket(no: np.ndarray, buckets: int) -> np.ndarray:
+    """Words' numbers as their bucket, and their place in it in the lower 32 bits."""
+    return no % buckets << 32 | no // buckets
+
+
+def hosts(merged: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The contexts' own restaurants: rows "guests" (customers, pairs with one) of a bucket's words, and "context" (word_ids, tables) to the buckets with pairs of several customers."""
+
+    def task(bucket, held):
+        ids = opened(held["own"][0][1][1])
+        guests, ones, tables = np.zeros((3, len(ids)), dtype=np.int64)
+        for _, p in held.get("follows", []):
+            at = _risen(p[0])
+            guests[at] += opened(p[1])
+            ones[at] += (one := opened(p[2]))
+            tables[at] += one + opened(p[3])
+        out = [(bucket, "guests", bucket, [squeezed(guests), squeezed(ones)])]
+        for sender, p in held.get("follows", []):
+            at = _risen(p[0])[opened(p[3]) > 0]
+            if len(at):
+                out.append((sender, "context", bucket, [squeezed(ids[at]), squeezed(tables[at])]))
+        return out
+
+    return _grouped(merged.where("kind = 'follows'").unionByName(numbered.where("kind = 'own'")), task)
+
+
+class Bucket(NamedTuple):
+    """A bucket's words with their seatings in the endings' restaurants and the root, and their pairs of several customers."""
+
+    words: list[bytes]
+    ids: np.ndarray
+    n: np.ndarray  # occurrences
+    endings: np.ndarray  # how many endings' restaurants the word is in
+    ctx: np.ndarray  # those, word by word
+    alone: np.ndarray  # the customers that come there from pairs with one
+    c: np.ndarray  # all customers there
+    t: np.ndarray  # and tables
+    rt: np.ndarray  # tables in the root
+    p: np.ndarray  # what spelling gives the word
+    was_c: np.ndarray  # the sample before: empty until there are two
+    was_t: np.ndarray
+    was_rt: np.ndarray
+    at: np.ndarray  # every pair's place in ``ctx``
+    by: np.ndarray  # every pair's context, as a place in ``u``
+    pair_c: np.ndarray
+    pair_t: np.ndarray
+    was_pair_t: np.ndarray
+    u: np.ndarray  # contexts of these pairs as ``_by_bucket``, in order
+    u_ids: np.ndarray
+    u_tables: np.ndarray  # the tables of all words in the context's restaurant
+
+    def packed(self) -> list[bytes]:
+        return [_joined(self.words), *(squeezed(x) for x in self[1:])]
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Bucket:
+        return cls(_parted(parts[0]), *map(opened, parts[1:]))
+
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.endings) - self.endings
+
+    def sent(self, buckets: int, tables: np.ndarray) -> list[tuple[int, list[bytes]]]:
+        """The pairs' ``tables`` summed by context, for each bucket of contexts."""
+        total = np.bincount(self.by, tables, len(self.u)).astype(np.int64)
+        ends = np.searchsorted(self.u >> 32, np.arange(buckets + 1)).tolist()
+        return [(b, [_rising(self.u[i:j] & 0xFFFFFFFF), squeezed(total[i:j])]) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
+
+
+def opening(merged: DataFrame, numbered: DataFrame, contexts: DataFrame, buckets: int) -> DataFrame:
+    """Rows "bucket" with a table for every pair, and no other seating yet."""
+
+    def task(bucket, held):
+        own = held["own"][0][1]
+        w, ids, n = _parted(own[0]), opened(own[1]), opened(own[2])
+        codes, last, c = _risen((p := held["pairs"][0][1])[0]), opened(p[1]), opened(p[2])
+        some = c > 0
+        cell, at = np.unique(codes[some] >> 32 << 8 | last[some], return_inverse=True)
+        many = c[some] > 1
+        alone = np.bincount(at[~many], minlength=len(cell))
+        at = at[many]
+        u, by = np.unique(_by_bucket(codes[some][many] & 0xFFFFFFFF, buckets), return_inverse=True)
+        answers = [x for _, x in held.get("context", [])]  # by the contexts' buckets, so in the order of u
+        u_ids, u_tables = (np.concatenate([np.zeros(0, dtype=np.int64), *(opened(x[i]) for x in answers)]) for i in range(2))
+        one, none = np.ones(len(at), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        first = Bucket(w, ids, n, np.bincount(cell >> 8, minlength=len(w)), cell & 255, alone, alone + np.bincount(at, minlength=len(cell)), np.ones(len(cell), dtype=np.int64), np.ones(len(w), dtype=np.int64), np.zeros(0), none, none, none, at, by, c[some][many], one, one, u, u_ids, u_tables)
+        return [(bucket, "bucket", bucket, first.packed())]
+
+    return _grouped(merged.where("kind = 'pairs'").unionByName(numbered.where("kind = 'own'")).unionByName(contexts.where("kind = 'context'")), task)
+
+
+def _sums(state: DataFrame, task: Callable[[Bucket], np.ndarray], n: int) -> np.ndarray:
+    """``task``'s ``n`` numbers summed over all buckets."""
+
+    def run(_, parts):
+        import pyarrow as pa
+
+        return pa.table({"i": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(task(Bucket.of(parts)).astype(np.float64))})
+
+    out = np.zeros(n)
+    for r in _each(state, run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r.i] = r.n
+    return out
+
+
+def _totals(state: DataFrame) -> tuple[Totals, np.ndarray]:
+    """The totals of all buckets' seatings; and words, tokens, what spelling gives all words, and how many are in one ending's restaurant and in two, have one customer there and two, and pairs with two."""
+
+    def task(b):
+        counts = (len(b.words), b.n.sum(), b.p.sum(), *((x == k).sum() for x in (b.endings, b.c) for k in (1, 2)), (b.pair_c == 2).sum(), b.alone.sum())
+        return np.concatenate([np.bincount(b.ctx, b.t, CONTEXTS), np.bincount(b.ctx, b.c, CONTEXTS), [b.t.sum(), b.rt.sum()], np.array(counts, dtype=np.float64)])
+
+    got = _sums(state, task, 2 * CONTEXTS + 11)
+    whole = np.rint(got[: 2 * CONTEXTS + 2]).astype(np.int64)
+    return Totals(whole[:CONTEXTS], int(whole[-2]), int(whole[-1]), whole[CONTEXTS : 2 * CONTEXTS]), got[2 * CONTEXTS + 2 :]
+
+
+def _root(c: np.ndarray, rt: np.ndarray, p0: np.ndarray, totals: Totals, d0: float) -> np.ndarray:
+    """The root's probability of words with ``c`` customers and ``rt`` tables there."""
+    return (c - d0 * rt + (STRENGTH + d0 * totals.root) * p0) / (STRENGTH + totals.customers)
+
+
+def _followed(b: Bucket, totals: Totals, discount: tuple[float, float, float], turn: int) -> Bucket:
+    """The bucket after a sweep of the whole words' restaurants; the endings' customers are counted anew."""
+    d0, d1, d2 = discount
+    root = _root(np.add.reduceat(b.t, b.first()), b.rt, b.p, totals, d0)
+    guests = STRENGTH + totals.guests[b.ctx]
+    p = (b.c - d1 * b.t) / guests + (STRENGTH + d1 * totals.tables[b.ctx]) / guests * np.repeat(root, b.endings)
+    with np.errstate(over="ignore"):
+        key = np.repeat(b.ids, b.endings)[b.at].view(np.uint64) + (b.u_ids[b.by].view(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
+    t = drawn_tables(key, b.pair_c, np.maximum(0, b.u_tables[b.by] - b.pair_t), p[b.at], d2, 1000 * (turn + 1) + 1)
+    return b._replace(pair_t=t, was_pair_t=b.pair_t, was_c=b.c, c=b.alone + np.bincount(b.at, t, len(b.ctx)).astype(np.int64))
+
+
+def _seated(b: Bucket, turn: int, totals: Totals, p0: np.ndarray, discount: tuple[float, float, float]) -> Bucket:
+    """The bucket after a sweep of the endings' restaurants and the root, of which spelling, ``p0``, is the parent."""
+    from xxhash import xxh64_intdigest
+
+    d0, d1, _ = discount
+    key = np.array([xxh64_intdigest(x, 42) for x in b.words], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        pair = np.repeat(key, b.endings) + (b.ctx.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
+    p = np.repeat(_root(np.add.reduceat(b.t, b.first()), b.rt, p0, totals, d0), b.endings)
+    t = drawn_tables(pair, b.c, np.maximum(0, totals.tables[b.ctx] - b.t), p, d1, 1000 * (turn + 1))
+    rt = drawn_tables(key, np.add.reduceat(t, b.first()), np.maximum(0, totals.root - b.rt), p0, d0, 1000 * (turn + 1))
+    return b._replace(t=t, rt=rt, p=p0, was_t=b.t, was_rt=b.rt)
+
+
+def _tables_of_contexts(state: DataFrame, numbered: DataFrame, contexts: DataFrame, buckets: int) -> DataFrame:
+    """Rows "context" as in ``hosts``, by the pairs' tables as they are now; without word_ids."""
+
+    def send(bucket, parts):
+        b = Bucket.of(parts)
+        return [(to, "sum", bucket, p) for to, p in b.sent(buckets, b.pair_t)]
+
+    def answer(bucket, held):
+        tables = opened(held["guests"][0][1][1]).copy()
+        for _, p in held.get("sum", []):
+            tables[_risen(p[0])] += opened(p[1])
+        return [(sender, "context", bucket, [squeezed(tables[_risen(p[0])])]) for sender, p in held.get("sum", [])]
+
+    return _grouped(_each(state, send).unionByName(contexts.where("kind = 'guests'")), answer)
+
+
+class Learned(NamedTuple):
+    """What ``fit`` leaves, packed by bucket, for scoring."""
+
+    state: DataFrame
+    numbered: DataFrame
+    merged: DataFrame
+    contexts: DataFrame
+    buckets: int
+
+
 class Model(NamedTuple):
-    words: DataFrame  # (word, c, one, two, ctx binary, q binary, guests, tables): count, root probabilities by sample, seen endings and -Q log10 of the mean probabilities in them; the word's own restaurant's customers and mean tables
+    words: DataFrame  # (w, word, c, one, two, ctx binary, q binary, guests, tables): word_id, word, count, root probabilities by sample, seen endings and -Q log10 of the mean probabilities in them; the word's own restaurant's customers and mean tables
     pairs: DataFrame  # (w, u, c, t): customers and mean tables of the word w in the restaurant of the word u
     tokens: int
     distinct: int
     discount: tuple[float, float, float]  # root, endings, whole words
     totals: tuple[Totals, Totals]
     unknown: float  # what spelling leaves to unseen words
+    learned: Learned
 
     def root_unknown(self) -> np.ndarray:
         """The root's probability of the unseen words, by sample."""
@@ -580,183 +913,127 @@ class Model(NamedTuple):
         return np.stack([(STRENGTH + self.discount[1] * t.tables) / (STRENGTH + t.guests) for t in self.totals])
 
 
-STATE = "w long, ctx binary, c binary, t binary, rt long, p double, word binary, before binary"
+class Finished(NamedTuple):
+    """A bucket's words for scoring."""
 
+    one: np.ndarray  # root probabilities by sample
+    two: np.ndarray
+    q: np.ndarray  # -Q log10 of the mean probabilities in ``ctx``
+    guests: np.ndarray
+    tables: np.ndarray  # twice the mean
 
-def _lists(column, kind: str):
-    """(values, lengths) of a column of packed numbers without nulls."""
-    width = np.dtype(kind).itemsize
-    if not len(column):
-        return np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int32, count=len(column) + 1, offset=4 * column.offset).astype(np.int64)
-    count = int(ends[-1] - ends[0]) // width
-    return np.frombuffer(data, dtype=kind, count=count, offset=int(ends[0])) if count else np.zeros(0, dtype=kind), np.diff(ends) // width
 
+def _finished(b: Bucket, held: dict, totals: tuple[Totals, Totals], discount: tuple[float, float, float]) -> Finished:
+    """``held``: the bucket's rows "guests" and "sum"."""
+    d0, d1, _ = discount
+    seated = ((b.was_c, b.was_t, b.was_rt), (b.c, b.t, b.rt))
+    root = [_root(np.add.reduceat(t, b.first()), rt, b.p, whole, d0) for whole, (_, t, rt) in zip(totals, seated, strict=True)]
+    q = np.zeros(len(b.ctx))
+    for r, whole, (c, t, _) in zip(root, totals, seated, strict=True):
+        guests = STRENGTH + whole.guests[b.ctx]
+        q += ((c - d1 * t) / guests + (STRENGTH + d1 * whole.tables[b.ctx]) / guests * np.repeat(r, b.endings)) / 2
+    guests, tables = opened(held["guests"][0][1][0]), 2 * opened(held["guests"][0][1][1])
+    for _, p in held.get("sum", []):
+        tables[_risen(p[0])] += opened(p[1])
+    return Finished(*(r.astype(np.float32) for r in root), np.minimum(65_535, np.rint(-np.log10(q) * Q)).astype(np.int64), guests, tables)
 
-def _packed(values: np.ndarray, n: np.ndarray, kind: str):
-    """A column of packed numbers, ``n`` of them in each row."""
-    import pyarrow as pa
 
-    offsets = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) * np.dtype(kind).itemsize
-    if offsets[-1] >= 1 << 31:
-        raise OverflowError(f"{offsets[-1]} bytes of packed numbers in one slice; Arrow's offsets end at 2 GB")
-    offsets = offsets.astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(kind).tobytes())])
+def _known(state: DataFrame, contexts: DataFrame, buckets: int) -> DataFrame:
+    """Rows "bucket", "guests" and "sum", as ``_finished`` takes them."""
 
+    def send(bucket, parts):
+        b = Bucket.of(parts)
+        return [(to, "sum", bucket, p) for to, p in b.sent(buckets, b.pair_t + b.was_pair_t)]
 
-def _seated(turn: int, totals: Totals, speller, discount: tuple[float, float, float]):
-    """A task that carries the words' seatings on by a sweep; at turn 0 it starts them from one table a dish. ``speller``: a broadcast, or None to keep ``p``.
+    return state.unionByName(contexts.where("kind = 'guests'")).unionByName(_each(state, send))
 
-    Takes the columns of ``STATE`` with the new customers ``c``, and those before as ``before``.
-    """
 
-    def task(batches):
-        import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        d0, d1, _ = discount
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 20_000):
-                b = whole.slice(begin, 20_000)
-                w = b.column(6).to_pylist()
-                ctx, n = _lists(b.column(1), "u1")
-                c, _ = _lists(b.column(2), "<i8")
-                word, first = np.repeat(np.arange(len(w)), n), np.cumsum(n) - n
-                key = np.array([xxh64_intdigest(x, 42) for x in w], dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    pair = key[word] + (ctx.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
-                p0 = 10.0 ** np.maximum(-300.0, log10_spelling(w, speller.value)) if speller is not None else b.column(5).to_numpy()
-                before, held = np.zeros(0), np.zeros(len(w), dtype=np.int64)
-                if turn == 0:
-                    t, rc, rt = np.ones(len(c), dtype=np.int64), n, np.ones(len(w), dtype=np.int64)
-                else:
-                    t, rt = _lists(b.column(3), "<i8")[0], b.column(4).to_numpy()
-                    rc = np.add.reduceat(t, first)
-                    if turn == 2:  # the sample before this one: the contexts' tables and customers, the root's tables at the end
-                        held = 2 * n + 1
-                        at = np.cumsum(held) - held
-                        before = np.zeros(int(held.sum()), dtype=np.int64)
-                        before[_ragged(at, n)], before[_ragged(at + n, n)], before[at + 2 * n] = t, _lists(b.column(7), "<i8")[0], rt
-                p = (rc - d0 * rt + (STRENGTH + d0 * totals.root) * p0) / (STRENGTH + totals.customers)
-                t = drawn_tables(pair, c, np.maximum(0, totals.tables[ctx] - t), p[word], d1, 1000 * (turn + 1))
-                rc = np.add.reduceat(t, first)
-                rt = drawn_tables(key, rc, np.maximum(0, totals.root - rt), p0, d0, 1000 * (turn + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(t, n, "<i8"), pa.array(rt), pa.array(p0), b.column(6), _packed(before, held, "<i8")], [x.split()[0] for x in STATE.split(", ")])
-
-    return task
-
-
-def _totals(state: DataFrame) -> Totals:
-    """Of ``state`` (ctx, c, t, rt); without t every dish has one table."""
-    start = "t" not in state.columns
+def fit(train: DataFrame, text_col: str = "text", seed: int = 11, batch_bytes: int = 24_000_000) -> Model:
+    """Learn from every row of ``train``."""
+    rows = train.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return _fit(*_batches(rows, batch_bytes), seed)
 
-    def task(batches):
-        import pyarrow as pa
-
-        out = np.zeros(2 * CONTEXTS + 2, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                ctx, c = _lists(b.column(0), "u1")[0], _lists(b.column(1), "<i8")[0]
-                t = np.ones(len(c), dtype=np.int64) if start else _lists(b.column(2), "<i8")[0]
-                out[:CONTEXTS] += np.rint(np.bincount(ctx, t, CONTEXTS)).astype(np.int64)
-                out[CONTEXTS + 2 :] += np.rint(np.bincount(ctx, c, CONTEXTS)).astype(np.int64)
-                out[CONTEXTS : CONTEXTS + 2] += (int(t.sum()), b.num_rows if start else int(b.column(3).to_numpy().sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["i", "n"])
 
-    got = np.zeros(2 * CONTEXTS + 2, dtype=np.int64)
-    columns = ("ctx", "c") if start else ("ctx", "c", "t", "rt")
-    for r in state.select(*columns).mapInArrow(task, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        got[r.i] = r.n
-    return Totals(got[:CONTEXTS], int(got[CONTEXTS]), int(got[CONTEXTS + 1]), got[CONTEXTS + 2 :])
+def _batches(rows: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
+    """``batched``, stored, and a number of buckets for its words."""
+    batches = stored(batched(rows.withColumn("text", F.coalesce("text", F.lit("").cast("binary"))), batch_bytes))
+    size = batches.agg(F.coalesce(F.sum(F.octet_length(F.col("parts")[4])), F.lit(0))).first()[0]
+    return batches, max(1, -(-int(size) // 2_500_000))
 
 
-def _once_and_twice(df: DataFrame, column: str) -> float:
-    """The discount by how many dishes have one customer and how many two."""
-    r = df.agg(F.count_if(F.col(column) == 1).alias("one"), F.count_if(F.col(column) == 2).alias("two")).first()
-    return min(0.95, max(0.1, r.one / max(1, r.one + 2 * r.two)))
-
-
-def fit(train: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
-    """Gather the vocabulary and its pairs, then let the pairs', the words' and the spelling model's seatings take turns.
+def _fit(batches: DataFrame, buckets: int, seed: int) -> Model:
+    """Number the words and gather the pairs, then let the pairs', the words' and the spelling model's seatings take turns.
 
     At first every pair has one table, and the first spelling model sees one table a word,
     the second the root's tables after the first turn. Three sweeps follow each other, of
     which the first leaves the pairs; the seatings after the second and the third are the samples.
     """
-    spark = train.sparkSession
-    pairs = stored(vocabulary(train, text_col))
-    multi = pairs.where("c > 1").withColumn("t", F.lit(1).cast("long")).withColumn("t0", F.lit(1).cast("long"))
-    single = pairs.where("c = 1").select("w", "u", "c", F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("t0"))
-    contexts = cut(pairs.groupBy("u").agg(F.sum("c").alias("guests"), F.count_if(F.col("c") == 1).alias("ones")))
-    counts = pairs.groupBy("w").agg(F.sum("c").alias("n"))
-    alone = stored(_by_ending(single))  # pairs with one customer keep their table
-    vocab = stored(_customers(multi, alone).join(spellings(train, text_col), "w"))
-    lengths = vocab.select(F.octet_length("ctx").alias("n"))
-    packed = F.octet_length("c")
-
-    def few(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            c = _lists(b.column(0), "<i8")[0]
-            yield pa.RecordBatch.from_arrays([pa.array([int((c == k).sum())]) for k in (1, 2)], ["one", "two"])
-
-    r = vocab.where(packed > 0).select("c").mapInArrow(few, "one long, two long").agg(F.coalesce(F.sum("one"), F.lit(0)).alias("one"), F.coalesce(F.sum("two"), F.lit(0)).alias("two")).first()
-    discount = (_once_and_twice(lengths, "n"), min(0.95, max(0.1, r.one / max(1, r.one + 2 * r.two))), _once_and_twice(pairs, "c"))
-    top = contexts.agg(F.coalesce(F.sum("guests"), F.lit(0)).alias("n")).first()
-    distinct = vocab.count()
-    lut = symbols(vocab)
-    speller = spark.sparkContext.broadcast(spelling(vocab.select("word", F.lit(1).cast("long").alias("t")), lut, seed=seed))
-    totals, seen = _totals(vocab), []
-    empty = {"t": "binary", "rt": "long", "p": "double", "before": "binary"}
-    state = vocab.select("w", "ctx", "c", *(F.lit(None).cast(empty[x]).alias(x) for x in ("t", "rt", "p")), "word", F.lit(None).cast("binary").alias("before"))
-    ones = contexts.select("u", "ones")
+    spark = batches.sparkSession
+    numbered = stored(numbers(batches, buckets))
+    merged = stored(gathered(batches, numbered, buckets))
+    contexts = stored(hosts(merged, numbered))
+    state = stored(opening(merged, numbered, contexts, buckets))
+    totals, (distinct, tokens, _, *few) = _totals(state)
+    # the discounts by how many dishes have one customer and how many two
+    discount = tuple(min(0.95, max(0.1, one / max(1, one + 2 * two))) for one, two in (few[:2], few[2:4], (few[5], few[4])))
+
+    def spelt(state, lut, seed):
+        def task(_, parts):
+            import pyarrow as pa
+
+            b = Bucket.of(parts)
+            return pa.table({"word": pa.array(b.words, pa.binary()), "t": pa.array(b.rt)})
+
+        tables = _each(state, task, "word binary, t long")
+        lut = symbols(tables) if lut is None else lut
+        return lut, spark.sparkContext.broadcast(spelling(tables, lut, seed=seed))
+
+    lut, speller = spelt(state, None, seed)
+    seen = []
     for turn in range(3):
-        last, old = state, multi
+        last = state
         if turn == 1:
-            speller = spark.sparkContext.broadcast(spelling(state.select("word", F.col("rt").alias("t")), lut, seed=seed + 1))
-        if turn:
-            multi = stored(_followed(multi, ones, state, totals, discount, turn))
-            now = _customers(multi, alone).select("w", F.col("c").alias("now"))
-            state = state.join(now, "w").select("w", "ctx", F.col("now").alias("c"), "t", "rt", "p", "word", F.col("c").alias("before"))
-        state = stored(state.mapInArrow(_seated(turn, totals, speller if turn < 2 else None, discount), STATE))
+            lut, speller = spelt(state, lut, seed + 1)
+
+        def task(bucket, parts, tables=None, turn=turn, totals=totals, speller=speller):
+            b = Bucket.of(parts)
+            if tables is not None:
+                b = b._replace(u_tables=tables)
+            if turn:
+                b = _followed(b, totals, discount, turn)
+            p0 = b.p if turn == 2 else 10.0 ** np.maximum(-300.0, log10_spelling(b.words, speller.value))
+            return [(bucket, "bucket", bucket, _seated(b, turn, totals, p0, discount).packed())]
+
+        if turn < 2:
+            state = stored(_each(state, task))
+        else:
+            answers = _tables_of_contexts(state, numbered, contexts, buckets)
+            state = stored(_grouped(state.unionByName(answers), lambda bucket, held, task=task: task(bucket, held["bucket"][0][1], np.concatenate([np.zeros(0, dtype=np.int64), *(opened(p[0]) for _, p in held.get("context", []))]))))
         discard(last)
-        if turn > 1:
-            discard(old)
-        totals = _totals(state)
+        totals, (*_, given, _, _, _, _, _, _) = _totals(state)
         seen.append(totals)
-    discard(alone)
-    samples, (d0, d1, _) = (seen[1], seen[2]), discount
-    left = max(1e-12, 1.0 - float(state.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]))
-    mean = (F.col("t") + F.col("t0")) / 2
-    follows = single.unionByName(multi).select("w", "u", "c", mean.alias("t"))
-    model = Model(state, follows, int(top.n), distinct, discount, samples, left)
-    shares = model.shares()
-
-    def finished(batches):
+    samples, left = (seen[1], seen[2]), max(1e-12, 1.0 - float(given))
+
+    def listed(bucket, held):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            (ctx, n), (c, _), (now, _), p0 = _lists(b.column(1), "u1"), _lists(b.column(2), "<i8"), _lists(b.column(3), "<i8"), b.column(5).to_numpy()
-            first = np.cumsum(n) - n
-            both, held = _lists(b.column(7), "<i8")
-            at = np.cumsum(held) - held
-            before, was, ends = both[_ragged(at, n)], both[_ragged(at + n, n)], at + 2 * n
-            seated = ((was, before, both[ends]), (c, now, b.column(4).to_numpy()))
-            root = [(np.add.reduceat(t, first) - d0 * rt + (STRENGTH + d0 * whole.root) * p0) / (STRENGTH + whole.customers) for whole, (_, t, rt) in zip(samples, seated, strict=True)]
-            q = sum((x - d1 * t) / (STRENGTH + whole.guests[ctx]) + share[ctx] * np.repeat(r, n) for r, share, whole, (x, t, _) in zip(root, shares, samples, seated, strict=True)) / 2
-            q = np.minimum(65_535, np.rint(-np.log10(q) * Q)).astype("<u2")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(6), *(pa.array(r.astype(np.float32)) for r in root), b.column(1), _packed(q, n, "<u2")], ["w", "word", "one", "two", "ctx", "q"])
-
-    many = multi.groupBy("u").agg(F.sum(mean).alias("many"))
-    own = contexts.join(many, "u", "left").select(F.col("u").alias("w"), "guests", (F.col("ones") + F.coalesce("many", F.lit(0.0))).alias("tables"))
-    rows = state.mapInArrow(finished, "w long, word binary, one float, two float, ctx binary, q binary")
-    done = stored(rows.join(counts, "w").join(own, "w", "left").select("word", F.col("n").alias("c"), "one", "two", "ctx", "q", F.coalesce("guests", F.lit(0)).alias("guests"), F.coalesce("tables", F.lit(0.0)).alias("tables")))
-    discard(state)
-    return model._replace(words=done)
+        b = Bucket.of(held["bucket"][0][1])
+        x = _finished(b, held, samples, discount)
+        return pa.table({"no": pa.array(np.arange(len(b.words)) * buckets + bucket), "w": pa.array(b.ids), "word": pa.array(b.words, pa.binary()), "c": pa.array(b.n), "one": pa.array(x.one), "two": pa.array(x.two), "ctx": _packed(b.ctx, b.endings, "u1"), "q": _packed(x.q, b.endings, "<u2"), "guests": pa.array(x.guests), "tables": pa.array(x.tables / 2)})
+
+    def paired(bucket, held):
+        import pyarrow as pa
+
+        b, (codes, _, c) = Bucket.of(held["bucket"][0][1]), held["pairs"][0][1]
+        codes, c = _risen(codes)[opened(c) > 0], opened(c)[opened(c) > 0]
+        t = np.ones(len(c))
+        t[c > 1] = (b.pair_t + b.was_pair_t) / 2
+        return pa.table({"w": pa.array(b.ids[codes >> 32]), "no": pa.array(codes & 0xFFFFFFFF), "c": pa.array(c), "t": pa.array(t)})
+
+    every = _grouped(_known(state, contexts, buckets), listed, "no long, w long, word binary, c long, one float, two float, ctx binary, q binary, guests long, tables double")
+    pairs = _grouped(state.unionByName(merged.where("kind = 'pairs'")), paired, "w long, no long, c long, t double")
+    pairs = pairs.join(every.select("no", F.col("w").alias("u")), "no").select("w", "u", "c", "t")
+    return Model(every.drop("no"), pairs, int(tokens), int(distinct), discount, samples, left, Learned(state, numbered, merged, contexts, buckets))
 
 
 class Seen:
@@ -779,25 +1056,31 @@ class Seen:
         return self.before[cell] + np.bitwise_count(bits & (bit - np.uint64(1))), (bits & bit) != 0
 
 
-def _numbered(texts) -> tuple[list[bytes], list[np.ndarray]]:
-    """The sorted words of ``texts``, END_TOKEN among them, and each text's numbers of them, an end before and behind: alike in any order of the texts."""
-    names: dict[bytes, int] = {END_TOKEN: 0}
-    tokens = []
-    for t in texts:
-        w = words(t.as_py())
-        got = np.zeros(len(w) + 2, dtype=np.int64)
-        got[1:-1] = [names.setdefault(x, len(names)) for x in w]
-        tokens.append(got)
-    listed = list(names)
-    order = sorted(range(len(listed)), key=listed.__getitem__)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    return [listed[i] for i in order], [rank[x] for x in tokens]
-
-
-def _pair_codes(tokens: list[np.ndarray]) -> np.ndarray:
-    """The distinct pairs of ``_numbered`` texts, sorted: the word, and the one before it in the lower 32 bits."""
-    return np.unique(np.concatenate([x[1:] << 32 | x[:-1] for x in tokens]))
+def _answers(model: Model) -> DataFrame:
+    """Rows "answer" to batches: their words of a bucket, in the order of ``Places``, with what ``_finished`` has of them, and customers and tables of their pairs."""
+    state, numbered, merged, contexts, buckets = model.learned
+    samples, discount = model.totals, model.discount
+
+    def answer(bucket, held):
+        if "bucket" not in held:  # no word of it is seen
+            return []
+        b = Bucket.of(held["bucket"][0][1])
+        x, first, c = _finished(b, held, samples, discount), b.first(), opened(held["pairs"][0][1][2])
+        t = np.where(c == 1, 2, 0)
+        t[c > 1] = b.pair_t + b.was_pair_t
+        places, out = {sender: p[0] for sender, p in held.get("places", [])}, []
+        for sender, p in held.get("numbers", []):
+            no = opened(p[1])
+            at = np.sort(no[no > 0] - 1) // buckets
+            if len(at):
+                cells = _ragged(first[at], b.endings[at])
+                pairs = _risen(places[sender]) if sender in places else c[:0]
+                columns = (b.n[at], x.one[at], x.two[at], b.endings[at], b.ctx[cells], x.q[cells], x.guests[at], x.tables[at], c[pairs], t[pairs])
+                out.append((sender, "answer", bucket, [squeezed(y) for y in columns]))
+        return out
+
+    asked = numbered.where("kind = 'numbers'").select(F.col("sender").alias("to"), "kind", F.col("to").alias("sender"), "parts")
+    return _grouped(_known(state, contexts, buckets).unionByName(asked).unionByName(merged.where("kind in ('pairs', 'places')")), answer)
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 24_000_000) -> DataFrame:
@@ -811,96 +1094,43 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     an empty table gives no rows. A text must fit into a task's memory; time grows with
     its length.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    model = fit(rows.where("not held_out"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batches = max(1, -(-int(size) // batch_bytes))
+    batches, buckets = _batches(rows, batch_bytes)
+    model = _fit(batches, buckets, 11)
     n, unknown, shares, d2 = model.tokens, model.root_unknown(), model.shares(), model.discount[2]
     norm = float(np.log10(n + 0.1 * (model.distinct + 1)))
-    # repeated rows part by the file split that they come from, so that no batch gets them all
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text"), "text", F.spark_partition_id()), F.lit(batches)).cast("int"))
 
-    def asked(key, group):
+    def scored(_, held):
         import pyarrow as pa
 
-        release()
-        seen: set = {END_TOKEN}
-        for t in group.column("text"):
-            seen.update(words(t.as_py()))
-        return pa.table({"batch": pa.array(np.full(len(seen), key[0].as_py(), dtype=np.int32)), "word": pa.array(list(seen), pa.binary())})
-
-    def asked_pairs(key, group):
-        import pyarrow as pa
-
-        release()
-        names, tokens = _numbered(group.column("text"))
-        codes = _pair_codes(tokens)
-        ids = np.fromiter(map(word_id, names), dtype=np.int64, count=len(names))
-        return pa.table({"batch": pa.array(np.full(len(codes), key[0].as_py(), dtype=np.int32)), "no": pa.array(np.arange(len(codes), dtype=np.int32)), "w": pa.array(ids[codes >> 32]), "u": pa.array(ids[codes & 0xFFFFFFFF])})
-
-    def answered(batches):  # (batch, no, own) in few rows
-        import pyarrow as pa
-
-        held: list = []
-
-        def rows():
-            batch, no, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(batch, kind="stable")
-            some, n = np.unique(batch, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some), _packed(no[order], n, "<i4"), _packed(own[order], n, "<f8")], ["batch", "no", "own"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(tuple(b.column(i).to_numpy() for i in range(3)))
-            if sum(len(x[0]) for x in held) > 1_000_000:
-                yield from rows()
-                held.clear()
-        if held:
-            yield from rows()
-
-    known_words = dealt.groupBy("batch").applyInArrow(asked, "batch int, word binary").join(model.words, "word")
-    own = model.pairs.select("w", "u", (F.col("c") - d2 * F.col("t")).alias("own"))
-    known_pairs = dealt.groupBy("batch").applyInArrow(asked_pairs, "batch int, no int, w long, u long").join(own, ["w", "u"])
-    known_pairs = known_pairs.select("batch", "no", "own").mapInArrow(answered, "batch int, no binary, own binary")
-    answers = known_words.unionByName(known_pairs, allowMissingColumns=True).select("batch", "word", "c", "one", "two", "ctx", "q", "guests", "tables", "no", "own")
-
-    def scored(key, group, known):
-        import pyarrow as pa
-        import pyarrow.compute
-
-        release()
-        pairs = known.filter(pa.compute.is_null(known.column("word")))
-        known = known.filter(pa.compute.is_valid(known.column("word")))
-        k = known.num_rows
-        place = dict(zip(known.column("word").to_pylist(), range(k), strict=True))
-        c = np.append(known.column("c").to_numpy(), 0)
-        root = np.stack([np.append(known.column(name).to_numpy(), u) for name, u in zip(("one", "two"), unknown, strict=True)])
-        seen = Seen(*_lists(known.column("ctx").combine_chunks(), "u1"))
-        q = np.append(_lists(known.column("q").combine_chunks(), "<u2")[0], np.uint16(0))
-        base = np.log10(c + 0.1) - norm
-        guests, tables = (np.append(known.column(name).to_numpy(), 0) for name in ("guests", "tables"))
+        parts = held["batch"][0][1]
+        x = Places(parts, held.get("numbers", []), buckets)
+        none = [[squeezed(np.zeros(0, dtype=kind)) for kind in ("i8", "f4", "f4", *["i8"] * 7)]]
+        c, one, two, many, ctx, q, guests, tables, pair_c, pair_t = (np.concatenate([opened(y) for y in column]) for column in zip(*[p for _, p in held.get("answer", [])] or none, strict=True))
+        c, guests, tables, k = np.append(c, 0), np.append(guests, 0), np.append(tables, 0) / 2, x.known  # the last is the unseen word
+        root = np.stack([np.append(y, u) for y, u in zip((one, two), unknown, strict=True)])
         back = (STRENGTH + d2 * tables) / (STRENGTH + guests)  # what the word's restaurant leaves to its ending's; all, if it has no customers
         back[guests == 0] = 1.0
-        names, tokens = _numbered(group.column("text"))
-        to = np.fromiter((place.get(x, k) for x in names), dtype=np.int64, count=len(names))
-        last, codes = endings(names).astype(np.int64), _pair_codes(tokens)
-        own = np.zeros(len(codes))
-        own[_lists(pairs.column("no").combine_chunks(), "<i4")[0]] = _lists(pairs.column("own").combine_chunks(), "<f8")[0]
-        out: tuple[list, ...] = ([], [], [], [])
-        for x in tokens:
-            at, before, ctx = to[x[1:]], to[x[:-1]], last[x[:-1]]
-            p = np.log10((shares[:, ctx] * root[:, at]).mean(axis=0))
-            place_, hit = seen.places(at, ctx)
-            p[hit] = q[place_[hit]] / -Q
-            pair = np.searchsorted(codes, x[1:] << 32 | x[:-1])
-            p = np.log10(own[pair] / (STRENGTH + guests[before]) + back[before] * 10.0**p)
-            for col, y in zip(out, (len(at), int(np.count_nonzero(c[at])), float(base[at].sum()), float(p.sum())), strict=True):
-                col.append(y)
-        numbers = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        return pa.table([group.column("doc_id"), group.column("held_out"), *numbers], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        seen, q, base = Seen(ctx, many), np.append(q, 0), np.log10(c + 0.1) - norm
+        pairs, token = np.unique(x.codes(), return_inverse=True)
+        own, p = np.zeros(len(pairs)), np.zeros(len(pairs))
+        own[x.seen(pairs)] = pair_c - d2 * pair_t / 2
+        last = endings(x.names).astype(np.int64)
+        for i in range(0, len(pairs), 200_000):
+            some = pairs[i : i + 200_000]
+            at, u = np.minimum(some >> 32, k), x.before[some & 0xFFFFFFFF]
+            end, before = last[u], np.minimum(x.place[u], k)
+            y = np.log10((shares[:, end] * root[:, at]).mean(axis=0))
+            place, hit = seen.places(at, end)
+            y[hit] = q[place[hit]] / -Q
+            p[i : i + 200_000] = np.log10(own[i : i + 200_000] / (STRENGTH + guests[before]) + back[before] * 10.0**y)
+        first, at = np.cumsum(x.length) - x.length, np.minimum(x.place, k)[x.stream]
+        sums = [np.add.reduceat(y, first) for y in ((c[at] > 0).astype(np.int64), base[at], p[token])]
+        ids = pa.array(opened(parts[0]), mask=opened(parts[1]) == 0)
+        return pa.table([ids, pa.array(opened(parts[2]) > 0), *map(pa.array, (x.length, *sums))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = model.learned.numbered.where("kind = 'numbers'")
+    done = _grouped(batches.unionByName(asked).unionByName(_answers(model)), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -119,3 +119,20 @@ def test_pitman_yor_pairs_are_numbered_alike_in_any_order():
         w = [end, *pitman_yor.words(t), end]
         seen |= set(zip(w[1:], w, strict=False))
     assert {(names[c >> 32], names[c & 0xFFFFFFFF]) for c in codes.tolist()} == seen
+
+
+def test_pitman_yor_pairs_take_few_bytes(spark):
+    """Pairs of words go and stay packed, by bucket: a row a pair took two numbers of 64 bits."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.random() ** 2 * 3000)}" for _ in range(300))) for i in range(200)], "doc_id long, text string")
+    model = pitman_yor.fit(docs, batch_bytes=100_000)
+    n = model.pairs.count()
+    held = model.learned.merged.where("kind = 'pairs'").selectExpr("aggregate(parts, 0, (a, x) -> a + octet_length(x)) as n").agg(F.sum("n")).first()[0]
+    assert n > 30_000 and held < 6 * n
+    import numpy as np
+
+    for x in ([], [0], [3, 70_000, 5], [-1, 1 << 62], list(range(1000))):
+        assert pitman_yor.opened(pitman_yor.squeezed(np.array(x, dtype=np.int64))).tolist() == x
+    assert pitman_yor.opened(pitman_yor.squeezed(np.array([0.1, -3e300]))).tolist() == [0.1, -3e300]
+    for w in ([], [b"a"], [b" ", b"\xff"]):
+        assert pitman_yor._parted(pitman_yor._joined(w)) == w
