@@ -47,7 +47,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, release, residue, stored, tidy
+from .common import cut, discard, release, residue, slim, stored, tidy
 
 SYMBOLS, ORDER = 64, 4
 END, SPACE, OTHER = 0, 1, 63
@@ -683,7 +683,7 @@ class Places:
 
 
 def gathered(batches: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
-    """All pairs of the batches' seen words, merged by the bucket of the word. Rows "pairs" to buckets, "places" (of the batch's pairs, sender) to buckets, "follows" to the contexts' buckets."""
+    """All pairs of the batches' seen words, merged by the bucket of the word. Rows "pairs" (and "counts", these alone) to buckets, "places" (of the batch's pairs, sender) to buckets, "follows" to the contexts' buckets."""
 
     def send(batch, held):
         x = Places(held["batch"][0][1], held.get("numbers", []), buckets)
@@ -716,7 +716,7 @@ def gathered(batches: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame
         for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if j > i:
                 out.append((b, "follows", bucket, [_rising(order[i:j] & 0xFFFFFFFF), squeezed(guests[i:j]), squeezed(ones[i:j]), squeezed(many[i:j])]))
-        return [*out, (bucket, "pairs", bucket, [_rising(codes), squeezed(last), squeezed(c)])]
+        return [*out, (bucket, "pairs", bucket, [_rising(codes), squeezed(last), squeezed(c)]), (bucket, "counts", bucket, [squeezed(c)])]
 
     return _grouped(_grouped(batches.unionByName(numbered.where("kind = 'numbers'")), send), merge)
 
@@ -776,8 +776,10 @@ class Bucket(NamedTuple):
         return [_joined(self.words), *(squeezed(x) for x in self[1:])]
 
     @classmethod
-    def of(cls, parts: list[bytes]) -> Bucket:
-        return cls(_parted(parts[0]), *map(opened, parts[1:]))
+    def of(cls, parts: list[bytes], only: str = "") -> Bucket:
+        """The bucket, or its fields named in ``only``."""
+        some = only.split() or cls._fields
+        return cls(*(None if name not in some else opened(p) if i else _parted(p) for i, (name, p) in enumerate(zip(cls._fields, parts, strict=True))))
 
     def first(self) -> np.ndarray:
         return np.cumsum(self.endings) - self.endings
@@ -811,13 +813,13 @@ def opening(merged: DataFrame, numbered: DataFrame, contexts: DataFrame, buckets
     return _grouped(merged.where("kind = 'pairs'").unionByName(numbered.where("kind = 'own'")).unionByName(contexts.where("kind = 'context'")), task)
 
 
-def _sums(state: DataFrame, task: Callable[[Bucket], np.ndarray], n: int) -> np.ndarray:
-    """``task``'s ``n`` numbers summed over all buckets."""
+def _sums(state: DataFrame, task: Callable[[Bucket], np.ndarray], n: int, only: str) -> np.ndarray:
+    """``task``'s ``n`` numbers summed over all buckets, of which it gets the fields ``only``."""
 
     def run(_, parts):
         import pyarrow as pa
 
-        return pa.table({"i": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(task(Bucket.of(parts)).astype(np.float64))})
+        return pa.table({"i": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(task(Bucket.of(parts, only)).astype(np.float64))})
 
     out = np.zeros(n)
     for r in _each(state, run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect():
@@ -829,10 +831,10 @@ def _totals(state: DataFrame) -> tuple[Totals, np.ndarray]:
     """The totals of all buckets' seatings; and words, tokens, what spelling gives all words, and how many are in one ending's restaurant and in two, have one customer there and two, and pairs with two."""
 
     def task(b):
-        counts = (len(b.words), b.n.sum(), b.p.sum(), *((x == k).sum() for x in (b.endings, b.c) for k in (1, 2)), (b.pair_c == 2).sum(), b.alone.sum())
+        counts = (len(b.n), b.n.sum(), b.p.sum(), *((x == k).sum() for x in (b.endings, b.c) for k in (1, 2)), (b.pair_c == 2).sum(), b.alone.sum())
         return np.concatenate([np.bincount(b.ctx, b.t, CONTEXTS), np.bincount(b.ctx, b.c, CONTEXTS), [b.t.sum(), b.rt.sum()], np.array(counts, dtype=np.float64)])
 
-    got = _sums(state, task, 2 * CONTEXTS + 11)
+    got = _sums(state, task, 2 * CONTEXTS + 11, "n endings ctx alone c t rt p pair_c")
     whole = np.rint(got[: 2 * CONTEXTS + 2]).astype(np.int64)
     return Totals(whole[:CONTEXTS], int(whole[-2]), int(whole[-1]), whole[CONTEXTS : 2 * CONTEXTS]), got[2 * CONTEXTS + 2 :]
 
@@ -872,7 +874,7 @@ def _tables_of_contexts(state: DataFrame, numbered: DataFrame, contexts: DataFra
     """Rows "context" as in ``hosts``, by the pairs' tables as they are now; without word_ids."""
 
     def send(bucket, parts):
-        b = Bucket.of(parts)
+        b = Bucket.of(parts, "u by pair_t")
         return [(to, "sum", bucket, p) for to, p in b.sent(buckets, b.pair_t)]
 
     def answer(bucket, held):
@@ -913,18 +915,8 @@ class Model(NamedTuple):
         return np.stack([(STRENGTH + self.discount[1] * t.tables) / (STRENGTH + t.guests) for t in self.totals])
 
 
-class Finished(NamedTuple):
-    """A bucket's words for scoring."""
-
-    one: np.ndarray  # root probabilities by sample
-    two: np.ndarray
-    q: np.ndarray  # -Q log10 of the mean probabilities in ``ctx``
-    guests: np.ndarray
-    tables: np.ndarray  # twice the mean
-
-
-def _finished(b: Bucket, held: dict, totals: tuple[Totals, Totals], discount: tuple[float, float, float]) -> Finished:
-    """``held``: the bucket's rows "guests" and "sum"."""
+def _finished(b: Bucket, totals: tuple[Totals, Totals], discount: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, two, q): the words' root probabilities by sample, and -Q log10 of their mean probabilities in ``ctx``."""
     d0, d1, _ = discount
     seated = ((b.was_c, b.was_t, b.was_rt), (b.c, b.t, b.rt))
     root = [_root(np.add.reduceat(t, b.first()), rt, b.p, whole, d0) for whole, (_, t, rt) in zip(totals, seated, strict=True)]
@@ -932,23 +924,31 @@ def _finished(b: Bucket, held: dict, totals: tuple[Totals, Totals], discount: tu
     for r, whole, (c, t, _) in zip(root, totals, seated, strict=True):
         guests = STRENGTH + whole.guests[b.ctx]
         q += ((c - d1 * t) / guests + (STRENGTH + d1 * whole.tables[b.ctx]) / guests * np.repeat(r, b.endings)) / 2
+    return root[0].astype(np.float32), root[1].astype(np.float32), np.minimum(65_535, np.rint(-np.log10(q) * Q)).astype(np.int64)
+
+
+def _hosted(held: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, twice the mean tables) of the words' own restaurants, from a bucket's rows "guests" and "sum"."""
     guests, tables = opened(held["guests"][0][1][0]), 2 * opened(held["guests"][0][1][1])
     for _, p in held.get("sum", []):
         tables[_risen(p[0])] += opened(p[1])
-    return Finished(*(r.astype(np.float32) for r in root), np.minimum(65_535, np.rint(-np.log10(q) * Q)).astype(np.int64), guests, tables)
+    return guests, tables
 
 
-def _known(state: DataFrame, contexts: DataFrame, buckets: int) -> DataFrame:
-    """Rows "bucket", "guests" and "sum", as ``_finished`` takes them."""
+def _known(state: DataFrame, contexts: DataFrame, buckets: int, totals: tuple[Totals, Totals], discount: tuple[float, float, float]) -> DataFrame:
+    """Rows "guests" and "sum", as ``_hosted`` takes them, and "done" (counts, one, two, q of ``_finished`` and its contexts, and twice the pairs' mean tables)."""
 
     def send(bucket, parts):
         b = Bucket.of(parts)
-        return [(to, "sum", bucket, p) for to, p in b.sent(buckets, b.pair_t + b.was_pair_t)]
+        one, two, q = _finished(b, totals, discount)
+        t = b.pair_t + b.was_pair_t
+        done = [squeezed(x) for x in (b.n, one, two, q, b.endings, b.ctx, t)]
+        return [(bucket, "done", bucket, done), *((to, "sum", bucket, p) for to, p in b.sent(buckets, t))]
 
-    return state.unionByName(contexts.where("kind = 'guests'")).unionByName(_each(state, send))
+    return contexts.where("kind = 'guests'").unionByName(_each(state, send))
 
 
-def fit(train: DataFrame, text_col: str = "text", seed: int = 11, batch_bytes: int = 24_000_000) -> Model:
+def fit(train: DataFrame, text_col: str = "text", seed: int = 11, batch_bytes: int = 12_000_000) -> Model:
     """Learn from every row of ``train``."""
     rows = train.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return _fit(*_batches(rows, batch_bytes), seed)
@@ -981,7 +981,7 @@ def _fit(batches: DataFrame, buckets: int, seed: int) -> Model:
         def task(_, parts):
             import pyarrow as pa
 
-            b = Bucket.of(parts)
+            b = Bucket.of(parts, "words rt")
             return pa.table({"word": pa.array(b.words, pa.binary()), "t": pa.array(b.rt)})
 
         tables = _each(state, task, "word binary, t long")
@@ -1017,9 +1017,10 @@ def _fit(batches: DataFrame, buckets: int, seed: int) -> Model:
     def listed(bucket, held):
         import pyarrow as pa
 
-        b = Bucket.of(held["bucket"][0][1])
-        x = _finished(b, held, samples, discount)
-        return pa.table({"no": pa.array(np.arange(len(b.words)) * buckets + bucket), "w": pa.array(b.ids), "word": pa.array(b.words, pa.binary()), "c": pa.array(b.n), "one": pa.array(x.one), "two": pa.array(x.two), "ctx": _packed(b.ctx, b.endings, "u1"), "q": _packed(x.q, b.endings, "<u2"), "guests": pa.array(x.guests), "tables": pa.array(x.tables / 2)})
+        b = Bucket.of(held["bucket"][0][1], "words ids")
+        n, one, two, q, many, ctx, _ = map(opened, held["done"][0][1])
+        guests, tables = _hosted(held)
+        return pa.table({"no": pa.array(np.arange(len(b.words)) * buckets + bucket), "w": pa.array(b.ids), "word": pa.array(b.words, pa.binary()), "c": pa.array(n), "one": pa.array(one), "two": pa.array(two), "ctx": _packed(ctx, many, "u1"), "q": _packed(q, many, "<u2"), "guests": pa.array(guests), "tables": pa.array(tables / 2)})
 
     def paired(bucket, held):
         import pyarrow as pa
@@ -1030,7 +1031,7 @@ def _fit(batches: DataFrame, buckets: int, seed: int) -> Model:
         t[c > 1] = (b.pair_t + b.was_pair_t) / 2
         return pa.table({"w": pa.array(b.ids[codes >> 32]), "no": pa.array(codes & 0xFFFFFFFF), "c": pa.array(c), "t": pa.array(t)})
 
-    every = _grouped(_known(state, contexts, buckets), listed, "no long, w long, word binary, c long, one float, two float, ctx binary, q binary, guests long, tables double")
+    every = _grouped(state.unionByName(_known(state, contexts, buckets, samples, discount)), listed, "no long, w long, word binary, c long, one float, two float, ctx binary, q binary, guests long, tables double")
     pairs = _grouped(state.unionByName(merged.where("kind = 'pairs'")), paired, "w long, no long, c long, t double")
     pairs = pairs.join(every.select("no", F.col("w").alias("u")), "no").select("w", "u", "c", "t")
     return Model(every.drop("no"), pairs, int(tokens), int(distinct), discount, samples, left, Learned(state, numbered, merged, contexts, buckets))
@@ -1057,33 +1058,34 @@ class Seen:
 
 
 def _answers(model: Model) -> DataFrame:
-    """Rows "answer" to batches: their words of a bucket, in the order of ``Places``, with what ``_finished`` has of them, and customers and tables of their pairs."""
+    """Rows "answer" to batches: their words of a bucket, in the order of ``Places``, with what ``_known`` has of them, and customers and tables of their pairs."""
     state, numbered, merged, contexts, buckets = model.learned
     samples, discount = model.totals, model.discount
 
     def answer(bucket, held):
-        if "bucket" not in held:  # no word of it is seen
+        if "done" not in held:  # no word of it is seen
             return []
-        b = Bucket.of(held["bucket"][0][1])
-        x, first, c = _finished(b, held, samples, discount), b.first(), opened(held["pairs"][0][1][2])
+        n, one, two, q, many, ctx, both = map(opened, held["done"][0][1])
+        guests, tables = _hosted(held)
+        first, c = np.cumsum(many) - many, opened(held["counts"][0][1][0])
         t = np.where(c == 1, 2, 0)
-        t[c > 1] = b.pair_t + b.was_pair_t
+        t[c > 1] = both
         places, out = {sender: p[0] for sender, p in held.get("places", [])}, []
         for sender, p in held.get("numbers", []):
             no = opened(p[1])
             at = np.sort(no[no > 0] - 1) // buckets
             if len(at):
-                cells = _ragged(first[at], b.endings[at])
+                cells = _ragged(first[at], many[at])
                 pairs = _risen(places[sender]) if sender in places else c[:0]
-                columns = (b.n[at], x.one[at], x.two[at], b.endings[at], b.ctx[cells], x.q[cells], x.guests[at], x.tables[at], c[pairs], t[pairs])
+                columns = (n[at], one[at], two[at], many[at], ctx[cells], q[cells], guests[at], tables[at], c[pairs], t[pairs])
                 out.append((sender, "answer", bucket, [squeezed(y) for y in columns]))
         return out
 
     asked = numbered.where("kind = 'numbers'").select(F.col("sender").alias("to"), "kind", F.col("to").alias("sender"), "parts")
-    return _grouped(_known(state, contexts, buckets).unionByName(asked).unionByName(merged.where("kind in ('pairs', 'places')")), answer)
+    return _grouped(_known(state, contexts, buckets, samples, discount).unionByName(asked).unionByName(merged.where("kind in ('counts', 'places')")), answer)
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row.
 
     ``held_out`` is a boolean Column over ``doc_id``; rows where it is not true are
@@ -1099,6 +1101,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     model = _fit(batches, buckets, 11)
     n, unknown, shares, d2 = model.tokens, model.root_unknown(), model.shares(), model.discount[2]
     norm = float(np.log10(n + 0.1 * (model.distinct + 1)))
+    answers = stored(_answers(model))
+    for done in (model.learned.state, model.learned.merged, model.learned.contexts):
+        discard(done)
 
     def scored(_, held):
         import pyarrow as pa
@@ -1130,12 +1135,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return pa.table([ids, pa.array(opened(parts[2]) > 0), *map(pa.array, (x.length, *sums))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     asked = model.learned.numbered.where("kind = 'numbers'")
-    done = _grouped(batches.unionByName(asked).unionByName(_answers(model)), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = _grouped(batches.unionByName(asked).unionByName(answers), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
+    slim(spark)
     tidy(spark)
     return score(table(spark, sf_dir, "documents"), residue("doc_id", 10) == 0)
