@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import percent
 
 
-WORDS = 4  # of 64 ballots each: the ballots of one block of bit sets; so many fit compiled code
-DEAR = 8  # rows of joined votes that cost as much as a row of bit sets
+WORDS = 16  # of 64 ballots each: the most ballots of one block of bit sets; so many fit compiled code
+DEAR = 8  # bit sets compared in the time of one row of joined votes
+PARTS, MOST = 32, 16_384  # parts of the entities, and more where a part would have more than so many
+COUNTED = 1_000_000  # rows that a tile adds up
 
 
 def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None, block: int = 500, dense: bool | None = None) -> DataFrame:
@@ -20,54 +22,80 @@ def pairwise_agreement(position: DataFrame, entities: DataFrame | None = None, b
     An entity has one position on a ballot. Where most entities vote on most ballots, an
     entity's votes of a block of ballots are two bit sets, and a pair is one row a block
     whose bits are counted; where votes are scattered, the two votes of a ballot are
-    joined. What forms fewer rows is taken, unless ``dense`` says so. ``entities``
-    restricts both sides. More than ``block`` entities that meet in one key are dealt into
-    parts, and every two parts meet in a key of their own, so that no task has all pairs.
+    joined. What costs less is taken, unless ``dense`` says so. ``entities``
+    restricts both sides. More than ``block`` entities are dealt into parts, and every two
+    parts meet in a tile of their own, which has all that their pairs share. So pairs are
+    counted where they are formed and never shuffled; what is shuffled are the votes,
+    once for each part.
     """
-    votes = position.where(F.col("position").isin("yea", "nay")).select("ballot_id", "entity_id", (F.col("position") == "yea").alias("yea"))
+    votes = position.where(F.col("position").isin("yea", "nay") & F.col("ballot_id").isNotNull() & F.col("entity_id").isNotNull()).select("ballot_id", "entity_id", (F.col("position") == "yea").alias("yea"))
     if entities is not None:
         votes = votes.join(entities.select("entity_id"), "entity_id", "left_semi")
-    ballots = votes.groupBy("ballot_id").agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col("entity_id").cast("string")).alias("who")).where("ballot_id IS NOT NULL")
+    ballots = votes.groupBy("ballot_id").agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col("entity_id").cast("string")).alias("who"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    size = ballots.agg(F.count("*").alias("ballots"), total("n").alias("votes"), total(F.col("n") * F.col("n")).alias("pairs"), F.hll_sketch_estimate(F.hll_union_agg("who")).alias("crowd")).first()
-    blocks = max(1, -(-size.ballots // (WORDS * 50)))
+    size = ballots.agg(F.count("*").alias("ballots"), total(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.hll_sketch_estimate(F.hll_union_agg("who")).alias("crowd")).first()
+    blocks = 1 if size.ballots <= 64 * WORDS else -(-size.ballots // (WORDS * 50))
+    crowd = size.crowd or 0
     if dense is None:
-        dense = DEAR * blocks * min(size.crowd or 0, size.votes / blocks) ** 2 <= size.pairs
-    ballots = ballots.drop("who")
-    out = _by_bits(votes, ballots, blocks, block) if dense else _by_ballot(votes, ballots, block)
-    return out.withColumn("pct", percent(F.col("agreed"), F.col("shared")))
+        dense = blocks * crowd**2 <= DEAR * size.pairs
+    summed = 0 if dense and blocks == 1 else min(blocks * crowd**2 if dense else size.pairs, size.pairs) // 2
+    parts = max(1, min(PARTS, -(-crowd // block)), -(-crowd // MOST), round((2 * summed / COUNTED) ** 0.5))
+    out = _by_bits(votes, ballots.select("ballot_id"), size.ballots, blocks, parts) if dense else _by_ballot(votes, parts)
+    return out.withColumn("pct", F.expr("(200 * agreed + shared) div (2 * shared)"))  # rounded, in whole numbers
 
 
-def _meeting(rows: DataFrame, sizes: DataFrame, key: str, block: int, columns: list[str]) -> DataFrame:
-    """Every two rows of a ``key`` with a < b, their other columns as a_... and b_...; ``sizes`` (key, n) tells large keys."""
-    large = sizes.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("_parts"))
-    dealt = rows.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    own, all_ = F.pmod(F.xxhash64("entity_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    a = dealt.select(key, own.alias("_i"), all_.alias("_j"), F.col("entity_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    b = dealt.select(key, all_.alias("_i"), own.alias("_j"), F.col("entity_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    return a.join(b, [key, "_i", "_j"]).where("a < b")
+def _meeting(rows: DataFrame, parts: int, keys: list[str], columns: list[str], on: Column | None = None) -> DataFrame:
+    """Every two entities' rows with equal ``keys``, once: x, y and their ``columns`` as x_... and y_...; pairs of two parts come in one ``tile`` and one task.
+
+    ``on`` is a condition on those columns. With ``keys`` the rows of a key in a tile are two
+    lists, as a join would be dealt out by tile and key.
+    """
+    own, tile = F.pmod(F.xxhash64("entity_id"), F.lit(parts)).cast("int"), F.expr("_high * (_high + 1) div 2 + _low").cast("int")
+    apart, tiles = F.col("_low") < F.col("_high"), parts * (parts + 1) // 2
+    meet = F.col("_apart") | (F.col("x") < F.col("y"))
+    named = lambda n: [F.col("entity_id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in columns)]
+    if keys:
+        dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_low", F.least("_own", "_other")).withColumn("_high", F.greatest("_own", "_other"))
+        side = lambda n, part: F.collect_list(F.when(F.col("_own") == F.col(part), F.struct(*named(n)))).alias(f"_{n}")
+        lists = dealt.withColumn("tile", tile).repartition(tiles, "tile").groupBy("tile", *keys).agg(F.first(apart).alias("_apart"), side("x", "_low"), side("y", "_high"))
+        met = lists.select("tile", "_apart", "_y", F.inline("_x")).select("*", F.inline("_y")).drop("_y")
+    else:
+        x = rows.withColumn("_low", own).withColumn("_high", F.explode(F.sequence(own, F.lit(parts - 1)))).select(tile.alias("tile"), apart.alias("_apart"), *named("x")).repartition(tiles, "tile")
+        y = rows.withColumn("_high", own).withColumn("_low", F.explode(F.sequence(F.lit(0), own))).select(tile.alias("tile"), *named("y")).repartition(tiles, "tile")
+        met = x.join(y, "tile")
+    return met.where(meet if on is None else meet & on)
+
+
+def _pairs(met: DataFrame, agreed: Column, shared: Column) -> DataFrame:
+    return met.select("tile", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.cast("long").alias("shared"), agreed.cast("long").alias("agreed"))
+
+
+def _added(pairs: DataFrame) -> DataFrame:
+    """A row a pair; as its rows are in one tile, none is shuffled."""
+    return pairs.groupBy("tile", "a", "b").agg(F.sum("shared").alias("shared"), F.sum("agreed").alias("agreed"))
 
 
-def _by_ballot(votes: DataFrame, ballots: DataFrame, block: int) -> DataFrame:
-    pairs = _meeting(votes, ballots, "ballot_id", block, ["yea"])
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("a_yea") == F.col("b_yea")).alias("agreed"))
+def _by_ballot(votes: DataFrame, parts: int) -> DataFrame:
+    met = _meeting(votes, parts, ["ballot_id"], ["yea"])
+    return _added(_pairs(met, F.col("x_yea") == F.col("y_yea"), F.lit(1))).drop("tile")
 
 
-def _by_bits(votes: DataFrame, ballots: DataFrame, blocks: int, block: int) -> DataFrame:
+def _by_bits(votes: DataFrame, ballots: DataFrame, count: int, blocks: int, parts: int) -> DataFrame:
+    words = range(WORDS if blocks > 1 else max(1, -(-count // 64)))
+    size = 64 * len(words)
     place = F.pmod(F.xxhash64("ballot_id"), F.lit(blocks))
     number = F.row_number().over(Window.partitionBy("_place").orderBy("ballot_id")) - 1  # a place has about WORDS * 50 ballots
-    numbered = ballots.withColumn("_place", place).withColumn("_n", number).select("ballot_id", (F.col("_place") + blocks * F.floor(F.col("_n") / (64 * WORDS))).alias("part"), (F.col("_n") % (64 * WORDS)).alias("bit"))
-    word, one = F.floor(F.col("bit") / 64), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
-    sets = [F.coalesce(F.bit_or(F.when((F.col("yea") == side) & (word == w), one)), F.lit(0)).alias(f"{name}{w}") for side, name in ((True, "y"), (False, "n")) for w in range(WORDS)]
-    held = votes.join(numbered, "ballot_id").groupBy("part", "entity_id").agg(*sets)
-    pairs = _meeting(held, held.groupBy("part").agg(F.count("*").alias("n")), "part", block, [f"{name}{w}" for name in "yn" for w in range(WORDS)])
-    both = lambda x, y, w: F.col(f"a_{x}{w}").bitwiseAND(F.col(f"b_{y}{w}"))
-    agreed = reduce(lambda p, q: p + q, (F.bit_count(both(x, x, w)) for x in "yn" for w in range(WORDS)))
-    other = reduce(lambda p, q: p + q, (F.bit_count(both(x, y, w)) for x, y in ("yn", "ny") for w in range(WORDS)))
-    counted = pairs.select("a", "b", agreed.cast("long").alias("agreed"), (agreed + other).cast("long").alias("shared")).where("shared > 0")
-    if blocks > 1:
-        counted = counted.groupBy("a", "b").agg(F.sum("agreed").alias("agreed"), F.sum("shared").alias("shared"))
-    return counted.select("a", "b", "shared", "agreed")
+    numbered = ballots.withColumn("_place", place).withColumn("_n", number).select("ballot_id", (F.col("_place") + blocks * F.floor(F.col("_n") / size)).alias("part"), (F.col("_n") % size).alias("bit"))
+    one = F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
+    sets = [F.coalesce(F.bit_or(F.when(F.col(side) & (F.floor(F.col("bit") / 64) == w), one)), F.lit(0)).alias(f"{side}{w}") for side in ("voted", "yea") for w in words]
+    held = votes.withColumn("voted", F.lit(True)).join(numbered, "ballot_id").groupBy("part", "entity_id").agg(*sets)
+    both = [F.col(f"x_voted{w}").bitwiseAND(F.col(f"y_voted{w}")) for w in words]
+    same = [b.bitwiseAND(F.bitwise_not(F.col(f"x_yea{w}").bitwiseXOR(F.col(f"y_yea{w}")))) for b, w in zip(both, words)]
+    keys, columns = ["part"] if blocks > 1 else [], [f"{side}{w}" for side in ("voted", "yea") for w in words]
+    met = _meeting(held, parts, keys, columns, reduce(Column.bitwiseOR, both) != 0)
+    bits = lambda sets: reduce(Column.__add__, map(F.bit_count, sets))
+    pairs = _pairs(met, bits(same), bits(both))
+    return (_added(pairs) if blocks > 1 else pairs).drop("tile")
 
 
 def position_summary(position: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Landed documents and folders, rule tables, distributed ranks, bit sets: edge cases and plans."""
 
 import random
+import re
+from collections import Counter
+from fractions import Fraction
+from itertools import combinations
 from pathlib import Path
 
 import pytest
@@ -131,6 +135,24 @@ def test_agreement_by_bits_and_by_ballot(spark):
     assert votes.pairwise_agreement(df.limit(0)).count() == 0
 
 
+def test_agreement_shuffles_no_pairs(spark):
+    rng = random.Random(5)
+    position = [(b, e, rng.choice(["yea", "nay", "present"])) for b in range(1200) for e in range(14) if rng.random() < 0.8] + [(None, 1, "yea"), (1, None, "yea")]
+    df = spark.createDataFrame(position, "ballot_id int, entity_id int, position string")
+    shared, agreed = Counter(), Counter()
+    for b in range(1200):
+        cast = [(e, v) for ballot, e, v in position if ballot == b and e is not None and v != "present"]
+        for (a, va), (c, vc) in combinations(sorted(cast), 2):
+            shared[a, c] += 1
+            agreed[a, c] += va == vc
+    want = sorted(((a, b, n, agreed[a, b], int(Fraction(100 * agreed[a, b], n) + Fraction(1, 2))) for (a, b), n in shared.items()), key=repr)
+    for some in (1024, 1200):  # ballots of one block of bit sets, and more
+        for dense in (True, False):
+            got = votes.pairwise_agreement(df.where(f"ballot_id < {some}"), dense=dense, block=5)
+            assert not re.search(r"Exchange hashpartitioning\((tile#\d+, )?a#", plan(got))
+    assert rows(votes.pairwise_agreement(df, dense=True, block=5)) == want == rows(votes.pairwise_agreement(df, dense=False, block=5))
+
+
 def test_resolution_is_one_join(spark):
     e = spark.createDataFrame([("s1", "CA", "Sánchez", 38, "house"), ("s2", "DE", "McClain Delaney", 6, "house"), ("s3", "TX", "Green", 9, "house"), ("s4", "TX", "Green", 29, "house"), ("s5", "TX", "Green-Cruz", None, "senate"), ("s6", "WY", "Lee", 1, "house"), ("s7", "WY", "Lee", None, "senate")], "entity_id string, state string, last_name string, district int, chamber string")
     s = spark.createDataFrame([(1, "CA", "SANCHEZ, Jr.", 38), (2, "DE", "Delaney", 6), (3, "TX", "Green", 29), (4, "TX", "Green", None), (5, "CA", "Nobody", 1), (6, "TX", "Cruz", None), (7, "WY", "Lee", None), (8, "WY", None, 1)], "src_id int, state string, last string, district int")
