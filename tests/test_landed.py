@@ -22,6 +22,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def measured(df):
+    """The plan as it ran, with each join's count of rows."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        if "Join" in name:
+            out.append(f"{name} number of output rows: {p.metrics().apply('numOutputRows').value()}")
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return "\n".join(out)
+
+
 def test_house_rolls(spark):
     meta = "<vote-metadata><legis-num>S 5</legis-num><vote-question>On &amp; <![CDATA[a<b]]></vote-question><vote-result>Passed</vote-result><action-date>3-Jan-2025</action-date><vote-totals><totals-by-party><yea-total>9</yea-total></totals-by-party><totals-by-vote><yea-total>7</yea-total><nay-total>2</nay-total><present-total>1</present-total></totals-by-vote></vote-totals></vote-metadata>"
     data = '<vote-data><recorded-vote><legislator name-id="A1" party="R">Abe</legislator><vote>Aye</vote></recorded-vote><recorded-vote><legislator name-id="B1"/><vote>Not Voting</vote></recorded-vote></vote-data>'
@@ -153,6 +169,32 @@ def test_agreement_shuffles_no_pairs(spark):
     assert rows(votes.pairwise_agreement(df, dense=True, block=5)) == want == rows(votes.pairwise_agreement(df, dense=False, block=5))
 
 
+def test_resolution_forms_no_pairs(spark):
+    e = spark.range(200).selectExpr("CAST(id AS STRING) AS entity_id", "CAST(id % 2 AS STRING) AS state", "IF(id % 5 < 3, 'Lee', 'Lee-Roy') AS last_name", "CAST(IF(id % 4 = 0, NULL, id) AS INT) AS district", "IF(id = 7, 'senate', 'house') AS chamber")
+    s = spark.range(600).selectExpr("IF(id % 100 = 99, NULL, id - id % 7) AS src_id", "CAST(id % 3 AS STRING) AS state", "element_at(array('Lee', 'ROY', 'Lee-Roy, Jr.'), CAST(1 + id % 3 AS INT)) AS last", "CAST(IF(id % 5 = 0, NULL, id % 150) AS INT) AS district")
+    last, tokens = (lambda x: x.lower().removesuffix(", jr.")), (lambda x: x.lower().split("-"))
+    people, hits = e.collect(), {}
+    for r in s.where("src_id IS NOT NULL").collect():
+        for p in (p for p in people if p.state == r.state):
+            for exact, forms in ((True, [p.last_name.lower()]), (False, tokens(p.last_name))):
+                if last(r["last"]) in forms:
+                    picks = hits.setdefault(r.src_id, {})
+                    for n, holds in (("a", True), ("b", r.district is not None and r.district == p.district), ("c", r.district is None and p.chamber == "senate")):
+                        picks.setdefault((n, exact), set()).update([p.entity_id] * holds)
+
+    def answer(k):
+        picks = hits.get(k, {})
+        return next((min(x) for n in "abc" if len(x := picks.get((n, bool(picks.get(("a", True)))), ())) == 1), None)
+
+    want = sorted(((r.src_id, answer(r.src_id)) for r in s.collect()), key=repr)
+    assert {x is None for _, x in want} == {True, False}
+    for size in ({}, {"small": 0}):  # names sent to every task, and joined
+        got = resolve.resolve_lower(s, e, **size)
+        assert rows(got) == want
+        largest = max(int(n.replace(",", "")) for n in re.findall(r"rows: ([\d,]+)", measured(got)))
+        assert largest <= 600
+
+
 def test_resolution_is_one_join(spark):
     e = spark.createDataFrame([("s1", "CA", "Sánchez", 38, "house"), ("s2", "DE", "McClain Delaney", 6, "house"), ("s3", "TX", "Green", 9, "house"), ("s4", "TX", "Green", 29, "house"), ("s5", "TX", "Green-Cruz", None, "senate"), ("s6", "WY", "Lee", 1, "house"), ("s7", "WY", "Lee", None, "senate")], "entity_id string, state string, last_name string, district int, chamber string")
     s = spark.createDataFrame([(1, "CA", "SANCHEZ, Jr.", 38), (2, "DE", "Delaney", 6), (3, "TX", "Green", 29), (4, "TX", "Green", None), (5, "CA", "Nobody", 1), (6, "TX", "Cruz", None), (7, "WY", "Lee", None), (8, "WY", None, 1)], "src_id int, state string, last string, district int")
