@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import effective_total, fmt_money, percent, stats_json
-from .people import committee_coverage, funding_mix, latest_finance, role_counts, top_sponsors
+from .people import funding_mix, latest_finance, role_counts, top_sponsors
 from .votes import position_summary
 
+TASKS = 1000  # the most that write briefs
 LEADERS = ("chair", "ranking_member", "vice_chair")
+BRIEF_MEASURES = ["members", "senators", "representatives", "democrats", "republicans", "items", "raised", "positions", "seats", "leadership"]
 # The fields of a brief's statistics and the columns they hold.
 BRIEF_STATS = [("members", "members"), ("senators", "senators"), ("representatives", "representatives"), ("democrat", "democrats"), ("republican", "republicans"), ("billsSponsored", "items"), ("totalRaised", "raised"), ("totalVotes", "positions"), ("committeeSeats", "seats"), ("leadershipRoles", "leadership")]
 
@@ -88,23 +95,85 @@ def group_rollup(group_dim: DataFrame, entity: DataFrame, item_link: DataFrame,
     return out.withColumn("average_raised", F.when(F.col("with_finance") > 0, F.round(F.col("raised") / F.col("with_finance"))).cast("long"))
 
 
-def delegation_brief(group_dim: DataFrame, entity: DataFrame, item_link: DataFrame, finance: DataFrame, position: DataFrame, assignment: DataFrame, committee: DataFrame, as_of: str, congress: int = 119) -> DataFrame:
-    """One row a group with active members: its measures and a written summary for the week up to ``as_of``.
+def _duties(entity: DataFrame, assignment: DataFrame, committee: DataFrame) -> DataFrame:
+    """(group_id, full_name, leadership, duties): what the active entities of a name lead in a group, as one text by committee and role."""
+    top = committee.where("parent_id IS NULL").select("committee_id", "name")
+    roles = assignment.where(F.col("role").isin(*LEADERS)).join(top, "committee_id").groupBy("entity_id").agg(F.collect_list(F.struct("name", "role")).alias("roles"))
+    named = entity.where("in_office").select("entity_id", "group_id", "full_name").join(roles, "entity_id").groupBy("group_id", "full_name").agg(F.sort_array(F.flatten(F.collect_list("roles"))).alias("roles"))
+    duty = lambda x: F.concat("full_name", F.lit(" ("), F.replace(x["role"], F.lit("_"), F.lit(" ")), F.lit(" of "), x["name"], F.lit(")"))
+    return named.select("group_id", "full_name", F.size("roles").cast("long").alias("leadership"), F.array_join(F.transform("roles", duty), "; ").alias("duties"))
 
-    Money is the newest cycle's plain receipts. Sentences without content are left out.
-    Names are listed by count or alphabet, so that equal inputs give equal texts.
-    """
+
+def _measures(group_dim: DataFrame, entity: DataFrame, item_link: DataFrame, finance: DataFrame, position: DataFrame, assignment: DataFrame, duties: DataFrame) -> DataFrame:
+    """One row a group with active members: what a brief tells of it in numbers, and its top sponsors."""
     active = entity.where("in_office").select("entity_id", "group_id")
-    per_group = lambda df, name: active.join(df, "entity_id").groupBy("group_id").agg(F.count("*").alias(name))
+    per_group = lambda df, name: active.join(df.groupBy("entity_id").agg(F.count("*").alias("n")), "entity_id").groupBy("group_id").agg(F.sum("n").alias(name))
     new = active.join(latest_finance(finance), "entity_id").groupBy("group_id").agg(F.sum("total_receipts").alias("raised"), F.sum("total_pac").alias("pac"), F.sum("small_individual").alias("small"))
     top = top_sponsors(entity, item_link, by_name=True)
     named = F.concat("full_name", F.lit(" ("), F.col("items").cast("string"), F.lit(")"))
     sponsors = top.groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", named.alias("t"))))["t"], ", ").alias("top"))
-    led = committee_coverage(entity, assignment, committee).where(F.col("role").isin(*LEADERS))
-    duty = F.concat("full_name", F.lit(" ("), F.replace(F.col("role"), F.lit("_"), F.lit(" ")), F.lit(" of "), "name", F.lit(")"))
-    leaders = led.groupBy("group_id").agg(F.count("*").alias("leadership"), F.array_join(F.sort_array(F.collect_list(F.struct("full_name", "name", "role", duty.alias("t"))))["t"], "; ").alias("duties"))
-    parts = [per_group(item_link.where("role = 'sponsor'"), "items"), sponsors, new, per_group(position, "positions"), per_group(assignment, "seats"), leaders]
-    b = _filled(_sizes(entity).join(group_dim.select("group_id", "name"), "group_id"), parts, "group_id", ["items", "raised", "pac", "small", "positions", "seats", "leadership"])
+    led = duties.groupBy("group_id").agg(F.sum("leadership").alias("leadership"))
+    parts = [per_group(item_link.where("role = 'sponsor'"), "items"), sponsors, new, per_group(position, "positions"), per_group(assignment, "seats"), led]
+    return _filled(_sizes(entity).join(group_dim.select("group_id", "name"), "group_id"), parts, "group_id", ["items", "raised", "pac", "small", "positions", "seats", "leadership"])
+
+
+def delegation_stats(group_dim: DataFrame, entity: DataFrame, item_link: DataFrame, finance: DataFrame, position: DataFrame, assignment: DataFrame, committee: DataFrame) -> DataFrame:
+    """(group_id, stats): the statistics of each group's brief, without its text."""
+    b = _measures(group_dim, entity, item_link, finance, position, assignment, _duties(entity, assignment, committee))
+    return b.select("group_id", stats_json(**{name: F.col(c) for name, c in BRIEF_STATS}).alias("stats"))
+
+
+def _alone(spark: SparkSession) -> ResourceProfile | None:
+    """A profile of tasks of which an executor runs one at a time, where that can be told."""
+    conf, master = spark.sparkContext.getConf(), spark.sparkContext.master
+    cluster = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*\]", master)
+    cores = int(cluster[1] if cluster else conf.get("spark.executor.cores", "0"))
+    if cores < 2 or re.fullmatch(r"local(\[.*\])?", master) or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
+def _written(columns: list[str]) -> Callable[[Iterable], Iterator]:
+    """Batches of groups' first rows, each before its pieces in order, to a row a group of ``columns`` and its summary; only the text at work is held."""
+
+    def texts(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        first, text = None, bytearray()
+
+        def whole():  # the summary refers to ``text``
+            text.extend(first["tail" if text else "plain"][0].as_py().encode())
+            summary = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(struct.pack("=2i", 0, len(text))), pa.py_buffer(text)])
+            return pa.RecordBatch.from_arrays([*(first[c] for c in columns), summary], names=[*columns, "summary"])
+
+        for batch in batches:
+            starts = [i for i, is_first in enumerate(batch["first"].to_pylist()) if is_first]
+            for i, j in zip([0, *starts], [*starts, batch.num_rows]):
+                rows = batch.slice(i, j - i)  # none before the first start
+                if i in starts and rows.num_rows:
+                    if first is not None:
+                        yield whole()
+                    first, text, rows = pa.RecordBatch.from_pylist(rows.slice(0, 1).to_pylist(), schema=rows.schema), bytearray(), rows.slice(1)
+                pieces = [x for x in rows["duties"].to_pylist() if x]
+                if pieces:
+                    text += (("; " if text else first["head"][0].as_py()) + "; ".join(pieces)).encode()
+        if first is not None:
+            yield whole()
+
+    return texts
+
+
+def delegation_brief(group_dim: DataFrame, entity: DataFrame, item_link: DataFrame, finance: DataFrame, position: DataFrame, assignment: DataFrame, committee: DataFrame, as_of: str, congress: int = 119) -> DataFrame:
+    """One row a group with active members: its measures and a written summary for the week up to ``as_of``.
+
+    ``group_dim`` has a group once. Money is the newest cycle's plain receipts. Sentences without content are left out.
+    Names are listed by count or alphabet, so that equal inputs give equal texts. As a
+    summary has all leadership roles of a group, it can be long: roles are written by name,
+    and these pieces are sorted and put together as they come. Each copy of a long text counts
+    in that last stage, which also stores it, so an executor runs one of its tasks at a time.
+    """
+    duties = _duties(entity, assignment, committee)
+    b = _measures(group_dim, entity, item_link, finance, position, assignment, duties)
 
     num = lambda c: F.col(c).cast("string")
     many = lambda c, word: F.concat(num(c), F.lit(f" {word}"), F.when(F.col(c) == 1, "").otherwise("s"))
@@ -114,15 +183,21 @@ def delegation_brief(group_dim: DataFrame, entity: DataFrame, item_link: DataFra
         .when(d > r, F.concat(F.lit("majority Democrat ("), num("democrats"), F.lit("D-"), num("republicans"), F.lit("R)")))
         .otherwise(F.concat(F.lit("majority Republican ("), num("republicans"), F.lit("R-"), num("democrats"), F.lit("D)")))
     )
-    sentences = [
+    before = [
         F.concat("name", F.lit("'s delegation has "), many("senators", "senator"), F.lit(" and "), many("representatives", "representative"), F.lit(", "), lead, F.lit(".")),
         F.when(F.col("items") > 0, F.concat(F.lit("The delegation has sponsored "), num("items"), F.lit(f" bills in the {congress}th Congress."))),
         F.when(F.col("items") > 0, F.concat(F.lit("Most active sponsors: "), "top", F.lit("."))),
         F.when(F.col("raised") > 0, F.concat(F.lit("Across the delegation, members have reported "), fmt_money(F.col("raised")), F.lit(" in total receipts, with "), percent(F.col("pac"), F.col("raised")).cast("string"), F.lit("% from PACs and "), percent(F.col("small"), F.col("raised")).cast("string"), F.lit("% from small-dollar individual contributions."))),
         F.when(F.col("positions") > 0, F.concat(F.format_number("positions", 0), F.lit(" individual vote positions have been recorded across the delegation."))),
-        F.when(F.col("leadership") > 0, F.concat(F.lit("Committee leadership: "), "duties", F.lit("."))),
-        F.when(F.col("seats") > 0, F.concat(F.lit("The delegation holds "), num("seats"), F.lit(" committee and subcommittee assignments."))),
     ]
+    after = F.when(F.col("seats") > 0, F.concat(F.lit("The delegation holds "), num("seats"), F.lit(" committee and subcommittee assignments.")))
     end = F.to_date(F.lit(as_of))
     stats = stats_json(**{name: F.col(c) for name, c in BRIEF_STATS})
-    return b.select("group_id", F.date_sub(end, 7).alias("period_start"), end.alias("period_end"), "members", "senators", "representatives", "democrats", "republicans", "items", "raised", "positions", "seats", "leadership", F.concat_ws(" ", *sentences).alias("summary"), stats.alias("stats"))
+    told = b.select("group_id", F.date_sub(end, 7).alias("period_start"), end.alias("period_end"), *BRIEF_MEASURES, stats.alias("stats"), F.concat_ws(" ", *before, F.lit("Committee leadership: ")).alias("head"), F.concat_ws(" ", F.lit("."), after).alias("tail"), F.concat_ws(" ", *before, after).alias("plain"), F.lit(True).alias("first"))
+    pieces = told.unionByName(duties.select("group_id", "full_name", "duties", F.lit(False).alias("first")), allowMissingColumns=True)
+    n = min(max(1, group_dim.count()), TASKS)
+    places = group_dim.select("group_id", ((F.row_number().over(Window.orderBy("group_id")) - 1) % n).alias("place"))  # else two long texts may meet in a task
+    ordered = pieces.join(places, "group_id").repartitionById(n, F.col("place")).sortWithinPartitions("group_id", F.desc("first"), "full_name").drop("full_name", "place")
+    columns = ["group_id", "period_start", "period_end", *BRIEF_MEASURES, "stats"]
+    schema = T.StructType([*(told.schema[c] for c in columns), T.StructField("summary", T.StringType())])
+    return ordered.mapInArrow(_written(columns), schema, profile=_alone(entity.sparkSession))

@@ -42,16 +42,16 @@ query("delegation_brief", """SELECT group_id, DATE '2001-06-30' - 7 AS period_st
   CASE WHEN raised > 0 THEN 'Across the delegation, members have reported ' || """ + _MONEY + """ || ' in total receipts, with ' || CAST(round(100.0 * pac / raised) AS BIGINT) || '% from PACs and ' || CAST(round(100.0 * small / raised) AS BIGINT) || '% from small-dollar individual contributions.' END,
   CASE WHEN positions > 0 THEN format('{:,}', positions) || ' individual vote positions have been recorded across the delegation.' END,
   CASE WHEN leadership > 0 THEN 'Committee leadership: ' || duties || '.' END, CASE WHEN seats > 0 THEN 'The delegation holds ' || seats || ' committee and subcommittee assignments.' END) AS summary
-  FROM (SELECT group_id, g.name, members, senators, representatives, democrats, republicans, top, duties, """ + _zero("items", "raised", "pac", "small", "positions", "seats", "leadership") + " FROM " + _SIZES + " s JOIN {group_dim} g USING (group_id) LEFT JOIN " + _SPONSOR + " i USING (group_id) LEFT JOIN (SELECT group_id, string_agg(full_name || ' (' || items || ')', ', ' ORDER BY rn) AS top FROM (" + _topk_sql("*", "(SELECT e.group_id, e.full_name, count(*) AS items FROM {entity} e JOIN {item_link} l ON l.entity_id = e.entity_id AND l.role = 'sponsor' WHERE e.in_office GROUP BY 1, 2)", "group_id", "items DESC, full_name", 3) + ") y GROUP BY 1) ts USING (group_id) LEFT JOIN (SELECT e.group_id, sum(total_receipts)::BIGINT AS raised, sum(total_pac)::BIGINT AS pac, sum(small_individual)::BIGINT AS small FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office GROUP BY 1) m USING (group_id) LEFT JOIN " + _count("position", "positions") + " p USING (group_id) LEFT JOIN " + _count("assignment", "seats") + " q USING (group_id) LEFT JOIN (SELECT group_id, count(*) AS leadership, string_agg(full_name || ' (' || replace(role, '_', ' ') || ' of ' || name || ')', '; ' ORDER BY full_name, name, role) AS duties FROM (" + _COVER + ") c WHERE role IN ('chair', 'ranking_member', 'vice_chair') GROUP BY 1) d USING (group_id)) z")(lambda t: _brief(t).drop("stats"))
+  FROM (SELECT group_id, g.name, members, senators, representatives, democrats, republicans, top, duties, """ + _zero("items", "raised", "pac", "small", "positions", "seats", "leadership") + " FROM " + _SIZES + " s JOIN {group_dim} g USING (group_id) LEFT JOIN " + _SPONSOR + " i USING (group_id) LEFT JOIN (SELECT group_id, string_agg(full_name || ' (' || items || ')', ', ' ORDER BY rn) AS top FROM (" + _topk_sql("*", "(SELECT e.group_id, e.full_name, count(*) AS items FROM {entity} e JOIN {item_link} l ON l.entity_id = e.entity_id AND l.role = 'sponsor' WHERE e.in_office GROUP BY 1, 2)", "group_id", "items DESC, full_name", 3) + ") y GROUP BY 1) ts USING (group_id) LEFT JOIN (SELECT e.group_id, sum(total_receipts)::BIGINT AS raised, sum(total_pac)::BIGINT AS pac, sum(small_individual)::BIGINT AS small FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office GROUP BY 1) m USING (group_id) LEFT JOIN " + _count("position", "positions") + " p USING (group_id) LEFT JOIN " + _count("assignment", "seats") + " q USING (group_id) LEFT JOIN (SELECT group_id, count(*) AS leadership, string_agg(full_name || ' (' || replace(role, '_', ' ') || ' of ' || name || ')', '; ' ORDER BY full_name, name, role) AS duties FROM (" + _COVER + ") c WHERE role IN ('chair', 'ranking_member', 'vice_chair') GROUP BY 1) d USING (group_id)) z")(lambda t: compare.delegation_brief(*_told(t), AS_OF).drop("stats"))
 
 
 
-def _brief(t: Tables) -> DataFrame:
-    return compare.delegation_brief(t.group_dim, t.entity, t.item_link, t.finance_cycle, t.position, t.assignment, t.committee, AS_OF)
+def _told(t: Tables) -> list[DataFrame]:
+    return [t.group_dim, t.entity, t.item_link, t.finance_cycle, t.position, t.assignment, t.committee]
 
 
 query("delegation_stats", """SELECT group_id, '{"members":' || members || ',"senators":' || senators || ',"representatives":' || representatives || ',"democrat":' || democrats || ',"republican":' || republicans || ',"billsSponsored":' || items || ',"totalRaised":' || raised || ',"totalVotes":' || positions || ',"committeeSeats":' || seats || ',"leadershipRoles":' || leadership || '}' AS stats
-  FROM (SELECT group_id, members, senators, representatives, democrats, republicans, """ + _zero("items", "raised", "positions", "seats", "leadership") + " FROM " + _SIZES + " s LEFT JOIN " + _SPONSOR + " i USING (group_id) LEFT JOIN (SELECT e.group_id, sum(total_receipts)::BIGINT AS raised FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office GROUP BY 1) m USING (group_id) LEFT JOIN " + _count("position", "positions") + " p USING (group_id) LEFT JOIN " + _count("assignment", "seats") + " q USING (group_id) LEFT JOIN (SELECT group_id, count(*) AS leadership FROM (" + _COVER + ") c WHERE role IN ('chair', 'ranking_member', 'vice_chair') GROUP BY 1) d USING (group_id)) z")(lambda t: _brief(t).select("group_id", "stats"))
+  FROM (SELECT group_id, members, senators, representatives, democrats, republicans, """ + _zero("items", "raised", "positions", "seats", "leadership") + " FROM " + _SIZES + " s LEFT JOIN " + _SPONSOR + " i USING (group_id) LEFT JOIN (SELECT e.group_id, sum(total_receipts)::BIGINT AS raised FROM {entity} e JOIN " + _LATEST + " f ON f.entity_id = e.entity_id WHERE e.in_office GROUP BY 1) m USING (group_id) LEFT JOIN " + _count("position", "positions") + " p USING (group_id) LEFT JOIN " + _count("assignment", "seats") + " q USING (group_id) LEFT JOIN (SELECT group_id, count(*) AS leadership FROM (" + _COVER + ") c WHERE role IN ('chair', 'ranking_member', 'vice_chair') GROUP BY 1) d USING (group_id)) z")(lambda t: compare.delegation_stats(*_told(t)))
 
 _LARGE = "greatest(0, total_individual - small_individual)"
 _PROFILE = "(SELECT e.entity_id, e.group_id, e.full_name, e.chamber, e.party, " + _zero("sponsored", "cosponsored", "yea", "nay", "total") + ", f.cycle, " + ", ".join(f"CASE WHEN effective_total > 0 THEN CAST(round(100.0 * {c} / effective_total) AS BIGINT) WHEN effective_total IS NOT NULL THEN 0 END AS {n}" for c, n in (("small_individual", "small_pct"), (_LARGE, "large_pct"), ("total_pac", "pac_pct"))) + ", f.effective_total, " + _zero("committees") + " FROM {entity} e LEFT JOIN (SELECT entity_id, count(*) FILTER (role = 'sponsor') AS sponsored, count(*) FILTER (role = 'cosponsor') AS cosponsored FROM {item_link} GROUP BY 1) r USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) FILTER (position = 'yea') AS yea, count(*) FILTER (position = 'nay') AS nay, count(*) AS total FROM {position} GROUP BY 1) v USING (entity_id) LEFT JOIN " + _LATEST + " f USING (entity_id) LEFT JOIN (SELECT entity_id, count(DISTINCT committee_id) AS committees FROM (" + _COVER + ") c GROUP BY 1) k USING (entity_id) WHERE e.in_office)"

@@ -49,3 +49,49 @@ def test_items_need_a_tracked_sponsor(spark):
     items = feeds.normalize_items(feeds.parse_json(raw, feeds.BILL), tracked, 119)
     assert [r.item_id for r in items.collect()] == ["hr-1-119"]
     assert [(r.entity_id, r.role, str(r.cosponsored_date)) for r in feeds.explode_sponsorships(items, tracked).orderBy("entity_id").collect()] == [("A", "sponsor", "None"), ("B", "cosponsor", "2025-02-01")]
+
+
+def test_brief_is_put_together_piece_by_piece(spark):
+    g = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "group_id int, name string")
+    # group 1 has many leaders and namesakes, 2 one, 3 none; 4 has no name
+    people = [(i, f"N{i % 40:02d}", 1) for i in range(60)] + [(60, "Solo", 2), (61, "None", 3), (62, "Lost", 4)]
+    e = spark.createDataFrame([(i, n, k, True, "house", "Democrat") for i, n, k in people], "entity_id int, full_name string, group_id int, in_office boolean, chamber string, party string")
+    names = {"X": "Ways", "Y": "Arms", "Z": "Maps"}
+    seats = [(i, c, compare.LEADERS[(i + ord(c)) % 3] if (i + ord(c)) % 4 else "member") for i in range(60) for c in names] + [(60, "X", "vice_chair"), (61, "X", "member"), (62, "X", "chair")]
+    a = spark.createDataFrame(seats, "entity_id int, committee_id string, role string")
+    c = spark.createDataFrame([(k, n, None) for k, n in names.items()] + [("XX", "Sub", "X")], "committee_id string, name string, parent_id string")
+    none = spark.createDataFrame([], "entity_id int, role string, cycle int, total_receipts long, total_individual long, total_pac long, small_individual long, position string")
+    led = {k: sorted((n, names[x], role) for i, n, own in people if own == k for j, x, role in seats if j == i and role != "member") for k in (1, 2, 3)}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_a_batch in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+            df = compare.delegation_brief(g, e, none, none, none, a, c, "2001-06-30")
+            got = {r.group_id: r for r in df.collect()}
+            assert got.keys() == {1, 2, 3} and {k: r.leadership for k, r in got.items()} == {k: len(x) for k, x in led.items()}
+            for k, r in got.items():
+                duties = "; ".join(f"{n} ({role.replace('_', ' ')} of {x})" for n, x, role in led[k])
+                n = len([1 for *_, own in people if own == k])
+                want = f"{'ABC'[k - 1]}'s delegation has 0 senators and {n} representative{'s' * (n > 1)}, majority Democrat ({n}D-0R)."
+                want += f" Committee leadership: {duties}." * bool(duties) + f" The delegation holds {180 if k == 1 else 1} committee and subcommittee assignments."
+                assert r.summary == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "collect_list(struct(full_name" not in df._jdf.queryExecution().executedPlan().toString()  # no aggregation holds a group's roles
+    assert {r.group_id: r.stats for r in compare.delegation_stats(g, e, none, none, none, a, c).collect()} == {k: r.stats for k, r in got.items()}
+
+
+def test_a_brief_is_done_before_the_next_begins():
+    import pyarrow as pa
+
+    row = lambda k, first, duties: {"group_id": k, "first": first, "duties": duties, "head": "H: ", "tail": ".", "plain": "P"}
+    read = []
+
+    def batches():
+        for rows in ([row(1, True, None), row(1, False, "a")], [row(1, False, "b"), row(2, True, None)], [row(3, True, None), row(3, False, ""), row(3, False, "c")]):
+            read.append(len(rows))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("group_id", pa.int32()), ("first", pa.bool_()), *((x, pa.string()) for x in ("duties", "head", "tail", "plain"))]))
+
+    out = compare._written(["group_id"])(batches())
+    assert next(out).to_pylist() == [{"group_id": 1, "summary": "H: a; b."}] and len(read) == 2
+    assert [x.to_pylist() for x in out] == [[{"group_id": 2, "summary": "P"}], [{"group_id": 3, "summary": "H: c."}]]
